@@ -8,6 +8,11 @@ from .. import fixed_values as fv
 from .geo import Box, overlap_ratio
 
 
+def fixed(x: Column, digits: int, pattern: str | None = None) -> Column:
+    """Fixed-point text, exact halves to the even digit."""
+    return F.format_string(pattern or f"%.{digits}f", F.bround(x.cast("double"), digits))
+
+
 def score_geo(scene: Box, query: Box) -> Column:
     return F.when(~scene.known() | ~query.known(), F.lit(0.5)).otherwise(overlap_ratio(scene, query))
 
@@ -76,7 +81,7 @@ def confidence(
     medium = F.concat_ws(
         "; ",
         F.when(F.coalesce(single_observation, no), "single observation").otherwise(none),
-        F.when(cloud > 30, F.format_string("cloud cover %.0f%%", cloud.cast("double"))).otherwise(none),
+        F.when(cloud > 30, fixed(cloud, 0, "cloud cover %.0f%%")).otherwise(none),
         F.when(~registered, "coregistration failed").otherwise(none),
         F.when(disagreement, "SAR model/deterministic disagreement").otherwise(none),
     )
@@ -103,7 +108,7 @@ def _mentions(text: Column, words: list[str]) -> Column:
 
 
 def _percent(x: Column) -> Column:
-    return F.format_string("%.1f%%", x.cast("double") * 100.0)
+    return fixed(x.cast("double") * 100.0, 1, "%.1f%%")
 
 
 def cross_check(text: Column, water: Column, builtup: Column) -> Column:
@@ -170,7 +175,7 @@ def fraction_magnitude(fraction: Column) -> Column:
 
 
 def _trend(mean: Column, what: str, unit: str) -> Column:
-    signed = F.format_string("%+.2f", mean.cast("double"))
+    signed = fixed(mean, 2, "%+.2f")
     word = F.when(mean > 0.05, "increase in ").when(mean < -0.05, "decrease in ").otherwise("stable ")
     return F.when(mean.isNotNull(), F.concat(word, F.lit(f"{what} ({unit} delta: "), signed, F.lit(")")))
 
@@ -181,7 +186,7 @@ def change_description(score: Column, mean_ndvi: Column, mean_ndwi: Column, mean
     head = F.concat(
         F.lit("Bi-temporal analysis indicates "),
         change_magnitude(held),
-        F.format_string(" (change score: %.4f).", held.cast("double")),
+        fixed(held, 4, " (change score: %.4f)."),
     )
     optical = F.concat_ws(
         ", ", _trend(mean_ndvi, "vegetation index", "NDVI"), _trend(mean_ndwi, "water index", "NDWI")
@@ -207,7 +212,7 @@ def fusion_statement(
         _percent(water),
         F.lit(", built-up "),
         _percent(builtup),
-        F.format_string(", mean log-ratio %.2f.", log_ratio.cast("double")),
+        fixed(log_ratio, 2, ", mean log-ratio %.2f."),
     )
     return F.concat_ws(
         " ",
@@ -224,7 +229,7 @@ def result_explanation(
     return F.concat(
         F.lit("This result is ranked #"),
         rank.cast("string"),
-        F.format_string(" with a composite score of %.2f. ", score.cast("double")),
+        fixed(score, 2, " with a composite score of %.2f. "),
         F.lit("The image was acquired by "),
         sensor,
         F.lit(" on "),

@@ -20,15 +20,18 @@ def dot(a: Column, b: Column, dim: int | None = None) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, also where ``use`` refers to it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
 def l2_normalize(a: Column) -> Column:
-    length = norm(a)
-    return F.when(length < MIN_NORM, F.transform(a, lambda x: x.cast("double"))).otherwise(
-        F.transform(a, lambda x: x.cast("double") / length)
-    )
+    scale = F.when(norm(a) < MIN_NORM, F.lit(1.0)).otherwise(norm(a))
+    return F.when(a.isNotNull(), let(scale, lambda n: F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -42,12 +45,10 @@ def hash_embedding(text: Column) -> Column:
     The zeros that would pad it to a model's width add nothing to a product
     and are not stored.
     """
-    digest = F.md5(text)
-    parts = [
-        F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") / 255.0 - 0.5 for i in range(HASH_DIM)
-    ]
-    squares = parts[0] * parts[0]
-    for part in parts[1:]:
-        squares = squares + part * part
-    length = F.sqrt(squares)
-    return F.when(text.isNotNull(), F.array(*[part / length for part in parts]))
+    places = F.array(*[F.lit(2 * i + 1) for i in range(HASH_DIM)])
+
+    def byte(digest, place):
+        return F.conv(digest.substr(place, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5
+
+    raw = let(F.md5(text), lambda digest: F.transform(places, lambda p: byte(digest, p)))
+    return F.when(text.isNotNull(), let(raw, l2_normalize))

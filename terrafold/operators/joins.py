@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import geo
 from ..functions.geo import Box
-from .catalog import matches_box, matches_dates, matches_object, matches_sensor
+from .catalog import matches_box, matches_dates, matches_sensor
 
 QUERY_BOX = "q_"
 
@@ -104,6 +104,10 @@ def query_scene_join(
     alone. Both are equi-joins: Spark broadcasts the query side when its
     measured size allows and shuffles otherwise.
     """
+    columns = [*queries.columns, *scenes.columns]
+    # lower-cased once per row, not once per candidate pair
+    scenes = scenes.withColumn("__object", F.lower("object"))
+    queries = queries.withColumn("__wanted", F.lower("query_object"))
     qb = Box.named(QUERY_BOX)
     local = qb.known() & ~_wide(qb, cell_degrees, max_cells)
     near = _box_pairs(scenes, queries.filter(local), cell_degrees, period_days, rows_per_task)
@@ -111,12 +115,14 @@ def query_scene_join(
     right = _query_periods(queries.filter(~local), scenes, period_days)
     far = salted_join(left, right, ["__p"], "scene_id", rows_per_task).drop("__p")
     far = far.filter(matches_box(Box.named(), qb))
+    has, wanted = F.col("__object"), F.col("__wanted")
+    fuzzy = wanted.isNull() | (has.isNotNull() & (F.contains(has, wanted) | F.contains(wanted, has)))
     both = near.unionByName(far)
     return both.filter(
         matches_dates(F.col("acquisition_time"), F.col("start_date"), F.col("end_date"), end_inclusive_day)
         & matches_sensor(F.col("sensor"), F.col("sensors"))
-        & matches_object(F.col("object"), F.col("query_object"))
-    )
+        & fuzzy
+    ).select(*columns)
 
 
 def optical_sar_interval_join(

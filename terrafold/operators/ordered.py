@@ -101,7 +101,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     brackets each wanted rank first; only the distinct values inside the
     bracket (a fixed small share of the group) are then ranked.
     """
-    accuracy, margin = 10000, 2.0 / 10000
+    accuracy, margin = 10000, 5.0 / 10000
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     v = F.col(value).cast("double")
     rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
@@ -115,12 +115,17 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         F.percentile_approx("__v", F.array(*[F.lit(p) for p in highs]), F.lit(accuracy)).alias("__highs"),
     )
     brackets = sketch.select(*keys, "n", "__min", "__max", F.posexplode(wanted).alias("__i", "prob"), "__lows", "__highs")
+    small = F.col("n") <= accuracy  # so few values need no bracket
     brackets = brackets.select(
         *keys,
         "n",
         "prob",
-        F.when(F.col("prob") - margin <= 0, F.col("__min")).otherwise(F.get("__lows", F.col("__i"))).alias("__low"),
-        F.when(F.col("prob") + margin >= 1, F.col("__max")).otherwise(F.get("__highs", F.col("__i"))).alias("__high"),
+        F.when(small | (F.col("prob") - margin <= 0), F.col("__min"))
+        .otherwise(F.get("__lows", F.col("__i")))
+        .alias("__low"),
+        F.when(small | (F.col("prob") + margin >= 1), F.col("__max"))
+        .otherwise(F.get("__highs", F.col("__i")))
+        .alias("__high"),
     )
     # values below a bracket only count; values inside it are collapsed to (value, count)
     if keys:

@@ -271,6 +271,11 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Use every core on a table that arrives in fewer pieces than there are cores; large tables pass as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     def view(self, name: str) -> DataFrame:
         if name not in VIEWS:
             return self.table(name)

@@ -175,7 +175,8 @@ def fraction_magnitude(fraction: Column) -> Column:
 
 
 def _trend(mean: Column, what: str, unit: str) -> Column:
-    signed = fixed(mean, 2, "%+.2f")
+    mean = F.round(mean, 9)  # a mean that is zero up to rounding has no sign
+    signed = F.concat(F.when(mean < 0, "-").otherwise("+"), fixed(F.abs(mean), 2))
     word = F.when(mean > 0.05, "increase in ").when(mean < -0.05, "decrease in ").otherwise("stable ")
     return F.when(mean.isNotNull(), F.concat(word, F.lit(f"{what} ({unit} delta: "), signed, F.lit(")")))
 

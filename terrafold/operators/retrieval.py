@@ -206,35 +206,41 @@ def retrieve_batch(
     neutral = 0.0 if fuse else 0.5
     similarity = F.when(silent, F.lit(neutral)).otherwise(vectors.dot(F.col("__qv"), F.col("__sv"), dim))
     pairs = pairs.withColumn("semantic_sim", similarity)
-    keep = [
-        "query_id", "rank", "scene_id", "sensor", "modality", "acquisition_time", "object", "paired_scene_id",
-        "cloud_cover", "score",
-    ]
+    # only ids and scores are sorted and shuffled; scene columns join the few survivors at the end
     if not fuse:
-        return topk_per_query(pairs.withColumn("score", F.col("semantic_sim")), k).select(*keep)
+        top = topk_per_query(pairs.select("query_id", "scene_id", F.col("semantic_sim").alias("score")), k)
+        return _with_scene_columns(top, scenes)
     box, q_box = Box.named(), Box.named(QUERY_BOX)
-    scored = pairs.withColumns(
-        {
-            "geo_score": scores.score_geo(box, q_box),
-            "temporal_score": scores.score_temporal(
-                F.col("acquisition_time"), F.col("start_date"), F.col("end_date")
-            ),
-            "modality_score": scores.score_modality(
-                F.col("sensor"), F.col("sensors"), F.col("cloud_cover"), F.col("cloud_cover_max")
-            ),
-        }
-    ).withColumn(
-        "score",
-        scores.score_composite(
-            F.col("geo_score"), F.col("temporal_score"), F.col("semantic_sim"), F.col("modality_score"),
-            F.col("change_flag"), weights,
-        ),
+    scored = pairs.select(
+        "query_id",
+        "scene_id",
+        silent.alias("__silent"),
+        "change_flag",
+        "semantic_sim",
+        scores.score_geo(box, q_box).alias("geo_score"),
+        scores.score_temporal(F.col("acquisition_time"), F.col("start_date"), F.col("end_date")).alias("temporal_score"),
+        scores.score_modality(
+            F.col("sensor"), F.col("sensors"), F.col("cloud_cover"), F.col("cloud_cover_max")
+        ).alias("modality_score"),
+    )
+    fused = scores.score_composite(
+        F.col("geo_score"), F.col("temporal_score"), F.col("semantic_sim"), F.col("modality_score"),
+        F.col("change_flag"), weights,
     )
+    scored = scored.withColumn("score", fused)
     # a query without text is not cut by similarity: its first stage orders by the final score
-    staged = scored.withColumn("__first", F.when(silent, F.col("score")).otherwise(F.col("semantic_sim")))
-    top = two_stage_topk(staged, k, "__first", "score")
-    breakdown = F.struct("semantic_sim", "geo_score", "temporal_score", "modality_score")
-    return top.select(*keep, breakdown.alias("score_breakdown"))
+    first = F.when(F.col("__silent"), F.col("score")).otherwise(F.col("semantic_sim"))
+    staged = scored.withColumn("__first", first).drop("__silent", "change_flag")
+    return _with_scene_columns(two_stage_topk(staged, k, "__first", "score").drop("__first"), scenes)
+
+
+def _with_scene_columns(top: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Scene columns of the ranked results; the score parts become one struct."""
+    names = ["scene_id", "sensor", "modality", "acquisition_time", "object", "paired_scene_id", "cloud_cover"]
+    parts = [c for c in ("semantic_sim", "geo_score", "temporal_score", "modality_score") if c in top.columns]
+    if parts:
+        top = top.withColumn("score_breakdown", F.struct(*parts)).drop(*parts)
+    return top.join(scenes.select(*names), "scene_id")
 
 
 # ---- selections on ranked results ------------------------------------------

@@ -126,7 +126,7 @@ VIEWS = {
         [
             ("l_suppkey", "scene_id"),
             ("row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber) - 1", "pos"),
-            ("l_extendedprice / 1e5", "value"),
+            ("sqrt(l_extendedprice / 1e5)", "value"),
         ],
         None,
     ),
@@ -287,7 +287,7 @@ class Data:
 
     @cached_property
     def unpaired(self) -> DataFrame:
-        return self.view("scenes0")
+        return self.spread(self.view("scenes0"))
 
     @cached_property
     def scenes(self) -> DataFrame:

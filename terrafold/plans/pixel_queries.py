@@ -114,6 +114,7 @@ def _(d):
 
 
 def trend(c, what, unit):
+    c = f"(round({c}, 9) + 0e0)"
     return (
         f"CASE WHEN {c} > 0.05 THEN 'increase in ' WHEN {c} < -0.05 THEN 'decrease in ' WHEN {c} IS NOT NULL THEN 'stable ' END "
         f"|| '{what} ({unit} delta: ' || printf('%+.2f', {c}) || ')'"

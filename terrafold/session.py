@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM does not compile methods above 8000 bytes; Spark then runs such a stage in smaller generated pieces
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

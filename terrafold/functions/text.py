@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
+from .binding import let
 
 
 def query_norm(text: Column) -> Column:
@@ -30,10 +31,13 @@ def answer_tokens(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams in order, empty when there are fewer than ``n`` tokens."""
-    count = F.size(tokens) - (n - 1)
-    starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(t):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

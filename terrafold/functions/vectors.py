@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 MIN_NORM = 1e-9  # fixed value: a shorter vector is left as it is
 HASH_DIM = 16  # fixed value: bytes of an md5
 
@@ -20,11 +22,6 @@ def dot(a: Column, b: Column, dim: int | None = None) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once per row, also where ``use`` refers to it inside a lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 

@@ -90,7 +90,7 @@ VIEWS = {
             ("l_orderkey", "pair_id"),
             ("l_linenumber * 10000000 + l_partkey", "row"),
             ("l_suppkey", "col"),
-            ("l_discount", "nir"),
+            ("l_discount * 10137e-4", "nir"),
             ("l_tax", "red"),
             ("CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_quantity / 5e2 END", "green"),
             ("l_quantity * l_discount", "vv"),
@@ -280,11 +280,15 @@ class Data:
         if name not in VIEWS:
             return self.table(name)
         source, items, where = VIEWS[name]
-        rows = self.view(source)
+        rows = self.documents if source == "documents" else self.view(source)
         if where:
             rows = rows.filter(where)
         return rows.selectExpr(*[_expression(i, SPARK, "`") for i in items])
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return self.spread(self.table("documents"))
+
     @cached_property
     def unpaired(self) -> DataFrame:
         return self.spread(self.view("scenes0"))

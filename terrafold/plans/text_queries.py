@@ -246,11 +246,11 @@ def _(d):
     "dedup_near",
     DOCS
     + """, hits AS (SELECT DISTINCT a.doc_id FROM w a JOIN w b ON a.lang = b.lang AND b.doc_id < a.doc_id AND len(a.ws) > 0 AND len(b.ws) > 0
-      WHERE len(list_intersect(a.ws, b.ws)) >= 0.9 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) - 1e-9)
+      AND len(b.ws) >= 0.9 * len(a.ws) - 1e-9 AND len(a.ws) >= 0.9 * len(b.ws) - 1e-9 WHERE len(list_intersect(a.ws, b.ws)) >= 0.9 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) - 1e-9)
     SELECT w.doc_id, CASE WHEN hits.doc_id IS NOT NULL THEN 'dup_near' END AS reject_reason FROM w LEFT JOIN hits ON w.doc_id = hits.doc_id""",
 )
 def _(d):
-    return ts.dedup_near(d.table("documents"), "doc_id", "text", ["lang"]).select("doc_id", "reject_reason")
+    return ts.dedup_near(d.documents, "doc_id", "text", ["lang"]).select("doc_id", "reject_reason")
 
 
 def decon_sql(threshold):
@@ -264,7 +264,7 @@ def decon_sql(threshold):
 
 
 def decon(d, threshold):
-    out = ts.decontaminate(d.table("documents"), "doc_id", "text", d.table("benchmark"), "item_id", "text", threshold)
+    out = ts.decontaminate(d.documents, "doc_id", "text", d.table("benchmark"), "item_id", "text", threshold)
     return out.select("doc_id", "reject_reason")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,3 +36,17 @@ def use_settings(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint a DataFrame that several branches read, in the cluster's shared ``spark.checkpoint.dir``.
+
+    Without that setting a local session uses a temporary folder of its own;
+    on a cluster the DataFrame is returned as it is and its branches recompute.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="terrafold-checkpoint-"))
+    return df.checkpoint()

@@ -13,13 +13,14 @@ from .ordered import exact_percentiles, first_rows
 # ---- retrieval -------------------------------------------------------------
 
 
-def eval_ground_truth(scenes: DataFrame, splits: DataFrame) -> DataFrame:
-    """``query_id, scene_id``: for every test scene, the test scenes of its AOI and sensor."""
-    test = scenes.join(splits.filter(F.col("split") == "test").select("scene_id", "aoi"), "scene_id").select(
-        "scene_id", "aoi", "sensor"
-    )
-    left = test.select(F.col("scene_id").alias("query_id"), "aoi", "sensor")
-    return left.join(test, ["aoi", "sensor"]).select("query_id", "scene_id")
+def eval_groups(scenes: DataFrame, splits: DataFrame) -> DataFrame:
+    """``scene_id, group``: the relevance group (AOI and sensor) of every test scene.
+
+    Relevant to a query are the test scenes of its own group; keeping the group
+    key instead of the list of pairs keeps this linear in the scenes.
+    """
+    test = splits.filter(F.col("split") == "test").select("scene_id", "aoi")
+    return scenes.join(test, "scene_id").select("scene_id", F.concat_ws("|", "aoi", "sensor").alias("group"))
 
 
 def eval_queries(scenes: DataFrame, splits: DataFrame) -> DataFrame:
@@ -43,13 +44,39 @@ def eval_queries(scenes: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def mark_hits(results: DataFrame, relevant: DataFrame, query: str = "query_id", item: str = "scene_id") -> DataFrame:
-    """Add ``hit``: the result is in the query's relevant set."""
+    """Add ``hit`` from explicit lists of relevant ids (one row per query and id)."""
     wanted = relevant.select(query, item).distinct().withColumn("__hit", F.lit(1))
     return results.join(wanted, [query, item], "left").withColumn("hit", F.coalesce("__hit", F.lit(0))).drop("__hit")
 
 
-def intersect_hits(results: DataFrame, relevant: DataFrame, query: str = "query_id", item: str = "scene_id") -> DataFrame:
-    return results.select(query, item).intersect(relevant.select(query, item))
+def relevant_sizes(relevant: DataFrame, query: str = "query_id", item: str = "scene_id") -> DataFrame:
+    """``query, relevant`` from explicit lists."""
+    return relevant.select(query, item).distinct().groupBy(query).agg(F.count("*").alias("relevant"))
+
+
+def mark_group_hits(
+    results: DataFrame, query_groups: DataFrame, item_groups: DataFrame, query: str = "query_id", item: str = "scene_id"
+) -> DataFrame:
+    """Add ``hit``: the returned item belongs to the query's group."""
+    q = query_groups.select(query, F.col("group").alias("__qg"))
+    i = item_groups.select(item, F.col("group").alias("__ig"))
+    joined = results.join(q, query, "left").join(i, item, "left")
+    same = F.coalesce(F.col("__qg") == F.col("__ig"), F.lit(False))
+    return joined.withColumn("hit", same.cast("int")).drop("__qg", "__ig")
+
+
+def group_sizes(
+    query_groups: DataFrame, item_groups: DataFrame, query: str = "query_id", exclude_self: bool = False
+) -> DataFrame:
+    """``query, relevant``: size of each query's group, less the query itself when it is one of the items."""
+    sizes = item_groups.groupBy("group").agg(F.count("*").alias("__n"))
+    n = F.coalesce("__n", F.lit(0)) - int(exclude_self)
+    return query_groups.join(sizes, "group", "left").select(query, n.alias("relevant"))
+
+
+def intersect_hits(marked: DataFrame, query: str = "query_id", item: str = "scene_id") -> DataFrame:
+    """Retrieved ∩ relevant, as (query, item) rows."""
+    return marked.filter(F.col("hit") == 1).select(query, item).distinct()
 
 
 def average_precision(hits: DataFrame, k: int, query: str = "query_id") -> DataFrame:
@@ -69,21 +96,21 @@ def average_precision(hits: DataFrame, k: int, query: str = "query_id") -> DataF
 
 
 def retrieval_metrics(
-    results: DataFrame,
-    relevant: DataFrame,
+    marked: DataFrame,
+    sizes: DataFrame,
     queries: DataFrame,
     k: int = 5,
     empty_relevant: float = 0.0,
     query: str = "query_id",
-    item: str = "scene_id",
 ) -> DataFrame:
     """Recall, precision and AP at ``k`` of every query, also of those that returned nothing.
 
-    Precision divides by the number returned and AP by the number relevant. A
-    query without relevant items scores ``empty_relevant`` recall.
+    ``marked`` are ranked results with ``hit``, ``sizes`` the number of
+    relevant items per query. Precision divides by the number returned and AP
+    by the number relevant. A query without relevant items scores
+    ``empty_relevant`` recall.
     """
-    per_query = average_precision(mark_hits(results, relevant, query, item), k, query)
-    sizes = relevant.select(query, item).distinct().groupBy(query).agg(F.count("*").alias("relevant"))
+    per_query = average_precision(marked, k, query)
     joined = queries.select(query).distinct().join(per_query, query, "left").join(sizes, query, "left")
     n, found, returned = (F.coalesce(c, F.lit(0)) for c in ("relevant", "hits", "returned"))
     zero = F.lit(0.0)

@@ -35,11 +35,20 @@ def _neighbours(d):
     return rt.topk_per_query(found, 5, item="item_id")
 
 
-def _relevant(d):
-    """Same label, not the vector itself."""
-    e = d.table("embeddings").select("vec_id", "label")
-    a = e.select(F.col("vec_id").alias("query_id"), "label")
-    return a.join(e.withColumnRenamed("vec_id", "item_id"), "label").filter("query_id <> item_id").select("query_id", "item_id")
+def _groups(d):
+    """The label is the relevance group of a vector, as query and as item."""
+    e = d.table("embeddings")
+    group = F.col("label").alias("group")
+    return e.select(F.col("vec_id").alias("query_id"), group), e.select(F.col("vec_id").alias("item_id"), group)
+
+
+def _marked(d):
+    return ev.mark_group_hits(_neighbours(d), *_groups(d), item="item_id")
+
+
+def _metrics(d):
+    sizes = ev.group_sizes(*_groups(d), exclude_self=True)
+    return ev.retrieval_metrics(_marked(d), sizes, _groups(d)[0])
 
 
 @query("knn_cosine", SIMS + "SELECT query_id, item_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
@@ -99,8 +108,7 @@ def _(d):
     SELECT query_id, count(*) AS returned, CAST(sum(hit) AS BIGINT) AS hits, round(sum(gain), 6) AS precision_sum FROM g GROUP BY query_id""",
 )
 def _(d):
-    hits = ev.mark_hits(_neighbours(d), _relevant(d), item="item_id")
-    return ev.average_precision(hits, 5).withColumn("precision_sum", F.round("precision_sum", 6))
+    return ev.average_precision(_marked(d), 5).withColumn("precision_sum", F.round("precision_sum", 6))
 
 
 METRICS = (
@@ -119,9 +127,7 @@ METRICS = (
     METRICS + 'SELECT query_id, relevant, returned, round(recall, 6) AS recall, round(precision, 6) AS "precision", round(ap, 6) AS ap FROM m',
 )
 def _(d):
-    q, _items = _vectors(d)
-    m = ev.retrieval_metrics(_neighbours(d), _relevant(d), q, item="item_id")
-    return m.select(
+    return _metrics(d).select(
         "query_id", F.col("relevant").cast("bigint").alias("relevant"), F.col("returned").cast("bigint").alias("returned"),
         r6("recall", "recall"), r6("precision", "precision"), r6("ap", "ap"),
     )
@@ -132,14 +138,13 @@ def _(d):
     METRICS + 'SELECT count(*) AS num_queries, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS "precision", round(avg(ap), 6) AS map FROM m',
 )
 def _(d):
-    q, _items = _vectors(d)
-    m = ev.macro_mean(ev.retrieval_metrics(_neighbours(d), _relevant(d), q, item="item_id"))
+    m = ev.macro_mean(_metrics(d))
     return m.select("num_queries", r6("recall", "recall"), r6("precision", "precision"), r6("map", "map"))
 
 
 @query("intersect_hits", SIMS + "SELECT query_id, item_id FROM results WHERE hit = 1")
 def _(d):
-    return ev.intersect_hits(_neighbours(d), _relevant(d), item="item_id")
+    return ev.intersect_hits(_marked(d), item="item_id")
 
 
 @query(
@@ -362,11 +367,23 @@ def _(d):
 
 @query(
     "eval_ground_truth_join",
-    SPLITS + "SELECT a.scene_id AS query_id, b.scene_id FROM test a JOIN test b ON a.aoi = b.aoi AND a.sensor = b.sensor",
-    ("scenes0",),
+    STAGE1
+    + """, test AS (SELECT * FROM scenes0 WHERE (sensor = 'Sentinel-2' AND aoi = 'aoi_0') OR (sensor = 'Sentinel-1' AND aoi = 'aoi_1')),
+    best AS (SELECT query_id, scene_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cloud_cover, 0) DESC, scene_id) AS rank FROM hits),
+    g AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 2 = 0 THEN 'aoi_0|Sentinel-2' ELSE 'aoi_1|Sentinel-1' END AS g FROM customer)
+    SELECT best.query_id, best.scene_id, rank, CASE WHEN t.aoi || '|' || t.sensor = g.g THEN 1 ELSE 0 END AS hit
+    FROM best JOIN g ON best.query_id = g.query_id LEFT JOIN test t ON t.scene_id = best.scene_id WHERE rank <= 50""",
+    ("scenes0", "search"),
 )
 def _(d):
-    return ev.eval_ground_truth(d.unpaired.drop("aoi"), _splits(d))
+    from ..operators.joins import query_scene_join
+
+    found = query_scene_join(d.unpaired, d.queries).withColumn("score", F.coalesce("cloud_cover", F.lit(0.0)))
+    results = rt.topk_per_query(found.select("query_id", "scene_id", "score"), 50)
+    wanted = F.when(F.col("query_id") % 2 == 0, "aoi_0|Sentinel-2").otherwise("aoi_1|Sentinel-1")
+    query_groups = d.queries.select("query_id", wanted.alias("group"))
+    items = ev.eval_groups(d.unpaired.drop("aoi"), _splits(d))
+    return ev.mark_group_hits(results, query_groups, items).select("query_id", "scene_id", "rank", "hit")
 
 
 @query(
@@ -397,7 +414,10 @@ def _(d):
     scenes, splits = d.unpaired.withColumn("paired_scene_id", F.lit(None).cast("string")).drop("aoi"), _splits(d)
     queries = ev.eval_queries(scenes, splits)
     results = rt.retrieve_batch(scenes, queries, 5, fuse=False)
-    metrics = ev.retrieval_metrics(results, ev.eval_ground_truth(scenes, splits), queries)
+    items = ev.eval_groups(scenes, splits)
+    own = items.withColumnRenamed("scene_id", "query_id")  # a query is named after its test scene
+    marked = ev.mark_group_hits(results, own, items)
+    metrics = ev.retrieval_metrics(marked, ev.group_sizes(own, items), queries)
     out = ev.eval_report(metrics, results)
     return out.select(
         "num_queries", r6("recall", "recall"), r6("precision", "precision"), r6("map", "map"),

@@ -133,7 +133,7 @@ def test_near_duplicates_against_brute_force(spark, threshold, words):
 
 def test_benchmark_overlap_short_and_long_items(spark):
     docs = spark.createDataFrame(
-        [(1, "xxAlpha, beta gammayy"), (2, "say: NDVI!"), (3, "alpha gamma"), (4, "one two three four"), (5, None)], "id int, t string"
+        [(1, "xxAlpha, beta gammayy"), (2, "say: NDVI!"), (3, "alpha gamma delta"), (4, "one two three four"), (5, None)], "id int, t string"
     )
     bench = spark.createDataFrame([(10, "alpha beta gamma"), (11, "ndvi"), (12, "one two three five"), (13, "")], "item int, b string")
     got = {(r.id, r.item) for r in ts.containing_benchmark(docs, "id", "t", bench, "item", "b").collect()}

@@ -270,12 +270,18 @@ def test_average_precision_and_empty_sets(spark):
     results = spark.createDataFrame([("q", 1, "a"), ("q", 2, "x"), ("q", 3, "b"), ("r", 1, "z")], "query_id string, rank int, scene_id string")
     relevant = spark.createDataFrame([("q", "a"), ("q", "b"), ("s", "c")], "query_id string, scene_id string")
     queries = spark.createDataFrame([("q",), ("r",), ("s",)], "query_id string")
-    m = {r.query_id: r for r in ev.retrieval_metrics(results, relevant, queries).collect()}
+    marked, sizes = ev.mark_hits(results, relevant), ev.relevant_sizes(relevant)
+    m = {r.query_id: r for r in ev.retrieval_metrics(marked, sizes, queries).collect()}
     assert m["q"].ap == pytest.approx((1 + 2 / 3) / 2) and m["q"].precision == pytest.approx(2 / 3) and m["q"].recall == 1.0
     assert (m["r"].recall, m["r"].precision, m["r"].ap) == (0.0, 0.0, 0.0)
     assert (m["s"].recall, m["s"].precision, m["s"].ap) == (0.0, 0.0, 0.0)
-    other = {r.query_id: r.recall for r in ev.retrieval_metrics(results, relevant, queries, empty_relevant=1.0).collect()}
+    other = {r.query_id: r.recall for r in ev.retrieval_metrics(marked, sizes, queries, empty_relevant=1.0).collect()}
     assert other["r"] == 1.0
+    groups = spark.createDataFrame([("q", "g"), ("r", "h")], "query_id string, group string")
+    items = spark.createDataFrame([("a", "g"), ("b", "g"), ("z", "other")], "scene_id string, group string")
+    by_group = ev.mark_group_hits(results, groups, items)
+    assert {(r.query_id, r.scene_id) for r in ev.intersect_hits(by_group).collect()} == {("q", "a"), ("q", "b")}
+    assert {r.query_id: r.relevant for r in ev.group_sizes(groups, items).collect()} == {"q": 2, "r": 0}
 
 
 def test_answer_metrics(spark):

@@ -150,9 +150,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
 
     picked = ranked.groupBy(*keys, "prob", "n").agg(at(low_at).alias("__lo"), at(high_at).alias("__hi"))
     share = position - F.floor(position)
-    return picked.select(
-        *keys, "prob", "n", (F.col("__lo") + share * (F.col("__hi") - F.col("__lo"))).alias("percentile")
-    )
+    span = F.col("__hi") - F.col("__lo")
+    # from the nearer end, so that a share of almost 1 gives the upper value itself
+    between = F.when(share < 0.5, F.col("__lo") + span * share).otherwise(F.col("__hi") - span * (1 - share))
+    return picked.select(*keys, "prob", "n", between.alias("percentile"))
 
 
 def _match_keys(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

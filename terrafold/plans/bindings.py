@@ -125,7 +125,7 @@ VIEWS = {
         "lineitem",
         [
             ("l_suppkey", "scene_id"),
-            ("row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber) - 1", "pos"),
+            ("row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_quantity) - 1", "pos"),
             ("sqrt(l_extendedprice / 1e5)", "value"),
         ],
         None,

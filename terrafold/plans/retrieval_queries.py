@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vectors
 from ..operators import evalkit as ev, retrieval as rt
 from .bindings import day_text
 from .catalog_queries import STAGE1

@@ -3,9 +3,9 @@
 1. Every line long enough becomes a 128-bit digest with its document and
    position. No text leaves the scan.
 2. The digests are range-partitioned by (digest, document) and sorted within
-   partitions, documents descending, positions ascending. A line held by a third
-   of all documents spreads over many ranges; each range streams its runs and
-   sends on one row per digest: how many documents, and the first in this order.
+   partitions by document and position. A line held by a third of all documents
+   spreads over many ranges. Each range streams the first occurrence of a line in a
+   document and sends on one row per digest: how many documents, and the largest.
 3. The digests of at least ``min_documents`` documents meet the digest rows again.
    The lines outside the keeper become bits, 64 lines to a word; words without a
    dropped line are left out.
@@ -13,7 +13,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import any_id, cut, let, lower_ascii, split_lines, strip_white
 
@@ -46,8 +46,10 @@ def keep_bitmaps(
     keeper is the largest id that holds the line, and keeps all its copies of it.
     """
     rows = cut(digests(df, row_id, text, min_chars))
-    ranged = rows.repartitionByRange("h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "pos")
-    held = ranged.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"))
+    ranged = rows.repartitionByRange("h1", "h2", "doc")
+    # equal (digest, document) are in one range: the window sorts there and streams, without another shuffle
+    place = F.row_number().over(W.partitionBy("h1", "h2", "doc").orderBy("pos"))
+    held = ranged.withColumn("place", place).filter(F.col("place") == 1)
     common = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
     common = cut(common.filter(F.col("n") >= min_documents).drop("n"))
     gone = rows.join(common, ["h1", "h2"]).filter(F.col("doc") != F.col("keeper"))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_settings
-from . import bpe_duckdb, host_rules, line_dedup, mixing, substring_dedup
-from .common import any_id, documents, id_remainder
+from . import bpe_duckdb, chat_trees, host_rules, language_id, line_dedup, mixing, quality_fm, substring_dedup, topk_search
+from .common import documents, id_remainder
 from .oracle import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,36 @@ def real_id(name: str):
     return F.when(F.col(name) != -(2**63), F.col(name))
 
 
+@query("op1_topk_search")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op2_chat_trees")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = chat_trees.chain(rows.unionByName(added), "conv_id", "turn", "role", "text")
+    done = chat_trees.format_trees(messages)
+    turns = chat_trees.parse_turns(F.col("formatted"))
+    texts = chat_trees.loss_texts(F.col("formatted"), F.col("loss"))
+    told = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = done.select(
+        F.col("tree").alias("conv_id"), F.length("formatted").alias("formatted_chars"), turns.alias("turns"),
+        F.array_join(texts, "").alias("under_loss"),
+    )
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", told), ""), 256).alias("turns_sha256"),
+        F.length("under_loss").cast("long").alias("loss_chars"),
+        F.sha2("under_loss", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     gone = substring_dedup.repeated_units(documents(spark, folder))
@@ -47,6 +77,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    model = language_id.train(docs, ~held_out, RANKS)
+    return language_id.with_language(docs.withColumn("held_out", held_out), model).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
 @query("op7_line_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, folder).select("doc_id", "text"))
@@ -58,6 +98,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_quality_fm")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "n_chars")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    model = quality_fm.train(docs, labels, ~held_out)
+    return quality_fm.with_score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe_duckdb.encode(documents(spark, folder).select("doc_id", "text"), "text", RANKS, PATTERN).drop("text")

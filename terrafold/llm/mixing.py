@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.ordered import with_running_sum
-from .common import WORD, any_id, cut
+from .common import WORD, any_id, cut, let
 
 BLOCK = 32
 SHARD_SLOTS = 4096
@@ -236,3 +236,28 @@ def mix(
     ).filter("n_blocks > 0")
     quotas = quotas.withColumn("quota", F.least("quota", F.col("n_blocks") * int(cap)))
     return Mixture(placed, targets, slot_plan(quotas, shard_slots, seed), block)
+
+
+#: A word with the white space after it.
+PIECE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+
+
+def mixed_documents(df: DataFrame, mixture: Mixture, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The mix as rows of ``df``: one per document and pass, ``text`` cut to the words that the pass takes.
+
+    A document taken whole keeps its text as it is; documents that no pass takes go. Rows
+    with equal id and text are the same document and come as often as they are taken;
+    the other columns of one of them stand for all.
+    """
+    ranges = mixture.taken.groupBy("doc", "tag", "source", "start", "epoch").agg(
+        F.sum("n").alias("__taken"), F.sort_array(F.collect_list(F.struct("skip", "n"))).alias("__ranges")
+    )
+    ranges = ranges.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), "__taken", "__ranges")
+    texts = df.withColumns({"__id": any_id(row_id), "__key": F.xxhash64(row_id, text)}).dropDuplicates(["__id", "__key"])
+    joined = texts.join(ranges, (F.col("__id") == F.col("__doc")) & (F.col("__key") == F.col("__tag")))
+    part = lambda ws: F.transform(
+        "__ranges", lambda r: F.array_join(F.slice(ws, (r["skip"] + 1).cast("int"), r["n"].cast("int")), "")
+    )
+    cut_text = let(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)), lambda ws: F.array_join(part(ws), ""))
+    shown = F.when(F.col("__taken") == n_words(F.col(text)), F.col(text)).otherwise(cut_text)
+    return joined.select(*[shown.alias(c) if c == text else F.col(c) for c in df.columns])

@@ -89,3 +89,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLES["op6_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), c AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM o JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * o >= 90 * (ca.n + cb.n - o)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, comp) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node WHERE r.comp < e.b
+)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, min(r.comp)::BIGINT AS component_id
+FROM d LEFT JOIN c USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY ALL
+"""

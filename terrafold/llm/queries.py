@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_settings
-from . import bpe_duckdb, chat_trees, host_rules, language_id, line_dedup, mixing, quality_fm, substring_dedup, topk_search
+from . import bpe_duckdb, chat_trees, host_rules, language_id, line_dedup, mixing, ngram_join, quality_fm, substring_dedup, topk_search
 from .common import documents, id_remainder
 from .oracle import ORACLES
 
@@ -87,6 +87,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_ngram_join")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.jaccard_classes(documents(spark, folder))
+    return found.select(
+        real_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real_id("component").alias("component_id")
+    )
+
+
 @query("op7_line_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, folder).select("doc_id", "text"))

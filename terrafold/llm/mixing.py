@@ -34,7 +34,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 #: Rows of one slice of a stream, on average.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 5000
 
 
 def n_words(text: Column) -> Column:

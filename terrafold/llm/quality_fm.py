@@ -66,6 +66,7 @@ def features(texts: list[bytes], n_chars: np.ndarray) -> Features:
     counts = np.zeros((n, len(CLASSES) + 2))
     for numbers, ends, data in kernels.chunks(texts):
         kinds = _CLASS[np.frombuffer(data, dtype=np.uint8)]
+        kinds[ends[:-1]] = len(CLASSES) + 1  # the line feeds between texts belong to none
         owner = np.repeat(numbers, np.diff(np.concatenate([[-1], ends])))[: len(kinds)]
         counts += np.bincount(owner * counts.shape[1] + kinds, minlength=counts.size).reshape(counts.shape)
     hashes, first = kernels.word_hashes(texts)

@@ -34,8 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import short_batches
 
 SLICE_BYTES = 3_000_000
-MEMO = 600_000
-MEMO_BYTES = 48_000_000
+MEMO = 500_000
+MEMO_BYTES = 40_000_000
+#: Words of one query.
+QUERY_WORDS = 20_000
 LONG_BYTES = 300
 #: A contraction key is rank * POSITIONS + position.
 POSITIONS = 1 << 32
@@ -167,11 +169,15 @@ class ByteBpe:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _run(self, sql: str, starts: np.ndarray, tokens: np.ndarray) -> pa.ChunkedArray:
+    def _run(self, sql: str, starts: np.ndarray, tokens: np.ndarray) -> pa.Array:
         """The last column of a query over the token lists that begin at ``starts``, in their order."""
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tokens, pa.int32()))
-        self._table("words", pa.table({"wid": pa.array(np.arange(len(lists), dtype=np.int32)), "toks": lists}))
-        return self.con.sql(sql).to_arrow_table().column(1).combine_chunks()
+        out = []
+        for at in range(0, len(lists), QUERY_WORDS):
+            some = lists[at : at + QUERY_WORDS]
+            self._table("words", pa.table({"wid": pa.array(np.arange(len(some), dtype=np.int32)), "toks": some}))
+            out += self.con.sql(sql).to_arrow_table().column(1).chunks
+        return pa.concat_arrays(out)
 
     def _encode(self, words: pa.BinaryArray, sql: str) -> pa.BinaryArray:
         """The ids of distinct words."""

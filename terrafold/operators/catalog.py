@@ -304,9 +304,11 @@ def landmark_check(scenes: DataFrame, landmarks=None, max_degrees: float = 5.0)
     return scenes.withColumn("landmark_match", F.coalesce(near, F.lit(False)) | F.coalesce(in_range, F.lit(False)))
 
 
-def crs_gate(scenes: DataFrame, per_origin: int = 3) -> DataFrame:
-    """Newest ``per_origin`` scenes of every origin: geometry parses, bounds in range, landmark flag."""
-    sampled = first_rows(scenes, ["dataset_origin"], newest_first(), per_origin).drop("rank")
+def crs_gate(scenes: DataFrame, per_origin: int | None = None) -> DataFrame:
+    """All scenes, or the newest ``per_origin`` of every origin: geometry parses, bounds in range, landmark flag."""
+    checked = scenes
+    if per_origin is not None:
+        checked = first_rows(scenes, ["dataset_origin"], newest_first(), per_origin).drop("rank")
     box = Box.named()
     in_range = (
         box.min_lon.between(-180, 180)
@@ -317,7 +319,7 @@ def crs_gate(scenes: DataFrame, per_origin: int = 3) -> DataFrame:
     check = (
         F.when(~box.known(), "geometry_valid").when(~in_range, "lat_lon_bounds").otherwise("crs_verification")
     )
-    flagged = landmark_check(sampled)
+    flagged = landmark_check(checked)
     passed = check == "crs_verification"
     return flagged.select(
         "scene_id",
@@ -374,8 +376,15 @@ def catalog_manifest(scenes: DataFrame, version: str = "1.0") -> DataFrame:
 def catalog_upsert(existing: DataFrame, batches: DataFrame, batch: str = "batch") -> DataFrame:
     """Insert-or-replace: the row of the highest batch number wins, stored rows rank below any batch.
 
-    The result is a new snapshot; write it to a new path (``sources.sinks.write_snapshot``).
+    Rows of one id and batch number are ordered by their content, so the winner does
+    not depend on the order of the rows. The result is a new snapshot; write it to a new path (``sources.sinks.write_snapshot``).
     """
     stored = existing.withColumn(batch, F.lit(-1).cast("long"))
     both = stored.unionByName(batches.withColumn(batch, F.col(batch).cast("long")), allowMissingColumns=True)
-    return first_rows(both, ["scene_id"], [F.desc(batch)], 1).drop("rank", batch)
+    return newest_versions(both, [F.desc(batch)]).drop(batch)
+
+
+def newest_versions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """One row per ``scene_id``: the first by ``order``, ties by the content of the whole row, greatest first."""
+    content = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    return first_rows(rows, ["scene_id"], [*order, F.desc(content)], 1).drop("rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions import geo, text as tx
+from ..functions.binding import let
 from ..functions.geo import Box
 from .ordered import exact_percentiles, first_rows
 
@@ -226,44 +227,56 @@ def bleu_set(reference: Column, prediction: Column) -> Column:
     return F.when(empty | logs.isNull(), F.lit(0.0)).otherwise(F.exp(logs / 4))
 
 
-def answer_scores(rows: DataFrame, key: str, reference: str = "reference", prediction: str = "prediction") -> DataFrame:
-    """``key, bleu4, f1, exact_match`` with clipped n-gram counts.
+def _runs(values: Column) -> Column:
+    """Distinct values of an array with their counts, ``array<struct<g, c>>``."""
 
-    Grams are counted by a shuffle on (key, gram), so a long text is many
-    small groups.
-    """
+    def count(ordered: Column) -> Column:
+        starts = F.filter(
+            F.transform(ordered, lambda g, i: F.when((i == 0) | (g != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull()
+        )
+
+        def lengths(at: Column) -> Column:
+            after = F.slice(at, 2, F.greatest(F.size(at), F.lit(1)))
+            return F.zip_with(
+                at, after, lambda a, b: F.struct(F.get(ordered, a).alias("g"), (F.coalesce(b, F.size(ordered)) - a).alias("c"))
+            )
+
+        return let(starts, lengths)
+
+    return let(F.array_sort(values), count)
+
+
+def _clipped(left: Column, right: Column) -> Column:
+    """Size of the multiset intersection of two arrays: both count their values, and equal values meet as neighbours."""
+
+    def meet(both: Column) -> Column:
+        after = F.slice(both, 2, F.greatest(F.size(both), F.lit(1)))
+        common = F.zip_with(both, after, lambda a, b: F.when(a["g"] == b["g"], F.least(a["c"], b["c"])).otherwise(F.lit(0)))
+        return F.aggregate(common, F.lit(0), lambda total, n: total + n)
+
+    return let(F.sort_array(F.concat(_runs(left), _runs(right))), meet)
+
+
+def answer_scores(rows: DataFrame, key: str, reference: str = "reference", prediction: str = "prediction") -> DataFrame:
+    """``key, bleu4, f1, exact_match`` with clipped n-gram counts, all within the row."""
     base = rows.select(
         key,
         tx.answer_tokens(F.coalesce(F.col(reference), F.lit(""))).alias("__r"),
         tx.answer_tokens(F.coalesce(F.col(prediction), F.lit(""))).alias("__p"),
     )
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("__r").alias("toks")),
-        F.struct(F.lit(1).alias("side"), F.col("__p").alias("toks")),
-    )
-    split = base.select(key, F.explode(sides).alias("s")).select(key, "s.side", "s.toks")
-    by_n = F.array(*[F.struct(F.lit(n).alias("n"), tx.ngrams(F.col("toks"), n).alias("grams")) for n in range(1, 5)])
-    grams = split.select(key, "side", F.explode(by_n).alias("g")).select(
-        key, "side", F.col("g.n").alias("n"), F.explode("g.grams").alias("gram")
-    )
-    counted = grams.groupBy(key, "n", "gram").agg(
-        F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("p")
-    )
-    sums = {f"m{n}": F.sum(F.when(F.col("n") == n, F.least("r", "p")).otherwise(0)) for n in range(1, 5)}
-    sums.update({f"t{n}": F.sum(F.when(F.col("n") == n, F.col("p")).otherwise(0)) for n in range(1, 5)})
-    sums["r1"] = F.sum(F.when(F.col("n") == 1, F.col("r")).otherwise(0))
-    overlap = counted.groupBy(key).agg(*[c.alias(n) for n, c in sums.items()])
+    r, p = F.col("__r"), F.col("__p")
+    counts = {"t1": F.size("__p"), "r1": F.size("__r")}
+    for n in range(1, 5):
+        counts[f"m{n}"] = _clipped(tx.ngrams(r, n), tx.ngrams(p, n))
+        counts[f"t{n}"] = F.greatest(F.size("__p") - (n - 1), F.lit(0))
+    counted = base.select(key, (r == p).cast("double").alias("exact_match"), F.explode(F.array(F.struct(*[c.alias(n) for n, c in counts.items()]))).alias("n"))
+    counted = counted.select(key, "exact_match", "n.*")
     logs = F.lit(0.0)
     for n in range(1, 5):
         logs = logs + F.log(F.when(F.col(f"m{n}") > 0, F.try_divide(f"m{n}", f"t{n}")))
     precision, recall = F.try_divide("m1", "t1"), F.try_divide("m1", "r1")
     f1 = F.when(F.col("m1") > 0, F.try_divide(2 * precision * recall, precision + recall)).otherwise(F.lit(0.0))
-    scored = overlap.select(key, F.coalesce(F.exp(logs / 4), F.lit(0.0)).alias("bleu4"), f1.alias("f1"))
-    same = base.select(key, (F.col("__r") == F.col("__p")).cast("double").alias("exact_match"))
-    zero = F.lit(0.0)
-    return same.join(scored, key, "left").select(
-        key, F.coalesce("bleu4", zero).alias("bleu4"), F.coalesce("f1", zero).alias("f1"), "exact_match"
-    )
+    return counted.select(key, F.coalesce(F.exp(logs / 4), F.lit(0.0)).alias("bleu4"), f1.alias("f1"), "exact_match")
 
 
 def box_scores(rows: DataFrame, key: str, reference: str, reply: str) -> DataFrame:

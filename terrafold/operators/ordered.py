@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialize
+
 
 def time_chunk(time: Column, days: int) -> Column:
     """Order-preserving slice number of a timestamp; null times come first."""
@@ -44,6 +46,16 @@ def with_rank(df: DataFrame, keys: list[str], chunk: Column, order: list, name:
     return with_running_sum(df, keys, chunk, order, F.lit(1), name)
 
 
+def with_range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """1-based rank per key in any order, for keys of any size.
+
+    Rows are range-partitioned by keys and order, so a large key spreads over many
+    partitions, which then are the chunks. They are cut, as partition numbers must not change.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
+    return with_rank(materialize(ranged), keys, F.col("__range"), order, name).drop("__range")
+
+
 def with_neighbours(
     df: DataFrame, keys: list[str], time: str, row_id: str, days: int, before: str | None, after: str | None
 ) -> DataFrame:

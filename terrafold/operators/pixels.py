@@ -270,14 +270,14 @@ def band_order(long: DataFrame, key: str = "scene_id") -> DataFrame:
 # ---- stencils --------------------------------------------------------------
 
 
-def _reflect(df: DataFrame, line: list[str], axis: str, half: int) -> DataFrame:
-    """Add the mirrored edge pixels of every line so that each window is full.
+def _reflect(df: DataFrame, axis: str, half: int) -> DataFrame:
+    """Add the mirrored edge pixels of every scene along an axis of extent ``__a_axis .. __b_axis``.
 
-    Pixel ``i`` of a line of ``n`` also stands at ``2nk + i`` and ``2nk - 1 - i``
-    for whole ``k``; only places within ``half`` of the line are added.
+    Pixel ``i`` of a scene of ``n`` also stands at ``2nk + i`` and ``2nk - 1 - i``
+    for whole ``k``; only places within ``half`` of the scene are added. Pixels that
+    are missing stay missing, and so do their mirrors.
     """
-    whole = W.partitionBy(*line)  # same partitioning as the stencil window, so one shuffle serves both
-    extent = df.withColumns({"__a": F.min(axis).over(whole), "__b": F.max(axis).over(whole)})
+    extent = df.withColumns({"__a": F.col(f"__a_{axis}"), "__b": F.col(f"__b_{axis}")})
     i, n = F.col(axis) - F.col("__a"), F.col("__b") - F.col("__a") + 1
     reach = F.ceil(F.lit(half) / (2 * n)).cast("int") + 1
     copies = F.flatten(
@@ -294,20 +294,23 @@ def box_filter_mean_var(pixels: DataFrame, keys: list[str], value: str = "value"
     """Local mean and variance in a window × window box with mirrored edges (an even window grows by one).
 
     The box is separable: means along each image row, then along each image
-    column. A task sees one line of one scene, never the whole scene.
+    column, of the pixels that are there; the box is set by positions, and edges are
+    the scene's. A task sees one line of one scene, never the whole scene.
     """
     size = window + 1 if window % 2 == 0 else window
     half = size // 2
-    base = pixels.withColumns({"__m": F.col(value).cast("double"), "__q": F.col(value).cast("double") ** 2})
+    sides = {f"__{side}_{axis}": of(axis) for axis in ("row", "col") for side, of in (("a", F.min), ("b", F.max))}
+    extents = pixels.groupBy(*keys).agg(*[c.alias(n) for n, c in sides.items()])
+    base = _match_keys(pixels, extents, keys).withColumns({"__m": F.col(value).cast("double"), "__q": F.col(value).cast("double") ** 2})
     for line, axis in ((["row"], "col"), (["col"], "row")):
-        wide = _reflect(base, [*keys, *line], axis, half)
-        frame = W.partitionBy(*keys, *line).orderBy("__pos").rowsBetween(-half, half)
+        wide = _reflect(base, axis, half)
+        frame = W.partitionBy(*keys, *line).orderBy("__pos").rangeBetween(-half, half)
         means = wide.withColumns({"__m2": F.avg("__m").over(frame), "__q2": F.avg("__q").over(frame)})
         base = means.filter("__real").drop("__pos", "__real", "__m", "__q").withColumnsRenamed(
             {"__m2": "__m", "__q2": "__q"}
         )
     return base.withColumns({"local_mean": F.col("__m"), "local_var": F.col("__q") - F.col("__m") ** 2}).drop(
-        "__m", "__q"
+        "__m", "__q", *sides
     )
 
 

@@ -12,10 +12,7 @@ from ..functions import scores, text as tx, vectors
 from ..functions.geo import Box
 from .catalog import newest_first
 from .joins import QUERY_BOX, query_scene_join
-from .ordered import first_rows
-
-RELAXED_SCENES = 50  # fixed value: scenes offered to a query nothing matched
-
+from .ordered import first_rows, with_range_rank
 
 def topk_per_query(
     scored: DataFrame, k: int, query: str = "query_id", score: str = "score", item: str = "scene_id", name: str = "rank"
@@ -24,8 +21,9 @@ def topk_per_query(
     return first_rows(scored, [query], [F.desc(score), F.asc(item)], k, name)
 
 
-def result_rank(results: DataFrame, query: str = "query_id", score: str = "score", item: str = "scene_id", k: int = 1000) -> DataFrame:
-    return topk_per_query(results, k, query, score, item)
+def result_rank(results: DataFrame, query: str = "query_id", score: str = "score", item: str = "scene_id") -> DataFrame:
+    """All results with their 1-based ``rank`` per query, score descending, ties by id."""
+    return with_range_rank(results, [query], [F.desc(score), F.asc(item)], "rank")
 
 
 def two_stage_topk(
@@ -166,7 +164,7 @@ def semantic_rank(
     return scored if k is None else topk_per_query(scored, k)
 
 
-def relax_empty(scenes: DataFrame, queries: DataFrame, candidates: DataFrame, n: int = RELAXED_SCENES) -> DataFrame:
+def relax_empty(scenes: DataFrame, queries: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     """Offer the ``n`` newest scenes to queries that matched nothing."""
     newest = scenes.orderBy(*newest_first()).limit(n).agg(F.collect_list(F.struct(*scenes.columns)).alias("a"))
     lonely = queries.join(candidates.select("query_id").distinct(), "query_id", "left_anti")
@@ -179,7 +177,7 @@ def retrieve_batch(
     queries: DataFrame,
     k: int = 10,
     fuse: bool = True,
-    relax_when_empty: bool = False,
+    relax_when_empty: int = 0,
     weights: dict[str, float] | None = None,
     embed: Embed | None = None,
     end_inclusive_day: bool = False,
@@ -187,7 +185,8 @@ def retrieve_batch(
     """Filter, rank by text similarity (2k), fuse four scores (k), for every query in one plan.
 
     ``fuse=False`` ranks by similarity of the query text and the
-    sensor/modality/object text alone.
+    sensor/modality/object text alone. ``relax_when_empty`` is the number of
+    newest scenes offered to queries that matched nothing (0: none).
     """
     if fuse:
         s_text = F.concat(F.coalesce("object", F.lit("")), F.lit(" "), F.col("scene_id"))
@@ -200,7 +199,7 @@ def retrieve_batch(
     right = queries.withColumns({"__qt": q_text, "__qv": embed_column(q_text, embed)})
     pairs = query_scene_join(left, right, end_inclusive_day=end_inclusive_day)
     if relax_when_empty:
-        pairs = relax_empty(left, right, pairs)
+        pairs = relax_empty(left, right, pairs, relax_when_empty)
     dim = vectors.HASH_DIM if embed is None else None
     silent = F.coalesce(F.trim("__qt"), F.lit("")) == ""
     neutral = 0.0 if fuse else 0.5

@@ -133,7 +133,7 @@ VIEWS = {
     "raster": (
         "raster0",
         [("scene_id", None), ("CAST(floor(pos / 25e0) AS BIGINT)", "row"), ("CAST(pos % 25 AS BIGINT)", "col"), ("value", None)],
-        None,
+        "pos % 23 <> 5",  # nodata holes
     ),
     "log": (
         "events",
@@ -210,7 +210,7 @@ VIEWS = {
             ("doc_id", None),
             ("lang", "stratum"),
             ("source", "family"),
-            ("CASE WHEN doc_id % 19 = 3 THEN '' WHEN doc_id % 19 = 4 THEN '{{\"task\": 1}}' ELSE substr(text, 1, 200 + doc_id % 150) END", "query_text"),
+            ("CASE WHEN doc_id % 19 = 3 THEN '' WHEN doc_id % 19 = 4 THEN '{{\"task\": 1}}' ELSE text END", "query_text"),
             (
                 "CASE doc_id % 11 WHEN 0 THEN '{{broken' "
                 "WHEN 1 THEN '{{\"query_text\":\"q\",\"task_type\":\"fly\"}}' "
@@ -271,29 +271,22 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, rows: DataFrame) -> DataFrame:
-        """Use every core on a table that arrives in fewer pieces than there are cores; large tables pass as they are."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
     def view(self, name: str) -> DataFrame:
         if name not in VIEWS:
             return self.table(name)
         source, items, where = VIEWS[name]
         rows = self.documents if source == "documents" else self.view(source)
-        if name == "query_text0":  # a dozen regular expressions per row follow
-            rows = self.spread(rows)
         if where:
             rows = rows.filter(where)
         return rows.selectExpr(*[_expression(i, SPARK, "`") for i in items])
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.spread(self.table("documents"))
+        return self.table("documents")
 
     @cached_property
     def unpaired(self) -> DataFrame:
-        return self.spread(self.view("scenes0"))
+        return self.view("scenes0")
 
     @cached_property
     def scenes(self) -> DataFrame:

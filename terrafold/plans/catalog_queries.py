@@ -251,8 +251,9 @@ def _(d):
     """WITH+ b AS (SELECT scene_id, CAST(-1 AS BIGINT) AS batch, object FROM scenes0
       UNION ALL SELECT scene_id, 1, 'first' FROM scenes0 WHERE scene_no % 4 = 0
       UNION ALL SELECT scene_id, 2, 'second' FROM scenes0 WHERE scene_no % 6 = 0
+      UNION ALL SELECT scene_id, 2, 'rival' FROM scenes0 WHERE scene_no % 12 = 0
       UNION ALL SELECT 'new' || scene_id, 1, 'added' FROM scenes0 WHERE scene_no % 9 = 0)
-    SELECT scene_id, object FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY batch DESC) AS r FROM b) WHERE r = 1""",
+    SELECT scene_id, object FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY batch DESC, object DESC) AS r FROM b) WHERE r = 1""",
     ("scenes0",),
 )
 def _(d):
@@ -264,7 +265,7 @@ def _(d):
         )
 
     added = batch(9, 1, "added", F.concat(F.lit("new"), "scene_id"))
-    rows = batch(4, 1, "first").unionAll(batch(6, 2, "second")).unionAll(added)
+    rows = batch(4, 1, "first").unionAll(batch(6, 2, "second")).unionAll(batch(12, 2, "rival")).unionAll(added)
     return c.catalog_upsert(s.drop("scene_no"), rows)
 
 
@@ -354,43 +355,51 @@ CRS = (
     "WITH+ base AS (SELECT *, scene_no % 3 = 0 AS bad FROM scenes0), moved AS (SELECT scene_id, dataset_origin, acquisition_time, "
     "CASE WHEN bad THEN min_lon + 200 ELSE min_lon END AS min_lon, CASE WHEN scene_no % 5 = 0 THEN NULL ELSE min_lat END AS min_lat, "
     "CASE WHEN bad THEN max_lon + 200 ELSE max_lon END AS max_lon, max_lat FROM base), "
-    "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_origin ORDER BY acquisition_time DESC NULLS LAST, scene_id) AS r FROM moved) WHERE r <= 20), "
+    "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_origin ORDER BY acquisition_time DESC NULLS LAST, scene_id) AS r FROM moved){where}), "
     + LANDMARKS.format(scenes="top")
 )
-
-
-@query(
-    "crs_gate",
-    CRS
-    + """SELECT scene_id, dataset_origin, chk AS "check", chk = 'crs_verification' AS passed, CASE WHEN chk = 'crs_verification' THEN landmark END AS landmark_match
+CRS_CHECKS = """SELECT scene_id, dataset_origin, chk AS "check", chk = 'crs_verification' AS passed, CASE WHEN chk = 'crs_verification' THEN landmark END AS landmark_match
     FROM (SELECT t.scene_id, t.dataset_origin, CASE WHEN min_lon IS NULL OR min_lat IS NULL THEN 'geometry_valid'
       WHEN NOT (min_lon BETWEEN -180 AND 180 AND max_lon BETWEEN -180 AND 180 AND min_lat BETWEEN -90 AND 90 AND max_lat BETWEEN -90 AND 90) THEN 'lat_lon_bounds'
       ELSE 'crs_verification' END AS chk,
       coalesce(near, FALSE) OR ((min_lon + max_lon) / 2 BETWEEN -180 AND 180 AND (min_lat + max_lat) / 2 BETWEEN -90 AND 90) AS landmark
-      FROM top t LEFT JOIN near n ON t.scene_id = n.scene_id)""",
-    ("scenes0",),
-)
-def _(d):
+      FROM top t LEFT JOIN near n ON t.scene_id = n.scene_id)"""
+
+
+def _moved(d):
+    """Scenes of which some lie out of range and some have no lower bound."""
     far = F.when(F.col("scene_no") % 3 == 0, 200.0).otherwise(0.0)
-    moved = d.unpaired.withColumns(
+    return d.unpaired.withColumns(
         {
             "min_lon": F.col("min_lon") + far,
             "max_lon": F.col("max_lon") + far,
             "min_lat": F.when(F.col("scene_no") % 5 != 0, F.col("min_lat")),
         }
     )
-    return c.crs_gate(moved, 20)
+
+
+@query("crs_gate", CRS.replace("{where}", "") + CRS_CHECKS, ("scenes0",))
+def _(d):
+    return c.crs_gate(_moved(d))
+
+
+@query("crs_gate_sample", CRS.replace("{where}", " WHERE r <= 20") + CRS_CHECKS, ("scenes0",))
+def _(d):
+    return c.crs_gate(_moved(d), 20)
 
 
 @query(
     "catalog_manifest",
     """WITH+ p AS (SELECT CASE WHEN b.paired_scene_id = a.scene_id AND a.acquisition_time IS DISTINCT FROM b.acquisition_time THEN 1
       WHEN b.paired_scene_id = a.scene_id AND a.acquisition_time IS NULL THEN 1 ELSE 0 END AS ok
-      FROM scenes a LEFT JOIN scenes b ON a.paired_scene_id = b.scene_id WHERE a.paired_scene_id IS NOT NULL)
+      FROM scenes a LEFT JOIN scenes b ON a.paired_scene_id = b.scene_id WHERE a.paired_scene_id IS NOT NULL),
+    crs AS (SELECT coalesce(bool_and(coalesce(min_lon BETWEEN -180 AND 180 AND max_lon BETWEEN -180 AND 180
+      AND min_lat BETWEEN -90 AND 90 AND max_lat BETWEEN -90 AND 90, FALSE)), TRUE) AS ok FROM scenes)
     SELECT '1.0' AS catalog_version, (SELECT count(*) FROM scenes) AS total_scenes, (SELECT count(paired_scene_id) FROM scenes) AS paired_scenes,
-      TRUE AS crs_passed, (SELECT count(*) = sum(ok) FROM p) AS pairs_passed, (SELECT count(*) // 2 FROM p) AS total_pairs,
+      (SELECT ok FROM crs) AS crs_passed, (SELECT count(*) = sum(ok) FROM p) AS pairs_passed, (SELECT count(*) // 2 FROM p) AS total_pairs,
       (SELECT CAST(sum(ok) AS BIGINT) // 2 FROM p) AS valid_pairs,
-      CASE WHEN (SELECT count(*) = sum(ok) FROM p) THEN '' ELSE 'Pair integrity check failed for some pairs; ' END
+      CASE WHEN (SELECT ok FROM crs) THEN '' ELSE 'CRS verification failed for some scenes; ' END
+       || CASE WHEN (SELECT count(*) = sum(ok) FROM p) THEN '' ELSE 'Pair integrity check failed for some pairs; ' END
        || (SELECT count(*) FROM scenes WHERE file_path IS NULL) || ' scenes missing file_path' AS caveats,
       (SELECT string_agg(o, ',' ORDER BY o) FROM (SELECT DISTINCT dataset_origin AS o FROM scenes)) AS sources""",
     ("scenes",),
@@ -585,8 +594,13 @@ def _(d):
     return joins.query_scene_join(d.unpaired, d.queries).select("query_id", "scene_id")
 
 
+@query("stage1_filter", STAGE1 + "SELECT query_id, scene_id FROM hits", ("scenes0", "search"))
+def _(d):
+    return joins.query_scene_join(d.unpaired, d.queries).select("query_id", "scene_id")
+
+
 @query(
-    "stage1_filter",
+    "relax_empty",
     STAGE1
     + """, newest AS (SELECT scene_id FROM scenes0 ORDER BY acquisition_time DESC NULLS LAST, scene_id LIMIT 50)
     SELECT query_id, scene_id FROM hits
@@ -597,7 +611,7 @@ def _(d):
     from ..operators.retrieval import relax_empty
 
     hits = joins.query_scene_join(d.unpaired, d.queries)
-    return relax_empty(d.unpaired, d.queries, hits).select("query_id", "scene_id")
+    return relax_empty(d.unpaired, d.queries, hits, 50).select("query_id", "scene_id")
 
 
 @query(

@@ -287,11 +287,11 @@ def _(d):
 
 # ---- stencils: mirrored edges, 5 x 5 ------------------------------------------
 
-LINE = """{name}e AS (SELECT s.*, min({axis}) OVER w AS a, max({axis}) OVER w AS b FROM {src} s WINDOW w AS (PARTITION BY scene_id, {line})),
+LINE = """{name}e AS (SELECT s.*, min({axis}) OVER w AS a, max({axis}) OVER w AS b FROM {src} s WINDOW w AS (PARTITION BY scene_id)),
   {name}c AS (SELECT *, 2 * (b - a + 1) * k + CASE m WHEN 0 THEN {axis} - a ELSE -1 - ({axis} - a) END AS pos FROM {name}e, range(-{half}, {half} + 1) t(k), range(0, 2) u(m)),
   {name}n AS (SELECT *, {axis} - a AS i FROM {name}c WHERE pos >= -{half} AND pos <= b - a + {half}),
   {name} AS (SELECT * EXCLUDE (a, b, k, m, pos, i, mean, sq, m2, q2), m2 AS mean, q2 AS sq FROM (SELECT *, avg(mean) OVER w AS m2, avg(sq) OVER w AS q2 FROM {name}n
-    WINDOW w AS (PARTITION BY scene_id, {line} ORDER BY pos ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)) WHERE pos = i)"""
+    WINDOW w AS (PARTITION BY scene_id, {line} ORDER BY pos RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)) WHERE pos = i)"""
 
 
 def stencil(value: str, half: int) -> str:

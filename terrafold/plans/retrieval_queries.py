@@ -71,15 +71,14 @@ def _(d):
 @query(
     "result_rank",
     STAGE1
-    + """SELECT query_id, scene_id, rank FROM (SELECT query_id, scene_id,
-    row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cloud_cover, 0) DESC, scene_id) AS rank FROM hits) WHERE rank <= 1000""",
+    + """SELECT query_id, scene_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cloud_cover, 0) DESC, scene_id) AS rank FROM hits""",
     ("scenes0", "search"),
 )
 def _(d):
     from ..operators.joins import query_scene_join
 
     hits = query_scene_join(d.unpaired, d.queries).withColumn("score", F.coalesce("cloud_cover", F.lit(0.0)))
-    return rt.result_rank(hits).select("query_id", "scene_id", "rank")
+    return rt.result_rank(hits.select("query_id", "scene_id", "score")).select("query_id", "scene_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 TWO_STAGE = (
@@ -371,14 +370,14 @@ def _(d):
     best AS (SELECT query_id, scene_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cloud_cover, 0) DESC, scene_id) AS rank FROM hits),
     g AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 2 = 0 THEN 'aoi_0|Sentinel-2' ELSE 'aoi_1|Sentinel-1' END AS g FROM customer)
     SELECT best.query_id, best.scene_id, rank, CASE WHEN t.aoi || '|' || t.sensor = g.g THEN 1 ELSE 0 END AS hit
-    FROM best JOIN g ON best.query_id = g.query_id LEFT JOIN test t ON t.scene_id = best.scene_id WHERE rank <= 50""",
+    FROM best JOIN g ON best.query_id = g.query_id LEFT JOIN test t ON t.scene_id = best.scene_id""",
     ("scenes0", "search"),
 )
 def _(d):
     from ..operators.joins import query_scene_join
 
     found = query_scene_join(d.unpaired, d.queries).withColumn("score", F.coalesce("cloud_cover", F.lit(0.0)))
-    results = rt.topk_per_query(found.select("query_id", "scene_id", "score"), 50)
+    results = rt.result_rank(found.select("query_id", "scene_id", "score"))
     wanted = F.when(F.col("query_id") % 2 == 0, "aoi_0|Sentinel-2").otherwise("aoi_1|Sentinel-1")
     query_groups = d.queries.select("query_id", wanted.alias("group"))
     items = ev.eval_groups(d.unpaired.drop("aoi"), _splits(d))

@@ -206,7 +206,7 @@ def _(d):
 
 @query(
     "session_stream",
-    """WITH+ f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 24 HOUR THEN 1 ELSE 0 END AS f FROM log WINDOW w AS (PARTITION BY session_id ORDER BY ts, query_id)),
+    """WITH+ f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS f FROM log WINDOW w AS (PARTITION BY session_id ORDER BY ts, query_id)),
     s AS (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY ts, query_id) AS no FROM f)
     SELECT session_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM s GROUP BY session_id, no""",
     ("log",),

@@ -39,14 +39,17 @@ def use_settings(spark: SparkSession) -> SparkSession:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint a DataFrame that several branches read, in the cluster's shared ``spark.checkpoint.dir``.
+    """Checkpoint a DataFrame that several branches read, in the session's ``spark.checkpoint.dir``.
 
-    Without that setting a local session uses a temporary folder of its own;
-    on a cluster the DataFrame is returned as it is and its branches recompute.
+    A purely local session without the setting (tests) gets a folder of its own;
+    a cluster without it is an error, as its machines share no other folder.
     """
     context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            return df
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="terrafold-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="terrafold-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.catalog import catalog_upsert
+from ..operators.catalog import newest_versions
 from ..sources.sinks import write_snapshot
 
 
@@ -24,15 +24,15 @@ def snapshot_paths(spark, root: str) -> list[str]:
 
 
 def catalog_upsert_stream(
-    source: DataFrame, root: str, checkpoint: str, event_time: str = "ingested_at", watermark: str = "1 hour"
+    source: DataFrame, root: str, checkpoint: str, event_time: str = "ingested_at"
 ) -> StreamingQuery:
     """Merge a stream of scene rows into the newest snapshot under ``root``, one new snapshot per micro-batch.
 
-    The snapshot number is the batch number, so a batch run again after a
-    failure replaces its own unfinished output and changes nothing if it had
-    finished.
+    The snapshots keep the event time, and the row of the latest event time wins (ties
+    by content) however the stream is cut into micro-batches; late rows count like
+    any others. The snapshot number is the batch number, so a batch run again after a
+    failure replaces its own unfinished output and changes nothing if it had finished.
     """
-    unique = source.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["scene_id", event_time])
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -40,17 +40,16 @@ def catalog_upsert_stream(
         done = snapshot_paths(spark, root)
         if target in done:
             return
-        rows = batch.withColumn("batch", F.unix_micros(event_time)).drop(event_time)
+        rows = batch
         if done:
-            merged = catalog_upsert(spark.read.parquet(done[-1]), rows)
-        else:
-            merged = catalog_upsert(rows.drop("batch").limit(0), rows)
+            rows = spark.read.parquet(done[-1]).unionByName(batch, allowMissingColumns=True)
+        merged = newest_versions(rows, [F.desc_nulls_last(event_time)])
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         write_snapshot(merged, target)
 
     return (
-        unique.writeStream.foreachBatch(merge)
+        source.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -3,10 +3,12 @@
 import pytest
 from oracle_check import compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from terrafold.plans import all_queries
+from terrafold.plans.registry import ORACLES as SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+all_queries.load()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +17,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(queries())
+    assert set(SQL) == set(QUERIES)
 
 
 def test_entry_runs(spark):
@@ -30,5 +32,5 @@ LARGER = {"band_stretch_percentile": "/root/testdata/sf0.01"}
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, name):
     folder = LARGER.get(name, FOLDER)
-    ok, note = compare(spark, duck(folder) if name in LARGER else con, queries()[name], SQL[name], folder)
+    ok, note = compare(spark, duck(folder) if name in LARGER else con, QUERIES[name], SQL[name], folder)
     assert ok, note

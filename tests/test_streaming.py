@@ -31,6 +31,30 @@ def test_upsert_stream(spark, tmp_path):
     assert rows_of(spark, jobs.snapshot_paths(spark, root)[-1]) == [("a", "newest"), ("b", "kept"), ("c", "added")]
 
 
+def test_upsert_stream_equals_batch_under_any_cut(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    items = [("a", "late", 10), ("a", "early", 5), ("b", "x", 7), ("b", "y", 7), ("c", "old", -1500), ("b", "w", 3)]
+    rows = [(i, o, "t", t, t + timedelta(minutes=m)) for i, o, m in items]
+    found = set()
+    for no, cuts in enumerate(([6], [1, 5], [2, 2, 2], [1] * 6, [3, 3])):
+        for turn in (rows, rows[::-1]):
+            base = tmp_path / f"{no}{turn is rows}"
+            at = 0
+            for size in cuts:
+                spark.createDataFrame(turn[at : at + size], SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/in")
+                at += size
+                stream = spark.readStream.schema(SCHEMA).parquet(f"{base}/in")
+                jobs.catalog_upsert_stream(stream, f"{base}/cat", f"{base}/chk").awaitTermination()
+            found.add(tuple(rows_of(spark, jobs.snapshot_paths(spark, f"{base}/cat")[-1])))
+    assert found == {(("a", "late"), ("b", "y"), ("c", "old"))}
+
+
+def test_idle_of_exactly_a_day_stays_one_session(spark):
+    t = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, t), (1, t + timedelta(hours=24)), (1, t + timedelta(hours=48, seconds=1))], "session_id int, ts timestamp")
+    assert sorted(r.n for r in jobs.session_windows(events).collect()) == [1, 2]
+
+
 def test_session_stream_equals_batch(spark, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "chk"))
     t = datetime(2024, 1, 1)

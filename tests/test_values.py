@@ -343,3 +343,19 @@ def test_fused_ranking_uses_user_encoder(spark):
 
     got = rt.semantic_rank(pairs, 3, "qt", "st", embed=embed).orderBy("rank").collect()
     assert [(r.scene_id, r.score) for r in got] == [("s1", 5.0), ("s2", 1.0), ("s3", 0.5)]
+
+
+def test_stencil_goes_by_position(spark):
+    rows = [("s", r, c, float(c)) for r in range(3) for c in range(9) if c != 4]
+    pixels = spark.createDataFrame(rows, "scene_id string, row int, col int, value double")
+    means = {(r.row, r.col): r.local_mean for r in px.box_filter_mean_var(pixels, ["scene_id"], window=3).collect()}
+    assert len(means) == len(rows)
+    assert abs(means[1, 3] - 2.5) < 1e-9 and abs(means[1, 5] - 5.5) < 1e-9 and abs(means[1, 7] - 7) < 1e-9
+
+
+def test_upsert_ties_go_by_content(spark):
+    old = spark.createDataFrame([("a", "z")], "scene_id string, object string")
+    rows = [("a", "x", 1), ("a", "y", 1), ("a", None, 1)]
+    for turn in (rows, rows[::-1]):
+        new = spark.createDataFrame(turn, "scene_id string, object string, batch long")
+        assert [tuple(r) for r in catalog.catalog_upsert(old, new).collect()] == [("a", "y")]

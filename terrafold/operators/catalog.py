@@ -385,6 +385,9 @@ def catalog_upsert(existing: DataFrame, batches: DataFrame, batch: str = "batch"
 
 
 def newest_versions(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """One row per ``scene_id``: the first by ``order``, ties by the content of the whole row, greatest first."""
-    content = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
-    return first_rows(rows, ["scene_id"], [*order, F.desc(content)], 1).drop("rank")
+    """One row per ``scene_id``: the first by ``order``, ties by the greatest content, column by column by name, nulls last."""
+    content = [
+        F.desc_nulls_last(F.to_json(c.name) if "map<" in c.dataType.simpleString() else c.name)
+        for c in sorted(rows.schema, key=lambda c: c.name)
+    ]
+    return first_rows(rows, ["scene_id"], [*order, *content], 1).drop("rank")

@@ -37,6 +37,8 @@ NGRAM = 3
 PERCENT = 90
 #: Cost of one candidate pair, in rows of keys.
 PAIR_COST = 20.0
+#: Bound of the rows that a broadcast of id buckets can have.
+ID_BUCKETS = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -275,7 +277,7 @@ def jaccard_classes(df: DataFrame, row_id: str = "doc_id", text: str = "text", p
 
     keyed = set_arrays(df, row_id, text, lambda s: keys_of(s, bands, plan), "keys").filter(F.size("keys") > 0)
     reps = classes.select("d1", "d2", F.col("rep").alias("doc"))
-    keyed = cut(keyed.join(reps, ["doc", "d1", "d2"], "left_semi").select("doc", "keys").dropDuplicates(["doc", "keys"]))
+    keyed = cut(keyed.join(reps, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["doc", "d1", "d2"]).select("doc", "keys"))
     flat = keyed.select("doc", F.explode("keys").alias("k"))
     flat = flat.select("doc", F.shiftrightunsigned("k", 1).alias("key"), (F.col("k") % 2 == 0).alias("whole"))
     shared = flat.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("whole"), F.col("doc"))).alias("pivot"))
@@ -283,7 +285,10 @@ def jaccard_classes(df: DataFrame, row_id: str = "doc_id", text: str = "text", p
     pairs = cut(flat.join(shared, "key").filter("doc <> pivot").select("doc", "pivot").distinct())
     involved = pairs.select("doc").union(pairs.select("pivot")).distinct()
     texts = df.select(any_id(row_id).alias("__doc"), F.col(text).alias("__text"))
-    texts = texts.join(involved, F.col("__doc") == F.col("doc"), "left_semi")
+    # most texts are not involved and need not be shuffled: at most ID_BUCKETS numbers are broadcast
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
+    texts = texts.withColumn("bucket", bucket("__doc")).join(F.broadcast(involved.select(bucket("doc")).distinct()), "bucket", "left_semi")
+    texts = texts.drop("bucket").join(involved, F.col("__doc") == F.col("doc"), "left_semi")
     sets = set_arrays(texts, "__doc", "__text", lambda s: s, "s")
     sets = cut(sets.join(reps, ["doc", "d1", "d2"], "left_semi").select("doc", "s").dropDuplicates(["doc"]))
     near = cut(differences(pairs, sets, percent))

@@ -160,9 +160,21 @@ class ByteBpe:
         #: Tokens that begin with white space; decoding cuts before them, to meet the same pieces again.
         self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.opens[[n for t, n in ranks.items() if t[:1].isspace()]] = True
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-        self._table("merges", merges)
-        self._table("vocab", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
+        self.tables = {"merges": merges, "vocab": vocab}
+        self.con: duckdb.DuckDBPyConnection | None = None
+
+    def open(self) -> None:
+        """Connect and load the fixed tables."""
+        if self.con is None:
+            self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+            for name, rows in self.tables.items():
+                self._table(name, rows)
+
+    def close(self) -> None:
+        if self.con is not None:
+            self.con.close()
+            self.con = None
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("given", rows)
@@ -171,6 +183,7 @@ class ByteBpe:
 
     def _run(self, sql: str, starts: np.ndarray, tokens: np.ndarray) -> pa.Array:
         """The last column of a query over the token lists that begin at ``starts``, in their order."""
+        self.open()
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tokens, pa.int32()))
         out = []
         for at in range(0, len(lists), QUERY_WORDS):
@@ -265,6 +278,39 @@ def slices(texts: Iterable[Sized], size: int) -> Iterator[list]:
         yield part
 
 
+def rest() -> None:
+    """Give back what an idle worker does not need: DuckDB's memory and the allocator's free pages."""
+    for bpe in _CODERS.values():
+        bpe.close()
+    pa.default_memory_pool().release_unused()
+
+
+def encode_decode(
+    df: DataFrame, text: str, path: str, pattern: str, ids: str = "ids", decoded: str = "bytes"
+) -> DataFrame:
+    """``encode`` and then ``decode`` of the ids it gave, in one pass: adds both columns.
+
+    One worker holds both memos, instead of two workers with a DuckDB each.
+    """
+    short_batches(df.sparkSession)
+
+    @F.pandas_udf("struct<ids:binary,bytes:binary>")
+    def both_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = coder(path, pattern)
+        for part in parts:
+            texts = [b"" if t is None else t.encode() for t in part]
+            coded, read = [], []
+            for some in slices(texts, SLICE_BYTES):
+                new = bpe.encode(some)
+                coded += new
+                read += bpe.decode(new)
+            yield pd.DataFrame({"ids": pd.Series(coded, dtype=object), "bytes": pd.Series(read, dtype=object)})
+        rest()
+
+    done = df.withColumn("__coded", both_of(F.col(text)))
+    return done.select(*df.columns, F.col("__coded.ids").alias(ids), F.col("__coded.bytes").alias(decoded))
+
+
 def encode(df: DataFrame, text: str, path: str, pattern: str, name: str = "ids") -> DataFrame:
     """Add ``name``: the token ids of ``text`` (null: empty) as little-endian unsigned 32-bit integers.
 
@@ -280,6 +326,7 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, name: str = "ids")
         for part in parts:
             texts = [b"" if t is None else t.encode() for t in part]
             yield pd.Series([x for some in slices(texts, SLICE_BYTES) for x in bpe.encode(some)], dtype=object)
+        rest()
 
     return df.withColumn(name, ids_of(F.col(text)))
 
@@ -297,5 +344,6 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, name: str = "bytes"
         for part in parts:
             coded = [b"" if x is None else bytes(x) for x in part]
             yield pd.Series([x for some in slices(coded, 2 * SLICE_BYTES) for x in bpe.decode(some)], dtype=object)
+        rest()
 
     return df.withColumn(name, bytes_of(F.col(ids)))

@@ -119,8 +119,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe_duckdb.encode(documents(spark, folder).select("doc_id", "text"), "text", RANKS, PATTERN).drop("text")
-    read = bpe_duckdb.decode(coded, "ids", RANKS, PATTERN)
+    read = bpe_duckdb.encode_decode(documents(spark, folder).select("doc_id", "text"), "text", RANKS, PATTERN)
     return read.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

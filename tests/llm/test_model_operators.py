@@ -85,7 +85,10 @@ def test_bpe_column(edge, empty, reference):
     for r in rows:
         assert bytes(r["bytes"]).decode() == (r["text"] or "")
         assert np.frombuffer(r["ids"], "<u4").tolist() == reference.encode_ordinary(r["text"] or "")
-    assert bpe_duckdb.encode(empty, "text", queries.RANKS, queries.PATTERN).count() == 0
+    both = bpe_duckdb.encode_decode(edge, "text", queries.RANKS, queries.PATTERN).select("doc_id", "text", "ids", "bytes").collect()
+    assert Counter(map(str, both)) == Counter(map(str, rows))
+    for add in (bpe_duckdb.encode, bpe_duckdb.encode_decode):
+        assert add(empty, "text", queries.RANKS, queries.PATTERN).count() == 0
 
 
 def test_op9(spark, reference):

@@ -77,6 +77,17 @@ def _search_task(batches: Iterator[pd.DataFrame], qid: np.ndarray, qvec: np.ndar
         )
 
 
+def usable_vector(vector: Column) -> Column:
+    """Vectors that have a direction: no nulls, finite components, not all zero."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(vector.isNotNull() & ~odd & (vectors.norm(vector) > 0), F.lit(False))
+
+
+def unusable_vectors(rows: DataFrame, vector: str = "vector") -> DataFrame:
+    """One row with ``total`` and ``unusable``: how many vectors a search leaves out."""
+    return rows.agg(F.count("*").alias("total"), F.count_if(~usable_vector(F.col(vector))).alias("unusable"))
+
+
 def knn_cosine(
     queries: DataFrame,
     corpus: DataFrame,
@@ -89,31 +100,27 @@ def knn_cosine(
 ) -> DataFrame:
     """Exact top ``k`` corpus items per query by cosine: ``query_id, item_id, score, rank``.
 
-    Up to ``max_block`` queries (the size is checked) are broadcast and the
-    corpus streams past them where it lies, without a shuffle. More queries are
-    cut into blocks that meet bounded groups of corpus rows. Either way a task
-    passes on only its best ``k`` per query; no full pair list is written.
+    Queries are cut into blocks of about ``max_block`` that meet groups of about
+    ``rows_per_group`` corpus rows of the same dimension, whatever the sizes. A task
+    passes on only its best ``k`` per query; no full pair list is written and nothing
+    comes to the driver. Vectors without a direction are left out (``usable_vector``).
     """
-    spark = corpus.sparkSession
-    unit_q = queries.select(F.col(query_key).alias("query_id"), vectors.l2_normalize(F.col(vector)).alias("v"))
-    unit_c = corpus.select(F.col(item_key).alias("item_id"), vectors.l2_normalize(F.col(vector)).alias("v"))
+
+    def unit(rows, key, name):
+        values = rows.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+        values = values.filter(usable_vector(F.col("v")))
+        return values.select(name, F.size("v").alias("dim"), vectors.l2_normalize(F.col("v")).alias("v"))
+
+    def count_groups(rows, size):
+        return rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size).cast("int"))).scalar()
+
+    unit_q, unit_c = unit(queries, query_key, "query_id"), unit(corpus, item_key, "item_id")
     q_type = queries.schema[query_key].dataType.simpleString()
     c_type = corpus.schema[item_key].dataType.simpleString()
     out_schema = f"query_id {q_type}, item_id {c_type}, score double"
-    head = unit_q.limit(max_block + 1).toPandas()
-    if len(head) <= max_block:
-        if head.empty:
-            return topk_per_query(spark.createDataFrame([], out_schema), k, item="item_id")
-        shared = spark.sparkContext.broadcast((head["query_id"].to_numpy(), np.stack(head["v"].to_numpy())))
-        partial = unit_c.mapInPandas(lambda batches: _search_task(batches, *shared.value, k), out_schema)
-        return topk_per_query(partial, k, item="item_id")
-
-    def count_groups(df, size):
-        return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size).cast("int"))).scalar()
-
-    n_blocks, n_groups = count_groups(unit_q, max_block), count_groups(unit_c, rows_per_group)
-    blocked = unit_q.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int"))
-    right = blocked.withColumn("part", F.explode(F.sequence(F.lit(0), n_groups - 1)))
+    n_blocks, n_groups = count_groups(queries, max_block), count_groups(corpus, rows_per_group)
+    right = unit_q.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), n_groups - 1)))
     left = unit_c.withColumn("part", F.pmod(F.xxhash64("item_id"), n_groups).cast("int"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
 
@@ -123,7 +130,8 @@ def knn_cosine(
             found = list(_search_task(iter([items]), block["query_id"].to_numpy(), np.stack(block["v"].to_numpy()), k))
         return found[0] if found else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
-    partial = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, out_schema)
+    keys = ["dim", "block", "part"]
+    partial = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, out_schema)
     return topk_per_query(partial, k, item="item_id")
 
 

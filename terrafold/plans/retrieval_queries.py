@@ -63,6 +63,34 @@ def _(d):
     return found.select("query_id", "item_id", r6("score", "score"), "rank")
 
 
+@query(
+    "knn_cosine_odd_vectors",
+    SIMS.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 29 NOT IN (3, 4, 5))")
+    + "SELECT query_id, item_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 3",
+)
+def _(d):
+    e, no = d.table("embeddings"), F.col("vec_id") % 29
+    odd = (
+        F.when(no == 4, F.transform("embedding", lambda x: F.lit(0.0).cast("float")))
+        .when(no == 5, F.transform("embedding", lambda x, i: F.when(i != 3, x)))
+        .when(no != 3, F.col("embedding"))
+    )
+    rows = e.select("vec_id", odd.alias("vector"))
+    found = rt.knn_cosine(rows, rows, 3, query_key="vec_id", item_key="vec_id")
+    return found.select("query_id", "item_id", r6("score", "score"), "rank")
+
+
+@query(
+    "unusable_vectors",
+    "SELECT count(*) AS total, count_if(vec_id % 29 IN (3, 4)) AS unusable FROM embeddings",
+)
+def _(d):
+    no = F.col("vec_id") % 29
+    zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    rows = d.table("embeddings").select(F.when(no == 4, zero).when(no != 3, F.col("embedding")).alias("vector"))
+    return rt.unusable_vectors(rows)
+
+
 @query("topk_per_query", SIMS + "SELECT query_id, item_id, rank FROM results")
 def _(d):
     return _neighbours(d).select("query_id", "item_id", "rank")

@@ -57,9 +57,40 @@ def _box_pairs(scenes: DataFrame, queries: DataFrame, size: float, period_days:
     return joined.filter(geo.boxes_touch(sb, qb) & own_cell).drop("__x", "__y", "__p")
 
 
-def _wide(qb: Box, size: float, max_cells: int) -> Column:
-    x0, y0, x1, y1 = _cells(qb, size)
-    return (x1 - x0 + 1) * (y1 - y0 + 1) > max_cells
+def _wide(box: Box, size: float, max_cells: int) -> Column:
+    """Boxes of more than ``max_cells`` cells, and broken ones, whose cells cannot be listed."""
+    spans = [(high - low).cast("double") / size + 2 for low, high in ((box.min_lon, box.max_lon), (box.min_lat, box.max_lat))]
+    far_out = F.greatest(*[F.abs(c.cast("double")) for c in (box.min_lon, box.min_lat, box.max_lon, box.max_lat)]) > 1e9
+    odd = far_out | (spans[0] < 0) | (spans[1] < 0)
+    return F.coalesce(odd | (F.greatest(spans[0], F.lit(1.0)) * F.greatest(spans[1], F.lit(1.0)) > max_cells), F.lit(False))
+
+
+def _offered(scenes: DataFrame, period_days: int) -> DataFrame:
+    """A scene under its period with its own and with any sensor, and with its own and with any object."""
+    sensor = F.when(F.col("sensor").isNull(), "none").otherwise(F.concat(F.lit("is "), F.col("sensor")))
+    named = F.when(F.col("__object").isNotNull(), F.concat(F.lit("is "), F.col("__object")))
+    out = scenes.withColumn("__p", _period(period_days)).withColumn("__s", F.explode(F.array(F.lit("any"), sensor)))
+    return out.withColumn("__o", F.explode(F.array_compact(F.array(F.lit("any"), named))))
+
+
+def _sought(queries: DataFrame, scenes: DataFrame, period_days: int) -> DataFrame:
+    """A query under the periods, sensors and scene objects that it may match.
+
+    Which scene objects contain or are contained in the wanted ones is settled once per
+    distinct pair of texts.
+    """
+    objects = scenes.select("__object").filter(F.col("__object").isNotNull()).distinct()
+    wanted = queries.select("__wanted").filter(F.length("__wanted") > 0).distinct()
+    inside = substring_pairs(objects, "__object", wanted, "__wanted").select(F.col("needle").alias("w"), F.col("hay").alias("o"))
+    around = substring_pairs(wanted, "__wanted", objects, "__object").select(F.col("hay").alias("w"), F.col("needle").alias("o"))
+    matched = inside.union(around).distinct().groupBy("w").agg(F.collect_list(F.concat(F.lit("is "), F.col("o"))).alias("__names"))
+    rows = _query_periods(queries, scenes, period_days)
+    sensors = F.transform(F.array_distinct("sensors"), lambda s: F.concat(F.lit("is "), s))
+    sensors = F.when(F.col("sensors").isNull(), F.array(F.lit("any"))).otherwise(F.array_append(F.array_compact(sensors), F.lit("none")))
+    rows = rows.withColumn("__s", F.explode(sensors)).join(matched, F.col("__wanted") == F.col("w"), "left")
+    nothing = F.array().cast("array<string>")
+    names = F.when(F.length("__wanted") > 0, F.array_append(F.coalesce("__names", nothing), F.lit("is "))).otherwise(F.array(F.lit("any")))
+    return rows.withColumn("__o", F.explode(names)).drop("w", "__names")
 
 
 NO_DATE = -(2**31)
@@ -99,10 +130,11 @@ def query_scene_join(
 
     ``queries``: ``query_id, q_min_lon … q_max_lat, start_date, end_date,
     sensors array<string>, query_object`` (all but the id may be null).
-    Queries with a box meet scenes on (grid cell, period); queries without a
-    box, or with one wider than ``max_cells`` cells, meet them on the period
-    alone. Both are equi-joins: Spark broadcasts the query side when its
-    measured size allows and shuffles otherwise.
+    Queries with a box meet scenes on (grid cell, period). Queries without a box, and
+    boxes of either side that are broken or wider than ``max_cells`` cells, meet on
+    (period, sensor, object), where only texts that contain one another meet. Both are
+    equi-joins: Spark broadcasts the query side when its measured size allows and
+    shuffles otherwise; hot keys of the scenes are spread.
     """
     columns = [*queries.columns, *scenes.columns]
     # lower-cased once per row, not once per candidate pair
@@ -110,10 +142,15 @@ def query_scene_join(
     queries = queries.withColumn("__wanted", F.lower("query_object"))
     qb = Box.named(QUERY_BOX)
     local = qb.known() & ~_wide(qb, cell_degrees, max_cells)
-    near = _box_pairs(scenes, queries.filter(local), cell_degrees, period_days, rows_per_task)
-    left = scenes.withColumn("__p", _period(period_days))
-    right = _query_periods(queries.filter(~local), scenes, period_days)
-    far = salted_join(left, right, ["__p"], "scene_id", rows_per_task).drop("__p")
+    wide = _wide(Box.named(), cell_degrees, max_cells)
+    near = _box_pairs(scenes.filter(~wide), queries.filter(local), cell_degrees, period_days, rows_per_task)
+    keys = ["__p", "__s", "__o"]
+
+    def on_filters(some: DataFrame, asked: DataFrame) -> DataFrame:
+        met = salted_join(_offered(some, period_days), _sought(asked, scenes, period_days), keys, "scene_id", rows_per_task)
+        return met.drop(*keys)
+
+    far = on_filters(scenes, queries.filter(~local)).unionByName(on_filters(scenes.filter(wide), queries.filter(local)))
     far = far.filter(matches_box(Box.named(), qb))
     has, wanted = F.col("__object"), F.col("__wanted")
     fuzzy = wanted.isNull() | (has.isNotNull() & (F.contains(has, wanted) | F.contains(wanted, has)))

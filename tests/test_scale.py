@@ -1,6 +1,7 @@
 """Properties that must hold at any size: partitioning, skew, brute-force equality, plans."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -99,6 +100,38 @@ def test_exact_percentiles(spark, n):
         assert got["other", p] == 1.0
 
 
+def test_query_scene_join_odd_boxes_and_filters(spark):
+    """Broken and wide scene boxes, null and empty objects and sensors, queries with and without a box."""
+    rnd = random.Random(12)
+    objects, sensors = [None, "", "a", "farm", "farm land", "Water"], [None, "Sentinel-1", "Sentinel-2"]
+    boxes = [(-1e10, -1e10, 1e10, 1e10), (-180.0, -90.0, 180.0, 90.0), (None, None, None, None), (1e300, 0.0, 1e300, 0.0), (5.0, 5.0, 4.0, 4.0)]
+    scenes, queries = [], []
+    for i in range(120):
+        x, y = rnd.uniform(-5, 5), rnd.uniform(-5, 5)
+        box = boxes[i % 5] if i % 4 == 0 else (x, y, x + rnd.random(), y + rnd.random())
+        when = None if i % 9 == 0 else datetime(2020 + i % 3, 1 + i % 12, 3)
+        scenes.append((f"s{i:03d}", sensors[i % 3], objects[rnd.randrange(6)], when, *box))
+    for i in range(60):
+        x, y = rnd.uniform(-5, 5), rnd.uniform(-5, 5)
+        box = (None,) * 4 if i % 3 == 0 else (x, y, x + 2, y + 2) if i % 3 == 1 else (-60.0, -60.0, 60.0, 60.0)
+        asked = [None, [], ["Sentinel-1"], ["Sentinel-1", "Sentinel-1", None], ["Sentinel-2", "Sentinel-1"]][i % 5]
+        start = None if i % 2 else datetime(2020, 6, 1)
+        queries.append((i, *box, start, None if i % 4 else datetime(2021, 12, 1), asked, objects[i % 6]))
+    s = spark.createDataFrame(scenes, "scene_id string, sensor string, object string, acquisition_time timestamp, min_lon double, min_lat double, max_lon double, max_lat double")
+    q = spark.createDataFrame(queries, "query_id int, q_min_lon double, q_min_lat double, q_max_lon double, q_max_lat double, start_date timestamp, end_date timestamp, sensors array<string>, query_object string")
+    want = set()
+    for sid, sensor, obj, when, a, b, c, e in scenes:
+        for qid, qa, qb, qc, qe, start, end, asked, wanted in queries:
+            boxed = qa is None or (a is not None and c >= qa and a <= qc and e >= qb and b <= qe)
+            dated = when is None or ((start is None or when >= start) and (end is None or when <= end))
+            seen = asked is None or sensor is None or sensor in asked
+            like = wanted is None or (obj is not None and (wanted.lower() in obj.lower() or obj.lower() in wanted.lower()))
+            if boxed and dated and seen and like:
+                want.add((qid, sid))
+    got = [(r.query_id, r.scene_id) for r in joins.query_scene_join(s, q, rows_per_task=40).select("query_id", "scene_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
 def brute_near(rows, t):
     norm = [(i, g, set("".join(c for c in x.lower() if c.isalnum() or c == " ").split())) for i, g, x in rows]
     out = set()

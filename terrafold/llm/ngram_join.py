@@ -266,7 +266,9 @@ def jaccard_classes(df: DataFrame, row_id: str = "doc_id", text: str = "text", p
     short_batches(df.sparkSession)
     rows = cut(set_digests(df, row_id, text))
     with_set = rows.filter("n > 0")
-    classes = cut(with_set.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n")))
+    classes = with_set.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag")).alias("r"), F.first("n").alias("n"))
+    classes = classes.select("d1", "d2", "n", F.col("r.doc").alias("rep"), F.col("r.tag").alias("rep_tag"))
+    classes = cut(classes)
     largest = classes.agg(F.max("n")).first()[0] or 1
     bands = Bands(int(largest), percent)
     # one row per band: sizes grow by a ninth from band to band
@@ -284,13 +286,14 @@ def jaccard_classes(df: DataFrame, row_id: str = "doc_id", text: str = "text", p
     shared = cut(shared.filter("c > 1 AND pivot IS NOT NULL").select("key", "pivot"))
     pairs = cut(flat.join(shared, "key").filter("doc <> pivot").select("doc", "pivot").distinct())
     involved = pairs.select("doc").union(pairs.select("pivot")).distinct()
-    texts = df.select(any_id(row_id).alias("__doc"), F.col(text).alias("__text"))
+    involved = involved.join(classes.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag")), "doc")
+    texts = df.select(any_id(row_id).alias("__doc"), F.xxhash64(text).alias("__tag"), F.col(text).alias("__text"))
     # most texts are not involved and need not be shuffled: at most ID_BUCKETS numbers are broadcast
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
     texts = texts.withColumn("bucket", bucket("__doc")).join(F.broadcast(involved.select(bucket("doc")).distinct()), "bucket", "left_semi")
-    texts = texts.drop("bucket").join(involved, F.col("__doc") == F.col("doc"), "left_semi")
-    sets = set_arrays(texts, "__doc", "__text", lambda s: s, "s")
-    sets = cut(sets.join(reps, ["doc", "d1", "d2"], "left_semi").select("doc", "s").dropDuplicates(["doc"]))
+    same = (F.col("__doc") == F.col("doc")) & (F.col("__tag") == F.col("tag"))
+    texts = texts.drop("bucket").join(involved, same, "left_semi").dropDuplicates(["__doc", "__tag"])
+    sets = cut(set_arrays(texts, "__doc", "__text", lambda s: s, "s").select("doc", "s"))
     near = cut(differences(pairs, sets, percent))
 
     first = near.filter("is_linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
@@ -44,6 +46,19 @@ def eval_queries(scenes: DataFrame, splits: DataFrame) -> DataFrame:
     )
 
 
+def eval_retrieval(scenes: DataFrame, splits: DataFrame, k: int, retrieve: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """Report of a retrieval over the test scenes: each asks for the test scenes of its own area and sensor.
+
+    ``retrieve(scenes, queries, k)`` returns ``query_id, scene_id, rank, score``.
+    """
+    queries = eval_queries(scenes, splits)
+    results = retrieve(scenes, queries, k)
+    items = eval_groups(scenes, splits)
+    own = items.withColumnRenamed("scene_id", "query_id")  # a query is named after its test scene
+    marked = mark_group_hits(results, own, items)
+    return eval_report(retrieval_metrics(marked, group_sizes(own, items), queries), results)
+
+
 def mark_hits(results: DataFrame, relevant: DataFrame, query: str = "query_id", item: str = "scene_id") -> DataFrame:
     """Add ``hit`` from explicit lists of relevant ids (one row per query and id)."""
     wanted = relevant.select(query, item).distinct().withColumn("__hit", F.lit(1))

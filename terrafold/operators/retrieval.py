@@ -241,6 +241,20 @@ def retrieve_batch(
     return _with_scene_columns(two_stage_topk(staged, k, "__first", "score").drop("__first"), scenes)
 
 
+def engine_rank(scenes: DataFrame, queries: DataFrame, k: int, embed: Embed | None = None) -> DataFrame:
+    """Similarity-only retrieval: best ``k`` scenes per query by text alone, ``rank`` from 1.
+
+    A scene passes if its sensor is the query's or ``both``, it is dated within the
+    bounds and its box touches the query's; the object is not filtered, and scenes
+    without date or sensor never pass. A query of both sensors takes any.
+    """
+    known = scenes.filter(F.col("acquisition_time").isNotNull() & F.col("sensor").isNotNull())
+    one = F.size(F.array_distinct("sensors")) == 1
+    asked = queries.withColumn("sensors", F.when(one, F.array(F.get("sensors", F.lit(0)), F.lit("both"))))
+    asked = asked.withColumn("query_object", F.lit(None).cast("string"))
+    return retrieve_batch(known, asked, k, fuse=False, embed=embed)
+
+
 def _with_scene_columns(top: DataFrame, scenes: DataFrame) -> DataFrame:
     """Scene columns of the ranked results; the score parts become one struct."""
     names = ["scene_id", "sensor", "modality", "acquisition_time", "object", "paired_scene_id", "cloud_cover"]

@@ -412,8 +412,7 @@ def _(d):
     return ev.mark_group_hits(results, query_groups, items).select("query_id", "scene_id", "rank", "hit")
 
 
-@query(
-    "eval_retrieval",
+EVAL = (
     SPLITS
     + """, st AS (SELECT DISTINCT concat_ws(' ', sensor, modality, object) AS t FROM scenes0), sv AS (SELECT t, """
     + HASH.format(t="t")
@@ -433,19 +432,67 @@ def _(d):
     sizes AS (SELECT a.scene_id AS query_id, count(*) AS relevant FROM test a JOIN test b ON a.aoi = b.aoi AND a.sensor = b.sensor GROUP BY 1)
     SELECT count(*) AS num_queries, round(avg(coalesce(hits, 0) * 1e0 / relevant), 6) AS recall, round(avg(coalesce(hits * 1e0 / returned, 0)), 6) AS "precision",
       round(avg(coalesce(gain, 0) / relevant), 6) AS map, (SELECT round(avg(score), 6) FROM top) AS sim_mean, (SELECT round(max(score), 6) FROM top) AS sim_max
-    FROM sizes LEFT JOIN pq ON sizes.query_id = pq.query_id""",
-    ("scenes0",),
+    FROM sizes LEFT JOIN pq ON sizes.query_id = pq.query_id"""
 )
-def _(d):
-    scenes, splits = d.unpaired.withColumn("paired_scene_id", F.lit(None).cast("string")).drop("aoi"), _splits(d)
-    queries = ev.eval_queries(scenes, splits)
-    results = rt.retrieve_batch(scenes, queries, 5, fuse=False)
-    items = ev.eval_groups(scenes, splits)
-    own = items.withColumnRenamed("scene_id", "query_id")  # a query is named after its test scene
-    marked = ev.mark_group_hits(results, own, items)
-    metrics = ev.retrieval_metrics(marked, ev.group_sizes(own, items), queries)
-    out = ev.eval_report(metrics, results)
+
+
+def _report(out):
     return out.select(
         "num_queries", r6("recall", "recall"), r6("precision", "precision"), r6("map", "map"),
         r6("similarity.mean", "sim_mean"), r6("similarity.max", "sim_max"),
     )
+
+
+@query("eval_retrieval", EVAL, ("scenes0",))
+def _(d):
+    scenes = d.unpaired.withColumn("paired_scene_id", F.lit(None).cast("string")).drop("aoi")
+    return _report(ev.eval_retrieval(scenes, _splits(d), 5, lambda s, q, k: rt.retrieve_batch(s, q, k, fuse=False)))
+
+
+FILTER = """q.sensor = s.sensor
+      AND (s.acquisition_time IS NULL OR q.start IS NULL OR s.acquisition_time >= q.start)
+      AND (q.object IS NULL OR (s.object IS NOT NULL AND (contains(s.object, q.object) OR contains(q.object, s.object))))"""
+SHARED = "CASE WHEN scene_no % 13 = 0 THEN 'both' ELSE sensor END AS sensor"
+
+
+def _shared(d):
+    """Scenes of which some are of both sensors."""
+    sensor = F.when(F.col("scene_no") % 13 == 0, "both").otherwise(F.col("sensor"))
+    return d.unpaired.withColumns({"sensor": sensor, "paired_scene_id": F.lit(None).cast("string")})
+
+
+@query(
+    "eval_engine",
+    EVAL.replace("WITH+ ", "WITH+ seen AS (SELECT * REPLACE (" + SHARED + ") FROM scenes0), ")
+    .replace(FILTER, "(q.sensor = s.sensor OR s.sensor = 'both') AND s.acquisition_time >= coalesce(q.start, s.acquisition_time)")
+    .replace("FROM scenes0 WHERE (sensor", "FROM seen WHERE (sensor")
+    .replace("AS t FROM scenes0)", "AS t FROM seen)")
+    .replace("JOIN scenes0 s ON", "JOIN seen s ON"),
+    ("scenes0",),
+)
+def _(d):
+    from ..operators.examples import holdout_by_aoi
+
+    held = {"Sentinel-2": ["aoi_0"], "Sentinel-1": ["aoi_1"]}
+    splits = holdout_by_aoi(_shared(d), "aoi", held).select("scene_id", "split", "aoi")
+    return _report(ev.eval_retrieval(_shared(d).drop("aoi"), splits, 5, rt.engine_rank))
+
+
+@query(
+    "engine_rank",
+    """WITH+ seen AS (SELECT * REPLACE (""" + SHARED + """) FROM scenes0), st AS (SELECT DISTINCT concat_ws(' ', sensor, modality, object) AS t FROM seen), sv AS (SELECT t, """
+    + HASH.format(t="t")
+    + """ AS v FROM st), qv AS (SELECT query_id, text_query, """
+    + HASH.format(t="coalesce(text_query, '')")
+    + """ AS v FROM search),
+    pairs AS (SELECT q.query_id, s.scene_id, CASE WHEN coalesce(trim(q.text_query), '') = '' THEN 0.5e0 ELSE list_inner_product(sv.v, qv.v) END AS score
+      FROM search q JOIN qv ON qv.query_id = q.query_id JOIN seen s ON s.acquisition_time IS NOT NULL
+        AND (q.q_min_lon IS NULL OR (s.max_lon >= q.q_min_lon AND s.min_lon <= q.q_max_lon AND s.max_lat >= q.q_min_lat AND s.min_lat <= q.q_max_lat))
+        AND (q.start_date IS NULL OR s.acquisition_time >= q.start_date) AND (q.end_date IS NULL OR s.acquisition_time <= q.end_date)
+        AND (q.sensors IS NULL OR len(q.sensors) <> 1 OR s.sensor = q.sensors[1] OR s.sensor = 'both')
+      JOIN sv ON sv.t = concat_ws(' ', s.sensor, s.modality, s.object))
+    SELECT query_id, scene_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, scene_id) AS rank FROM pairs) WHERE rank <= 10""",
+    ("scenes0", "search"),
+)
+def _(d):
+    return rt.engine_rank(_shared(d), d.queries, 10).select("query_id", "scene_id", "rank")

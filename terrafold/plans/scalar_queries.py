@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, scores, text as tx, vectors
 from ..functions.geo import Box
 from ..operators import joins
-from ..sources import readers
+from ..sources import readers, schemas
 from .registry import query, r6
 
 TABLES = ("scenes0",)
@@ -168,3 +168,120 @@ def _(d):
     folders = folders.unionByName(part.filter(key % 10 == 0).select(F.concat(F.lit("tile/0_"), name).alias("dir")))
     found = joins.patch_name_match(part.select("p_partkey", name.alias("name")), "name", folders, "dir")
     return found.select("p_partkey", "dir")
+
+
+# ---- parsers over JSON text made from the tables ------------------------------
+
+
+def _parsed(df, schema: str, *keep: str):
+    """Rows of a schema from a JSON column ``value``."""
+    return df.select(*keep, F.from_json("value", schema).alias("__r")).select(*keep, "__r.*")
+
+
+LINE = """CASE doc_id % 5 WHEN 0 THEN '{{"image_id":"' || doc_id || '","caption":"' || lang || '","more":1}}' WHEN 1 THEN '{{"image_id":"' || doc_id
+  WHEN 2 THEN '  ' WHEN 3 THEN '["' || doc_id || '"]' ELSE ' {{"caption":"only ' || source || '"}} ' END""".format()
+
+
+@query(
+    "parse_jsonl",
+    "WITH+ l AS (SELECT doc_id, " + LINE + """ AS v FROM documents)
+    SELECT 'good' AS kind, CASE WHEN d.doc_id % 5 = 0 THEN d.doc_id::VARCHAR END AS image_id,
+      CASE WHEN d.doc_id % 5 = 0 THEN lang ELSE 'only ' || source END AS caption, NULL AS line FROM documents d WHERE d.doc_id % 5 IN (0, 4)
+    UNION ALL SELECT 'rejected', NULL, NULL, v FROM l WHERE doc_id % 5 IN (1, 3)""",
+)
+def _(d):
+    lines = d.documents.selectExpr(LINE + " AS value")
+    good, rejected = readers.parse_jsonl(lines, "image_id string, caption string")
+    none = F.lit(None).cast("string")
+    good = good.select(F.lit("good").alias("kind"), "image_id", "caption", none.alias("line"))
+    return good.unionByName(rejected.select(F.lit("rejected").alias("kind"), none.alias("image_id"), none.alias("caption"), "line"))
+
+
+@query(
+    "parse_stac_items",
+    """SELECT 'it' || o_orderkey AS scene_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Sentinel-2' ELSE 'Sentinel-1' END AS sensor,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'optical' ELSE 'sar' END AS modality, strftime(o_orderdate, '%Y-%m-%d') AS day,
+      CASE WHEN o_orderkey % 4 = 0 THEN 'local' || o_orderkey ELSE 'http' || o_orderkey END AS file_path,
+      CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey % 100)::DOUBLE END AS cloud_cover, 'unknown' AS object, 'stac' AS dataset_origin,
+      (o_orderkey % 170)::DOUBLE AS min_lon, (o_custkey % 80)::DOUBLE AS min_lat, (o_orderkey % 170 + 1)::DOUBLE AS max_lon, (o_custkey % 80 + 1)::DOUBLE AS max_lat
+    FROM orders WHERE o_orderkey % 7 <> 0""",
+)
+def _(d):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    item = F.struct(
+        F.when(key % 7 != 0, F.concat(F.lit("it"), key)).alias("scene_id"),
+        F.when(key % 3 == 0, "sentinel-2-l2a").otherwise("sentinel-1-grd").alias("collection"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'").alias("datetime"),
+        F.array(key % 170, cust % 80, key % 170 + 1, cust % 80 + 1).alias("bbox"),
+        F.concat(F.lit("http"), key).alias("signed_href"),
+        F.when(key % 4 == 0, F.concat(F.lit("local"), key)).alias("local_image"),
+        F.when(key % 3 == 0, F.create_map(F.lit("eo:cloud_cover"), (cust % 100).cast("string"))).alias("properties"),
+    )
+    raw = _parsed(d.table("orders").select(F.to_json(item).alias("value")), schemas.STAC_ITEM)
+    return readers.parse_stac_items(raw).select(
+        "scene_id", "sensor", "modality", F.date_format("acquisition_time", "yyyy-MM-dd").alias("day"), "file_path", "cloud_cover",
+        "object", "dataset_origin", "min_lon", "min_lat", "max_lon", "max_lat",
+    )
+
+
+@query(
+    "parse_bitemporal",
+    """WITH+ p AS (SELECT o_orderkey AS k, i FROM orders, range(1, 3) t(i))
+    SELECT k, i AS side, CASE WHEN k % 3 = 0 AND i = 1 THEN 'Sentinel-1' ELSE 'Sentinel-2' END AS sensor,
+      CASE WHEN i = 1 THEN CASE WHEN k % 2 = 0 THEN 'field | ' ELSE '' END || 'QA: what of ' || k || ' ' || CASE WHEN k % 5 = 0 THEN '' ELSE 'a' || k END
+        WHEN k % 4 = 0 THEN 'later' END AS object, 'f' || k || '_' || i AS file_path, TRUE AS pairs_meet FROM p""",
+)
+def _(d):
+    k = F.col("o_orderkey")
+    side = lambda i, sensor, obj: F.struct(
+        sensor.alias("sensor"), F.concat(F.lit("f"), k, F.lit(f"_{i}")).alias("file_path"), obj.alias("object")
+    )
+    question = F.struct(
+        F.concat(F.lit("what of "), k).alias("question"), F.when(k % 5 != 0, F.concat(F.lit("a"), k)).alias("answer")
+    )
+    first = side(1, F.when(k % 3 == 0, "Sentinel-1"), F.when(k % 2 == 0, "field"))
+    second = side(2, F.lit(None).cast("string"), F.when(k % 4 == 0, "later"))
+    value = F.to_json(F.struct(first.alias("t1"), second.alias("t2"), question.alias("qa")))
+    rows = readers.parse_bitemporal(_parsed(d.table("orders").select(value.alias("value")), schemas.BITEMPORAL))
+    place = lambda c: F.substring_index(c, "-t", -1).cast("int")
+    met = (F.substring_index("scene_id", "-t", 1) == F.substring_index("paired_scene_id", "-t", 1)) & (
+        place("scene_id") + place("paired_scene_id") == 3
+    )
+    return rows.select(
+        F.regexp_extract("file_path", r"^f(\d+)_", 1).cast("bigint").alias("k"), place("scene_id").cast("bigint").alias("side"),
+        "sensor", "object", "file_path", met.alias("pairs_meet"),
+    )
+
+
+@query(
+    "parse_patch_labels",
+    """WITH+ f AS (SELECT 'patch' || p_partkey AS patch, p_partkey AS k FROM part)
+    SELECT patch, CASE WHEN k % 4 = 1 THEN 'pastures' WHEN k % 4 = 2 THEN 'lava' ELSE 'urban fabric' END AS "primary",
+      CASE WHEN k % 4 = 1 THEN 'agriculture' WHEN k % 4 = 2 THEN 'lava' ELSE 'urban' END AS label FROM f WHERE k % 4 <> 3""",
+)
+def _(d):
+    k = F.col("p_partkey")
+    folder = F.concat(F.lit("root/patch"), k, F.lit("/"))
+    new = F.when(k % 4 == 1, F.array(F.lit("pastures"), F.lit("other"))).when(k % 4 == 2, F.array(F.lit("lava"))).when(
+        k % 4 == 3, F.array().cast("array<string>")
+    )
+    newer = d.table("part").filter(k % 4 != 0).select(F.concat(folder, F.lit("patch"), k, F.lit("_labels_metadata.json")).alias("file"), new.alias("labels"))
+    older = d.table("part").filter(k % 4 != 3).select(F.concat(folder, F.lit("patch_labels.json")).alias("file"), F.array(F.lit("urban fabric")).alias("labels"))
+    return readers.parse_patch_labels(newer.unionByName(older)).select("patch", "primary", "label")
+
+
+@query(
+    "named_patches",
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'name' || p_partkey WHEN p_partkey % 3 = 1 THEN 'id' || p_partkey ELSE 'file' || p_partkey END AS patch
+    FROM part WHERE p_partkey % 11 <> 5""",
+)
+def _(d):
+    k = F.col("p_partkey")
+    known = k % 11 != 5
+    raw = d.table("part").select(
+        "p_partkey",
+        F.when(known & (k % 3 == 0), F.concat(F.lit("name"), k)).otherwise("").alias("patch_name"),
+        F.when(known & (k % 3 != 2), F.concat(F.lit("id"), k)).alias("image_id"),
+        F.when(known, F.concat(F.lit("file"), k)).alias("filename"),
+    )
+    return readers.named_patches(raw).select("p_partkey", "patch")

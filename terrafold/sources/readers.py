@@ -33,7 +33,12 @@ def scan_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[Da
     Lines are read as text and parsed once per output, so a rejected line is
     kept whole.
     """
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return parse_jsonl(spark.read.text(path), schema)
+
+
+def parse_jsonl(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """``scan_jsonl_tolerant`` over lines in a column ``value``."""
+    lines = lines.filter(F.trim("value") != "")
     parsed = lines.withColumn("__ok", F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
     good = parsed.filter("__ok").select(F.from_json("value", schema).alias("r")).select("r.*")
     rejected = parsed.filter(~F.col("__ok")).select(F.col("value").alias("line"))
@@ -50,6 +55,11 @@ def scan_patch_metadata(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         raw = spark.read.option("header", True).csv(path)
     else:
         raw = spark.read.option("multiLine", True).json(path)
+    return named_patches(raw)
+
+
+def named_patches(raw: DataFrame) -> DataFrame:
+    """Rows that name a patch under one of the three keys, the first one that is not empty."""
     names = [F.nullif(F.col(c), F.lit("")) for c in ("patch_name", "image_id", "filename") if c in raw.columns]
     return raw.withColumn("patch", F.coalesce(*names)).filter(F.col("patch").isNotNull())
 
@@ -68,7 +78,12 @@ def scan_patch_labels(spark: SparkSession, root: str) -> DataFrame:
         .json(root)
         .select("*", F.col("_metadata.file_path").alias("__f"))
     )
-    parts = F.split("__f", "/")
+    return parse_patch_labels(files.withColumnRenamed("__f", "file"))
+
+
+def parse_patch_labels(files: DataFrame) -> DataFrame:
+    """``patch, primary, label`` from the label lists of files (``file``, ``labels``)."""
+    parts = F.split("file", "/")
     files = files.select(
         F.element_at(parts, -2).alias("patch"),
         F.element_at(parts, -1).endswith("patch_labels.json").cast("int").alias("__old"),
@@ -80,7 +95,11 @@ def scan_patch_labels(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_bitemporal_pairs(spark: SparkSession, path: str, origin: str = "cdvqa") -> DataFrame:
     """Two scene rows per pair, each pointing at the other; the question and answer go to the first one's object."""
-    raw = spark.read.schema(schemas.BITEMPORAL).option("multiLine", True).json(path)
+    return parse_bitemporal(spark.read.schema(schemas.BITEMPORAL).option("multiLine", True).json(path), origin)
+
+
+def parse_bitemporal(raw: DataFrame, origin: str = "cdvqa") -> DataFrame:
+    """``scan_bitemporal_pairs`` over rows of ``schemas.BITEMPORAL``."""
     pair = F.sha2(F.to_json(F.struct("t1", "t2", "qa")), 256)
     ids = raw.withColumn("__p", F.substring(pair, 1, 32))
     sides = ids.select("__p", "qa", F.posexplode(F.array("t1", "t2")).alias("i", "s"))
@@ -117,7 +136,11 @@ def canonical_sensor(sensor: Column) -> Column:
 
 def scan_stac_items(spark: SparkSession, path: str, origin: Column | None = None, label: Column | None = None) -> DataFrame:
     """Saved STAC items (one JSON object per line) as scene rows with boxes."""
-    raw = spark.read.schema(schemas.STAC_ITEM).json(path)
+    return parse_stac_items(spark.read.schema(schemas.STAC_ITEM).json(path), origin, label)
+
+
+def parse_stac_items(raw: DataFrame, origin: Column | None = None, label: Column | None = None) -> DataFrame:
+    """``scan_stac_items`` over rows of ``schemas.STAC_ITEM``."""
     optical = F.contains("collection", F.lit("sentinel-2"))
     box = geo.Box(*[F.get("bbox", F.lit(i)) for i in range(4)])
     return raw.filter(F.col("scene_id").isNotNull()).select(

@@ -224,7 +224,7 @@ def band_minmax(long: DataFrame, keys: list[str]) -> DataFrame:
 def band_stretch_percentile(
     long: DataFrame, keys: list[str], percentile: float = 99.5, exact: bool = True
 ) -> DataFrame:
-    """Clip to the (100 - p, p) percentiles of the finite values, scale to 0–255, cut to whole numbers."""
+    """Clip to the (100 - p, p) percentiles of the finite values, scale to 0–255, cut to whole numbers (at nine places, so that a last bit does not decide)."""
     probs = [(100 - percentile) / 100.0, percentile / 100.0]
     v = F.col("value")
     infinite = F.isnan(v) | (F.abs(v) == float("inf"))
@@ -242,7 +242,7 @@ def band_stretch_percentile(
     rows = _match_keys(long, limits, keys)
     hi = F.when(F.col("__hi") - F.col("__lo") < 1e-6, F.col("__lo") + 1.0).otherwise(F.col("__hi"))
     held = F.least(F.greatest(v, F.col("__lo")), hi)
-    level = F.floor((held - F.col("__lo")) / (hi - F.col("__lo")) * 255.0).cast("int")
+    level = F.floor(F.round((held - F.col("__lo")) / (hi - F.col("__lo")) * 255.0, 9)).cast("int")
     return rows.withColumn("level", level).drop("__lo", "__hi")
 
 

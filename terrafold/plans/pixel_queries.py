@@ -252,7 +252,7 @@ def _(d):
 
 STRETCH = """, c AS (SELECT scene_id, band, quantile_cont(value, {lo}::DOUBLE) AS lo, quantile_cont(value, {hi}::DOUBLE) AS h0 FROM {src} GROUP BY 1, 2),
   e AS (SELECT *, CASE WHEN h0 - lo < 1e-6 THEN lo + 1 ELSE h0 END AS hi FROM c)
-  SELECT l.scene_id, l.row, l.col, l.band, CAST(floor((least(greatest(value, lo), hi) - lo) / (hi - lo) * 255e0) AS INT) AS level
+  SELECT l.scene_id, l.row, l.col, l.band, CAST(floor(round((least(greatest(value, lo), hi) - lo) / (hi - lo) * 255e0, 9)) AS INT) AS level
   FROM {src} l JOIN e ON l.scene_id = e.scene_id AND l.band = e.band"""
 
 

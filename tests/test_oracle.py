@@ -24,13 +24,7 @@ def test_entry_runs(spark):
     assert entry(spark).count() > 0
 
 
-# One value of the smallest tables lies on a cut whose last bit differs between the engines'
-# interpolation, and levels are whole numbers; the next size has no such value.
-LARGER = {"band_stretch_percentile": "/root/testdata/sf0.01"}
-
-
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, name):
-    folder = LARGER.get(name, FOLDER)
-    ok, note = compare(spark, duck(folder) if name in LARGER else con, QUERIES[name], SQL[name], folder)
+    ok, note = compare(spark, con, QUERIES[name], SQL[name], FOLDER)
     assert ok, note

@@ -338,3 +338,25 @@ PROMPT_TABLE = [
 # ---- fixed values: session limits ------------------------------------------
 SESSION_IDLE_HOURS = 24
 SESSION_HISTORY = 20
+
+# ---- fixed values: patterns that decide which dates and places a query names --
+ISO_DAY_PATTERN = r"(\d{4}-\d{2}-\d{2})"
+MONTH_YEAR_PATTERN = rf"(?i)({MONTH_PATTERN})\s+(\d{{4}})"
+YEAR_PATTERN = r"(?i)(?:from|in|during|year)\s+(\d{4})"
+PLACE_NAME_PATTERN = r"[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*"
+PLACE_AFTER_PREPOSITION_PATTERN = rf"(?:near|around|in|of|over)\s+({PLACE_NAME_PATTERN})"
+CAPITALISED_RUN_PATTERN = rf"(?<!^)(?<!\. )\b({PLACE_NAME_PATTERN})\b"
+
+# ---- fixed values: texts of a result's confidence ---------------------------
+CONFIDENCE_TEXTS = {
+    "parser_fallback": "parser fallback used",
+    "model_fallback": "model fallback used",
+    "single": "single observation",
+    "cloud": "cloud cover %.0f%%",
+    "registration": "coregistration failed",
+    "disagreement": "SAR model/deterministic disagreement",
+    "low": "Low — ",
+    "medium": "Medium — ",
+    "major": "Low — SAR model/deterministic disagreement (major)",
+    "high": "High — primary models, clear observation, good registration",
+}

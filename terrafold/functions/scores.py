@@ -69,21 +69,22 @@ def confidence(
     severity: Column | None = None,
 ) -> Column:
     """``struct<band, reason>`` of a result row."""
+    said = fv.CONFIDENCE_TEXTS
     none = F.lit(None).cast("string")
     no = F.lit(False)
     disagreement = no if disagreement is None else F.coalesce(disagreement, no)
     severity = F.lit("minor") if severity is None else F.coalesce(severity, F.lit("minor"))
     low = F.concat_ws(
         "; ",
-        F.when(F.coalesce(used_fallback, no), "parser fallback used").otherwise(none),
-        F.when(F.coalesce(trace_fallback, no), "model fallback used").otherwise(none),
+        F.when(F.coalesce(used_fallback, no), said["parser_fallback"]).otherwise(none),
+        F.when(F.coalesce(trace_fallback, no), said["model_fallback"]).otherwise(none),
     )
     medium = F.concat_ws(
         "; ",
-        F.when(F.coalesce(single_observation, no), "single observation").otherwise(none),
-        F.when(cloud > 30, fixed(cloud, 0, "cloud cover %.0f%%")).otherwise(none),
-        F.when(~registered, "coregistration failed").otherwise(none),
-        F.when(disagreement, "SAR model/deterministic disagreement").otherwise(none),
+        F.when(F.coalesce(single_observation, no), said["single"]).otherwise(none),
+        F.when(cloud > 30, fixed(cloud, 0, said["cloud"])).otherwise(none),
+        F.when(~registered, said["registration"]).otherwise(none),
+        F.when(disagreement, said["disagreement"]).otherwise(none),
     )
     major = disagreement & (severity == "major")
 
@@ -91,10 +92,10 @@ def confidence(
         return F.struct(F.lit(band).alias("band"), reason.alias("reason"))
 
     return (
-        F.when(low != "", verdict("low", F.concat(F.lit("Low — "), low)))
-        .when(major, verdict("low", F.lit("Low — SAR model/deterministic disagreement (major)")))
-        .when(medium != "", verdict("medium", F.concat(F.lit("Medium — "), medium)))
-        .otherwise(verdict("high", F.lit("High — primary models, clear observation, good registration")))
+        F.when(low != "", verdict("low", F.concat(F.lit(said["low"]), low)))
+        .when(major, verdict("low", F.lit(said["major"])))
+        .when(medium != "", verdict("medium", F.concat(F.lit(said["medium"]), medium)))
+        .otherwise(verdict("high", F.lit(said["high"])))
     )
 
 

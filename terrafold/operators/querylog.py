@@ -63,10 +63,10 @@ def _month_start(name: Column, year: Column) -> Column:
 def label_dates(text: Column, as_of: Column) -> Column:
     """``struct<start, end>`` (dates) from the first rule that finds any: ISO days, month and year, year,
     ``last year``, ``last month``."""
-    iso = F.regexp_extract_all(text, F.lit(r"(\d{4}-\d{2}-\d{2})"), 1)
-    pattern = F.lit(rf"(?i)({fv.MONTH_PATTERN})\s+(\d{{4}})")
+    iso = F.regexp_extract_all(text, F.lit(fv.ISO_DAY_PATTERN), 1)
+    pattern = F.lit(fv.MONTH_YEAR_PATTERN)
     months, years = F.regexp_extract_all(text, pattern, 1), F.regexp_extract_all(text, pattern, 2)
-    year = F.regexp_extract(text, r"(?i)(?:from|in|during|year)\s+(\d{4})", 1)
+    year = F.regexp_extract(text, fv.YEAR_PATTERN, 1)
     lower = F.lower(text)
     at0, at1 = F.lit(0), F.lit(1)
 
@@ -97,14 +97,13 @@ def label_dates(text: Column, as_of: Column) -> Column:
 
 def label_location(text: Column) -> Column:
     """Capitalised words after a place preposition, else the last capitalised run without a stop word."""
-    name = r"[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*"
     stop = F.array(*[F.lit(w) for w in fv.NON_LOCATION_WORDS])
 
     def head(run):
         return F.get(F.split(F.lower(run), r"\s+"), F.lit(0))
 
-    placed = F.regexp_extract(text, rf"(?:near|around|in|of|over)\s+({name})", 1)
-    runs = F.regexp_extract_all(text, F.lit(rf"(?<!^)(?<!\. )\b({name})\b"), 1)
+    placed = F.regexp_extract(text, fv.PLACE_AFTER_PREPOSITION_PATTERN, 1)
+    runs = F.regexp_extract_all(text, F.lit(fv.CAPITALISED_RUN_PATTERN), 1)
     clean = F.filter(runs, lambda r: ~F.arrays_overlap(F.split(F.lower(r), r"\s+"), stop))
     last = F.get(clean, F.size(clean) - 1)
     return F.when((placed != "") & ~F.array_contains(stop, head(placed)), placed).otherwise(last)

@@ -166,15 +166,6 @@ def change_magnitude(score: Column) -> Column:
     )
 
 
-def fraction_magnitude(fraction: Column) -> Column:
-    return (
-        F.when(fraction > 0.3, "Significant")
-        .when(fraction > 0.1, "Moderate")
-        .when(fraction > 0.01, "Minor")
-        .otherwise("Negligible")
-    )
-
-
 def _trend(mean: Column, what: str, unit: str) -> Column:
     mean = F.round(mean, 9)  # a mean that is zero up to rounding has no sign
     signed = F.concat(F.when(mean < 0, "-").otherwise("+"), fixed(F.abs(mean), 2))

@@ -59,11 +59,6 @@ def scene_text(sensor: Column, modality: Column, obj: Column) -> Column:
     return F.concat_ws(" ", F.nullif(sensor, blank), F.nullif(modality, blank), F.nullif(obj, blank))
 
 
-def scene_text_with_place(sensor: Column, modality: Column, obj: Column, lon: Column, lat: Column) -> Column:
-    near = F.format_string("near %.2f,%.2f", lon, lat)
-    return F.concat_ws(" ", scene_text(sensor, modality, obj), F.when(lon.isNotNull() & lat.isNotNull(), near))
-
-
 def semantic_query_text(text: Column, obj: Column) -> Column:
     blank = F.lit("")
     joined = F.concat_ws(" ", F.nullif(F.trim(text), blank), F.nullif(F.trim(obj), blank))
@@ -86,18 +81,6 @@ def detect_modality(path: Column, default: str = "unknown") -> Column:
     return out.otherwise(default)
 
 
-def task_from_path(path: Column) -> Column:
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    return (
-        F.when(name.contains("caption"), "caption")
-        .when(name.contains("vqa"), "vqa")
-        .when(name.contains("referring") | name.contains("grounding"), "grounding")
-        .when(name.contains("fusion"), "fusion")
-        .when(name.contains("change"), "change")
-        .otherwise("vqa")
-    )
-
-
 def _unit_box(parts: list[Column]) -> Column:
     x1, y1, x2, y2 = (p.try_cast("double") for p in parts)
     ok = (x2 > x1) & (y2 > y1)

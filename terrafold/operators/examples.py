@@ -241,10 +241,6 @@ def sample_limit(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
-def first_per_task(df: DataFrame, task: str, key: str, n: int) -> DataFrame:
-    return first_rows(df, [task], [F.asc(key)], n, "__r").drop("__r")
-
-
 def stratified_sample(
     df: DataFrame, stratum: str, key: str, rate: float = 0.1, whole: list[str] | None = None, seed: str = "0"
 ) -> DataFrame:

@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import short_batches
+from .common import BATCH_ROWS, short_batches
 
-SLICE_BYTES = 3_000_000
-MEMO = 500_000
-MEMO_BYTES = 40_000_000
+SLICE_BYTES = 5_000_000
+MEMO = 1_200_000
+MEMO_BYTES = 60_000_000
 #: Words of one query.
-QUERY_WORDS = 20_000
+QUERY_WORDS = 40_000
 LONG_BYTES = 300
 #: A contraction key is rank * POSITIONS + position.
 POSITIONS = 1 << 32
@@ -107,11 +107,14 @@ class Memo:
 
     def get(self, keys: pa.BinaryArray, make: Callable[[pa.BinaryArray], pa.BinaryArray]) -> pa.BinaryArray:
         """The values of distinct keys; ``make`` is asked for those not met before."""
-        new = keys.filter(pc.is_null(pc.index_in(keys, value_set=self.keys)))
-        if len(new):
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().copy()
+        fresh = at < 0
+        if fresh.any():
+            new = keys.filter(pa.array(fresh))
+            at[fresh] = len(self.keys) + np.arange(len(new))
             self.keys = pa.concat_arrays([self.keys, new])
             self.values = pa.concat_arrays([self.values, make(new)])
-        out = self.values.take(pc.index_in(keys, value_set=self.keys))
+        out = self.values.take(pa.array(at))
         if len(self.keys) > MEMO or self.keys.nbytes + self.values.nbytes > MEMO_BYTES:
             self.keys, self.values = keys, out
         return out
@@ -292,7 +295,7 @@ def encode_decode(
 
     One worker holds both memos, instead of two workers with a DuckDB each.
     """
-    short_batches(df.sparkSession)
+    short_batches(df.sparkSession, 3 * BATCH_ROWS)
 
     @F.pandas_udf("struct<ids:binary,bytes:binary>")
     def both_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

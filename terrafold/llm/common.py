@@ -34,9 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def short_batches(spark: SparkSession) -> None:
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hand texts to Python in short batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

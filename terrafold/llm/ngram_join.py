@@ -10,7 +10,11 @@ where ``k0 + 2 k1 = H + 1``. By the pigeonhole principle, linked sets agree on a
 Fewer segments are larger and thus more selective, but deletions are more rows.
 ``allocate`` picks the cheapest ``k1`` of each band from the number of its classes.
 
-A key is (scheme, segment, content). Members of a key are not paired with one
+Lower thresholds leave many segments empty by chance, and those all meet. ``rare`` takes
+other keys: in one order of all elements, rare ones first, linked sets share one of the
+first ``n - ceil(n percent / 100) + 1`` of both. An element of one class alone is no key.
+
+A key is (scheme, segment, content), or an element. Members of a key are not paired with one
 another: each meets the key's pivot and is verified exactly on the full sets, which
 leaves its difference to the pivot. Where the documents of a pivot are then still in
 several components, those not linked to it meet the others in blocks and are compared
@@ -134,12 +138,12 @@ def keys_of(s: np.ndarray, bands: Bands, plan: list[tuple[int, int]]) -> np.ndar
     return np.concatenate(out)
 
 
-def set_digests(df: DataFrame, row_id: str, text: str) -> DataFrame:
+def set_digests(df: DataFrame, row_id: str, text: str, ngram: int = NGRAM) -> DataFrame:
     """``doc, tag, n, d1, d2``: hash of the text, size and digest of the set of every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()])
+            sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], ngram)
             d = np.array([digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             n = pa.array([len(s) for s in sets], pa.int64())
             columns = [batch.column(0), batch.column(2), n, pa.array(d[:, 0]), pa.array(d[:, 1])]
@@ -149,12 +153,12 @@ def set_digests(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(read, "doc long, tag long, n long, d1 long, d2 long")
 
 
-def set_arrays(df: DataFrame, row_id: str, text: str, make, name: str) -> DataFrame:
+def set_arrays(df: DataFrame, row_id: str, text: str, make, name: str, ngram: int = NGRAM) -> DataFrame:
     """``doc, d1, d2`` and ``make(set)`` as an array of longs, of every row with a set."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()])
+            sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], ngram)
             d = np.array([digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             made = [make(s).astype(np.int64) for s in sets]
             starts = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
@@ -255,20 +259,8 @@ def links_across(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.applyInArrow(lambda a, b: links_of_block(a, b, percent), "a long, b long").filter("a <> b")
 
 
-def jaccard_classes(df: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``df``: ``doc, tag, n, component``; ``tag`` is the hash of the text.
-
-    ``n`` is the number of distinct 3-word shingles, ``component`` the least document that
-    links reach. Null, empty and white texts have no set and reach nothing but themselves.
-    Null ids are one document below all others. Rows that share an id but not a text are
-    linked as their texts are. Other columns are not read.
-    """
-    short_batches(df.sparkSession)
-    rows = cut(set_digests(df, row_id, text))
-    with_set = rows.filter("n > 0")
-    classes = with_set.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag")).alias("r"), F.first("n").alias("n"))
-    classes = classes.select("d1", "d2", "n", F.col("r.doc").alias("rep"), F.col("r.tag").alias("rep_tag"))
-    classes = cut(classes)
+def segment_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int, classes: DataFrame) -> DataFrame:
+    """``doc, key, whole`` of the representatives by the segments of their sets."""
     largest = classes.agg(F.max("n")).first()[0] or 1
     bands = Bands(int(largest), percent)
     # one row per band: sizes grow by a ninth from band to band
@@ -277,11 +269,48 @@ def jaccard_classes(df: DataFrame, row_id: str = "doc_id", text: str = "text", p
     held = {r["band"]: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
     plan = bands.allocate([held.get(i, 0) for i in range(len(bands.low))])
 
-    keyed = set_arrays(df, row_id, text, lambda s: keys_of(s, bands, plan), "keys").filter(F.size("keys") > 0)
+    keyed = set_arrays(df, row_id, text, lambda s: keys_of(s, bands, plan), "keys", ngram).filter(F.size("keys") > 0)
     reps = classes.select("d1", "d2", F.col("rep").alias("doc"))
     keyed = cut(keyed.join(reps, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["doc", "d1", "d2"]).select("doc", "keys"))
     flat = keyed.select("doc", F.explode("keys").alias("k"))
-    flat = flat.select("doc", F.shiftrightunsigned("k", 1).alias("key"), (F.col("k") % 2 == 0).alias("whole"))
+    return flat.select("doc", F.shiftrightunsigned("k", 1).alias("key"), (F.col("k") % 2 == 0).alias("whole"))
+
+
+def rare_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int, classes: DataFrame) -> DataFrame:
+    """``doc, key, whole`` of the representatives by the rarest elements of their sets.
+
+    Elements of one class come first in the order and are only counted.
+    """
+    sets = set_arrays(df, row_id, text, lambda s: s, "s", ngram).filter(F.size("s") > 0)
+    reps = classes.select("d1", "d2", F.col("rep").alias("doc"))
+    sets = cut(sets.join(reps, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["doc", "d1", "d2"]).select("doc", "s"))
+    flat = sets.select("doc", F.size("s").alias("n"), F.explode("s").alias("key"))
+    held = cut(flat.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    known = flat.join(held, "key").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("known"))
+    # n - ceil(n p / 100) + 1 elements, of which those of one class are n - size(known)
+    length = F.size("known") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
+    first = F.slice("known", 1, F.greatest(length, F.lit(0)))
+    return cut(known.select("doc", F.explode(first["key"]).alias("key"))).withColumn("whole", F.lit(True))
+
+
+def jaccard_classes(
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = NGRAM, rare: bool = False
+) -> DataFrame:
+    """One row per row of ``df``: ``doc, tag, n, component``; ``tag`` is the hash of the text.
+
+    ``n`` is the number of distinct shingles of ``n`` words, ``component`` the least document that
+    links reach. Null, empty and white texts have no set and reach nothing but themselves.
+    Null ids are one document below all others. Rows that share an id but not a text are
+    linked as their texts are. Other columns are not read. ``rare`` only changes the cost: keys
+    are rare elements, for thresholds under about 90, and not segments.
+    """
+    short_batches(df.sparkSession)
+    rows = cut(set_digests(df, row_id, text, n))
+    with_set = rows.filter("n > 0")
+    classes = with_set.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag")).alias("r"), F.first("n").alias("n"))
+    classes = classes.select("d1", "d2", "n", F.col("r.doc").alias("rep"), F.col("r.tag").alias("rep_tag"))
+    classes = cut(classes)
+    flat = (rare_keys if rare else segment_keys)(df, row_id, text, n, percent, classes)
     shared = flat.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("whole"), F.col("doc"))).alias("pivot"))
     shared = cut(shared.filter("c > 1 AND pivot IS NOT NULL").select("key", "pivot"))
     pairs = cut(flat.join(shared, "key").filter("doc <> pivot").select("doc", "pivot").distinct())
@@ -293,7 +322,7 @@ def jaccard_classes(df: DataFrame, row_id: str = "doc_id", text: str = "text", p
     texts = texts.withColumn("bucket", bucket("__doc")).join(F.broadcast(involved.select(bucket("doc")).distinct()), "bucket", "left_semi")
     same = (F.col("__doc") == F.col("doc")) & (F.col("__tag") == F.col("tag"))
     texts = texts.drop("bucket").join(involved, same, "left_semi").dropDuplicates(["__doc", "__tag"])
-    sets = cut(set_arrays(texts, "__doc", "__text", lambda s: s, "s").select("doc", "s"))
+    sets = cut(set_arrays(texts, "__doc", "__text", lambda s: s, "s", n).select("doc", "s"))
     near = cut(differences(pairs, sets, percent))
 
     first = near.filter("is_linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels
 from .common import any_id, cut, short_batches
@@ -279,14 +279,15 @@ def segment_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int
 def rare_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int, classes: DataFrame) -> DataFrame:
     """``doc, key, whole`` of the representatives by the rarest elements of their sets.
 
-    Elements of one class come first in the order and are only counted.
+    Every element is shuffled once, with its class. Those of one class come first in the
+    order and are only counted.
     """
-    sets = set_arrays(df, row_id, text, lambda s: s, "s", ngram).filter(F.size("s") > 0)
-    reps = classes.select("d1", "d2", F.col("rep").alias("doc"))
-    sets = cut(sets.join(reps, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["doc", "d1", "d2"]).select("doc", "s"))
-    flat = sets.select("doc", F.size("s").alias("n"), F.explode("s").alias("key"))
-    held = cut(flat.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    known = flat.join(held, "key").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("known"))
+    flat = set_arrays(df, row_id, text, lambda s: s, "s", ngram).select("d1", F.explode("s").alias("key")).repartition("key")
+    held = Window.partitionBy("key")
+    flat = flat.groupBy("key", "d1").agg(F.count("*").alias("c"))
+    flat = flat.select("key", "d1", F.sum("c").over(held).alias("c"), F.count("*").over(held).alias("k")).filter("k > 1")
+    known = flat.groupBy("d1").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("known"))
+    known = known.join(classes.select("d1", "n", F.col("rep").alias("doc")), "d1")
     # n - ceil(n p / 100) + 1 elements, of which those of one class are n - size(known)
     length = F.size("known") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
     first = F.slice("known", 1, F.greatest(length, F.lit(0)))

@@ -7,6 +7,11 @@ a 128-bit digest with document, start and end in the original text. The digests
 are grouped globally; the occurrence of the least (document, start) stays and all
 others go. A removed line covers its sentences.
 
+With ``runs``, shorter units count too: from every unit of fewer words, the shortest run
+of units after it and the shortest run before it that together have ``min_words`` words
+are units as well. So a repeated run of whole units of that many words goes entirely,
+whatever surrounds it.
+
 Only digests are shuffled. Groups are counted on the map side first; the side of
 a hot digest in the join back can be split.
 """
@@ -44,7 +49,25 @@ def unit_spans(text: str) -> Iterator[tuple[int, int]]:
             yield at, end
 
 
-def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int) -> DataFrame:
+def short_runs(text: str, min_words: int) -> set[tuple[int, int]]:
+    """Spans of the shortest runs of ``min_words`` words that begin or end with a shorter unit."""
+    spans = list(unit_spans(text))
+    # a line of several sentences is followed by the first of them
+    lowest = [a for a, b in zip(spans, [*spans[1:], (len(text) + 1,) * 2]) if a[1] <= b[0]]
+    counted = [(a, b, n) for a, b in lowest if (n := len(text[a:b].split()))]
+    total = np.concatenate([[0], np.cumsum([n for _, _, n in counted], dtype=np.int64)])
+    after = np.searchsorted(total, total[:-1] + min_words)
+    before = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    out = set()
+    for k, (a, b, n) in enumerate(counted):
+        if n < min_words and after[k] < len(total):
+            out.add((a, counted[after[k] - 1][1]))
+        if n < min_words and before[k] >= 0:
+            out.add((counted[before[k]][0], b))
+    return out
+
+
+def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int, runs: bool = False) -> DataFrame:
     """``doc, start, end, h1, h2`` (code points of the original text) of every unit long enough."""
     short_batches(df.sparkSession)
 
@@ -52,7 +75,11 @@ def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int) -> DataF
         for batch in batches:
             docs, spans, keys = [], [], []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for start, end in unit_spans(body or ""):
+                body = body or ""
+                units = list(unit_spans(body))
+                if runs:
+                    units += sorted(short_runs(body, min_words) - set(units))
+                for start, end in units:
                     words = body[start:end].split()
                     if len(words) >= min_words:
                         docs.append(doc)
@@ -67,20 +94,25 @@ def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int) -> DataF
     return read.mapInArrow(digests, "doc long, start long, end long, h1 long, h2 long")
 
 
-def repeated_units(df: DataFrame, row_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False
+) -> DataFrame:
     """One row per unit to remove: ``doc, start, end, first_doc, first_start``.
 
     ``first_doc`` and ``first_start`` are the occurrence that stays, the least by
     (document, start); null ids come first, as one document. Texts that share an id
     are one document, so exact repeats of a row do not count against each other.
-    Null and empty texts have no units. Other columns are not read.
+    Null and empty texts have no units. Other columns are not read. With ``runs``, runs of
+    shorter units are units; one that overlaps its first occurrence stays.
     """
-    units = cut(unit_digests(df, row_id, text, min_words))
+    units = cut(unit_digests(df, row_id, text, min_words, runs))
     groups = units.groupBy("h1", "h2").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("doc").alias("first_doc"), F.col("start").alias("first_start"))).alias("f")
+        F.count("*").alias("n"), F.min(F.struct(F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), F.col("end").alias("first_end"))).alias("f")
     )
     groups = cut(groups.filter(F.col("n") > 1).select("h1", "h2", "f.*"))
     later = (F.col("doc") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
+    if runs:
+        later = (F.col("doc") != F.col("first_doc")) | (F.col("start") >= F.col("first_end"))
     return units.join(groups, ["h1", "h2"]).filter(later).select("doc", "start", "end", "first_doc", "first_start")
 
 

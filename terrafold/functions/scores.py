@@ -173,8 +173,24 @@ def _trend(mean: Column, what: str, unit: str) -> Column:
     return F.when(mean.isNotNull(), F.concat(word, F.lit(f"{what} ({unit} delta: "), signed, F.lit(")")))
 
 
-def change_description(score: Column, mean_ndvi: Column, mean_ndwi: Column, mean_sar: Column) -> Column:
-    """Report sentence from the score and the signed mean deltas; absent parts are left out."""
+def _variation(mean_abs: Column, moving: str, unit: str, still: str) -> Column:
+    held = fixed(mean_abs, 2, f"observed {moving} variation ({unit} abs delta: %.2f)")
+    return F.when(mean_abs > 0.05, held).when(mean_abs.isNotNull(), still)
+
+
+def change_description(
+    score: Column,
+    mean_ndvi: Column,
+    mean_ndwi: Column,
+    mean_sar: Column,
+    abs_ndvi: Column | None = None,
+    abs_ndwi: Column | None = None,
+    abs_sar: Column | None = None,
+) -> Column:
+    """Report sentence from the score and the signed mean deltas, or the absolute ones where those
+    are absent; other absent parts are left out."""
+    absent = F.lit(None).cast("double")
+    abs_ndvi, abs_ndwi, abs_sar = (absent if x is None else x for x in (abs_ndvi, abs_ndwi, abs_sar))
     held = F.least(F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     head = F.concat(
         F.lit("Bi-temporal analysis indicates "),
@@ -182,9 +198,20 @@ def change_description(score: Column, mean_ndvi: Column, mean_ndwi: Column, mean
         fixed(held, 4, " (change score: %.4f)."),
     )
     optical = F.concat_ws(
-        ", ", _trend(mean_ndvi, "vegetation index", "NDVI"), _trend(mean_ndwi, "water index", "NDWI")
+        ", ",
+        F.coalesce(
+            _trend(mean_ndvi, "vegetation index", "NDVI"),
+            _variation(abs_ndvi, "vegetation index", "NDVI", "stable vegetation index (NDVI)"),
+        ),
+        F.coalesce(
+            _trend(mean_ndwi, "water index", "NDWI"),
+            _variation(abs_ndwi, "water index", "NDWI", "stable water index (NDWI)"),
+        ),
+    )
+    radar = F.coalesce(
+        _trend(mean_sar, "SAR backscatter intensity", "log-ratio"),
+        _variation(abs_sar, "SAR backscatter", "log-ratio", "stable SAR backscatter intensity"),
     )
-    radar = _trend(mean_sar, "SAR backscatter intensity", "log-ratio")
     none = F.lit(None).cast("string")
     text = F.concat_ws(
         " ",
@@ -192,7 +219,7 @@ def change_description(score: Column, mean_ndvi: Column, mean_ndwi: Column, mean
         F.when(optical != "", F.concat(F.lit("Sentinel-2 optical metrics show "), optical, F.lit("."))).otherwise(none),
         F.when(radar.isNotNull(), F.concat(F.lit("Sentinel-1 SAR metrics show "), radar, F.lit("."))).otherwise(none),
     )
-    empty = score.isNull() & mean_ndvi.isNull() & mean_ndwi.isNull() & mean_sar.isNull()
+    empty = F.coalesce(score, mean_ndvi, mean_ndwi, mean_sar, abs_ndvi, abs_ndwi, abs_sar).isNull()
     return F.when(empty, "Insufficient data provided for temporal change description.").otherwise(text)
 
 

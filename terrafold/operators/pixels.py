@@ -135,7 +135,8 @@ def change_report(joined: DataFrame) -> DataFrame:
     return scored.withColumn(
         "change_description",
         change_description(
-            F.col("change_score"), F.col("mean_ndvi_delta"), F.col("mean_ndwi_delta"), F.col("mean_sar_delta")
+            *map(F.col, ("change_score", "mean_ndvi_delta", "mean_ndwi_delta", "mean_sar_delta")),
+            *map(F.col, ("mean_abs_ndvi_delta", "mean_abs_ndwi_delta", "mean_abs_sar_delta")),
         ),
     )
 

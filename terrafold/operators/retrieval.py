@@ -300,15 +300,27 @@ def select_fusion_pair(results: DataFrame) -> DataFrame:
     return picked.withColumn("error", F.when(missing, error))
 
 
-def attach_confidence(results: DataFrame, as_of: Column, used_fallback: Column | None = None) -> DataFrame:
-    """Confidence band, reason and observation age of every result row."""
+def attach_confidence(
+    results: DataFrame,
+    as_of: Column,
+    used_fallback: Column | None = None,
+    registered: Column | None = None,
+    trace_fallback: Column | None = None,
+    cross_check: Column | None = None,
+) -> DataFrame:
+    """Confidence band, reason and observation age of every result row.
+
+    ``cross_check`` is a struct like that of ``scores.cross_check``. A null ``registered`` is a failed registration.
+    """
     no = F.lit(False)
     verdict = scores.confidence(
         used_fallback if used_fallback is not None else no,
-        no,
+        trace_fallback if trace_fallback is not None else no,
         F.coalesce("paired_scene_id", F.lit("")) == "",
         F.col("cloud_cover"),
-        F.lit(True),
+        F.coalesce(registered, no) if registered is not None else F.lit(True),
+        None if cross_check is None else cross_check["disagreement"],
+        None if cross_check is None else cross_check["severity"],
     )
     return (
         results.withColumn("__c", verdict)

@@ -113,3 +113,63 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, min(r.comp)::BIGINT AS component_id
 FROM d LEFT JOIN c USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY ALL
 """
+
+ORACLES["op11_divergence_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (
+  SELECT row_id, lang, source, unnest(w) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT row_id) >= 3
+), c AS (
+  SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT d.lang, d.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0)::HUGEINT AS n,
+         (SELECT count(*) FROM k WHERE k.lang = d.lang)::HUGEINT AS v,
+         coalesce((SELECT sum(n) FROM k WHERE k.lang = d.lang), 0)::HUGEINT AS ln
+  FROM (SELECT DISTINCT lang, source FROM d) d
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 1)) // (g.ln + g.v) AS q
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM f
+)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES["op12_lexical_search"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT count(*) FILTER (WHERE len(w) > 0)::BIGINT AS c, sum(len(w))::BIGINT AS l FROM d
+), t AS (
+  SELECT row_id, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d
+), f AS (
+  SELECT row_id, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), w AS (
+  SELECT term, floor(1000 * ln((2 * c + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM f JOIN s ON true WHERE term IN (SELECT term FROM i) GROUP BY term, c
+), x AS (
+  SELECT item_id, row_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * c) // l))))::BIGINT AS score
+  FROM f JOIN w USING (term) JOIN i USING (term) JOIN s ON true GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_settings
-from . import bpe_duckdb, chat_trees, host_rules, language_id, line_dedup, mixing, ngram_join, quality_fm, substring_dedup, topk_search
+from . import (
+    bpe_duckdb, chat_trees, divergence, host_rules, language_id, lexical_search, line_dedup, mixing, ngram_join, quality_fm,
+    substring_dedup, topk_search, toxicity,
+)
 from .common import documents, id_remainder
 from .oracle import ORACLES
 
@@ -142,3 +145,26 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         real_id("doc").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+@query("op11_divergence_audit")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(documents(spark, folder)).select("lang", "source", "part", "item", "value", "rank")
+
+
+@query("op12_lexical_search")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = lexical_search.search(documents(spark, folder), items)
+    return found.select(real_id("item").alias("item_id"), "rank", real_id("doc").alias("doc_id"), "score")
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.train(docs, labels, ~held_out)
+    return toxicity.with_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )

@@ -24,7 +24,7 @@ def test_sql(spark, name):
 
 def test_names():
     names = {n for n in queries() if re.match(r"op\d+_", n)}
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and "pipeline" in queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in queries()
 
 
 def test_pipeline_stages(spark, tmp_path):

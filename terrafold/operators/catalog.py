@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import geo
 from ..functions.geo import Box
-from .ordered import first_rows, with_neighbours
+from .ordered import ROWS_PER_CHUNK, balanced_chunks, first_rows, with_neighbours
 
 
 
@@ -207,10 +207,11 @@ def per_group_limit(scenes: DataFrame, keys: list[str], n: int) -> DataFrame:
 # ---- pairing ---------------------------------------------------------------
 
 
-def pair_consecutive(scenes: DataFrame, keys: list[str], chunk_days: int = 365) -> DataFrame:
+def pair_consecutive(scenes: DataFrame, keys: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Link each scene to the next scene of its place and sensor, the last one to its predecessor."""
-    linked = with_neighbours(scenes, keys, "acquisition_time", "scene_id", chunk_days, "__prev", "__next")
-    return linked.withColumn("paired_scene_id", F.coalesce("__next.id", "__prev.id")).drop("__prev", "__next")
+    chunked = balanced_chunks(scenes, keys, ["acquisition_time", "scene_id"], rows_per_chunk)
+    linked = with_neighbours(chunked, keys, "acquisition_time", "scene_id", "__prev", "__next")
+    return linked.withColumn("paired_scene_id", F.coalesce("__next.id", "__prev.id")).drop("__prev", "__next", "__chunk")
 
 
 def pair_lookup(scenes: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from .. import fixed_values as fv
 from ..functions import geo, text as tx
 from ..functions.binding import let
 from ..functions.geo import Box
-from .ordered import exact_percentiles, first_rows
+from ..functions.grams import overlap
+from .ordered import first_rows
+from .selection import exact_percentiles
 
 
 # ---- retrieval -------------------------------------------------------------
@@ -229,69 +231,29 @@ def baseline_compare(runs: DataFrame) -> DataFrame:
 
 
 def bleu_set(reference: Column, prediction: Column) -> Column:
-    """Set-based 1–4-gram precision, geometric mean, no brevity penalty."""
-    ref = F.filter(F.split(F.lower(reference), r"\s+"), lambda w: w != "")
-    pred = F.filter(F.split(F.lower(prediction), r"\s+"), lambda w: w != "")
-    logs = F.lit(0.0)
-    empty = F.lit(False)
-    for n in range(1, 5):
-        r, p = F.array_distinct(tx.ngrams(ref, n)), F.array_distinct(tx.ngrams(pred, n))
-        shared = F.size(F.array_intersect(p, r))
-        empty = empty | (shared == 0)
-        logs = logs + F.log(F.when(shared > 0, shared / F.size(p)))
-    return F.when(empty | logs.isNull(), F.lit(0.0)).otherwise(F.exp(logs / 4))
-
-
-def _runs(values: Column) -> Column:
-    """Distinct values of an array with their counts, ``array<struct<g, c>>``."""
-
-    def count(ordered: Column) -> Column:
-        starts = F.filter(
-            F.transform(ordered, lambda g, i: F.when((i == 0) | (g != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull()
-        )
-
-        def lengths(at: Column) -> Column:
-            after = F.slice(at, 2, F.greatest(F.size(at), F.lit(1)))
-            return F.zip_with(
-                at, after, lambda a, b: F.struct(F.get(ordered, a).alias("g"), (F.coalesce(b, F.size(ordered)) - a).alias("c"))
-            )
+    """Set-based 1–4-gram precision, geometric mean, no brevity penalty. Null texts are empty."""
+    counted = overlap(reference, prediction, punctuation=False, distinct=True)
 
-        return let(starts, lengths)
+    def score(c: Column) -> Column:
+        logs = F.lit(0.0)
+        for n in range(1, 5):
+            logs = logs + F.log(F.when(c[f"m{n}"] > 0, c[f"m{n}"] / c[f"t{n}"]))
+        return F.coalesce(F.exp(logs / 4), F.lit(0.0))
 
-    return let(F.array_sort(values), count)
-
-
-def _clipped(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two arrays: both count their values, and equal values meet as neighbours."""
-
-    def meet(both: Column) -> Column:
-        after = F.slice(both, 2, F.greatest(F.size(both), F.lit(1)))
-        common = F.zip_with(both, after, lambda a, b: F.when(a["g"] == b["g"], F.least(a["c"], b["c"])).otherwise(F.lit(0)))
-        return F.aggregate(common, F.lit(0), lambda total, n: total + n)
-
-    return let(F.sort_array(F.concat(_runs(left), _runs(right))), meet)
+    return let(counted, score)
 
 
 def answer_scores(rows: DataFrame, key: str, reference: str = "reference", prediction: str = "prediction") -> DataFrame:
-    """``key, bleu4, f1, exact_match`` with clipped n-gram counts, all within the row."""
-    base = rows.select(
-        key,
-        tx.answer_tokens(F.coalesce(F.col(reference), F.lit(""))).alias("__r"),
-        tx.answer_tokens(F.coalesce(F.col(prediction), F.lit(""))).alias("__p"),
-    )
-    r, p = F.col("__r"), F.col("__p")
-    counts = {"t1": F.size("__p"), "r1": F.size("__r")}
-    for n in range(1, 5):
-        counts[f"m{n}"] = _clipped(tx.ngrams(r, n), tx.ngrams(p, n))
-        counts[f"t{n}"] = F.greatest(F.size("__p") - (n - 1), F.lit(0))
-    counted = base.select(key, (r == p).cast("double").alias("exact_match"), F.explode(F.array(F.struct(*[c.alias(n) for n, c in counts.items()]))).alias("n"))
-    counted = counted.select(key, "exact_match", "n.*")
+    """``key, bleu4, f1, exact_match`` with clipped n-gram counts, all within the row (``functions.grams``)."""
+    counted = rows.select(key, overlap(F.col(reference), F.col(prediction), punctuation=True).alias("__n"))
+    counted = counted.select(key, "__n.*")
     logs = F.lit(0.0)
     for n in range(1, 5):
         logs = logs + F.log(F.when(F.col(f"m{n}") > 0, F.try_divide(f"m{n}", f"t{n}")))
     precision, recall = F.try_divide("m1", "t1"), F.try_divide("m1", "r1")
     f1 = F.when(F.col("m1") > 0, F.try_divide(2 * precision * recall, precision + recall)).otherwise(F.lit(0.0))
-    return counted.select(key, F.coalesce(F.exp(logs / 4), F.lit(0.0)).alias("bleu4"), f1.alias("f1"), "exact_match")
+    bleu = F.coalesce(F.exp(logs / 4), F.lit(0.0))
+    return counted.select(key, bleu.alias("bleu4"), f1.alias("f1"), F.col("same").cast("double").alias("exact_match"))
 
 
 def box_scores(rows: DataFrame, key: str, reference: str, reply: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
-from .ordered import exact_percentiles, first_rows, hash_order, with_hash_rank, with_running_sum
+from .ordered import first_rows, hash_order, with_hash_rank, with_running_sum
+from .selection import exact_percentiles
 
 
 def hash_choice(key: Column, salt: str, n: int) -> Column:

@@ -1,9 +1,10 @@
 """Ordered computations that stay balanced when one key holds much of the data.
 
 A plain ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to
-one task. The helpers here cut each key into chunks that follow the order (a
-time slice, a hash prefix), run the window inside the chunk, and carry the
-small per-chunk summary across chunks.
+one task. The helpers here cut each key into chunks that follow the order, run the
+window inside the chunk, and carry the small per-chunk summary across chunks. Chunks
+are balanced by rows (``balanced_chunks``) or follow a column that spreads evenly
+(a hash prefix).
 """
 
 from __future__ import annotations
@@ -13,9 +14,41 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import materialize
 
 
-def time_chunk(time: Column, days: int) -> Column:
-    """Order-preserving slice number of a timestamp; null times come first."""
-    return F.coalesce(F.floor(F.unix_timestamp(time) / (86400 * days)), F.lit(-(2**62)))
+#: Rows of a key that one task may order.
+ROWS_PER_CHUNK = 1_000_000
+
+
+def _same_keys(df: DataFrame, other: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(other[f"__h_{k}"])
+    return on
+
+
+def balanced_chunks(df: DataFrame, keys: list[str], order: list[str], rows: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add ``__chunk``: numbers that grow along the order of each key, none for more than ``rows`` rows of a key.
+
+    Keys of up to ``rows`` rows, usually all, are one chunk and cost a count that combines on the map side.
+    The rows of larger keys are range-partitioned by key and order, so that the edges follow where the rows really are:
+    a million rows of one hour, or of one instant, are as many chunks as a million rows of a year. The pieces are counted
+    and made smaller while one is too large; only rows that agree in key and order cannot be told apart.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows)
+    hot = materialize(sizes.withColumnsRenamed({k: f"__h_{k}" for k in keys}))
+    total = hot.agg(F.sum("__n")).first()[0]
+    if not total:
+        return df.withColumn("__chunk", F.lit(0))
+    busy = df.join(hot, _same_keys(df, hot, keys), "left_semi")
+    rest = df.join(hot, _same_keys(df, hot, keys), "left_anti").withColumn("__chunk", F.lit(0))
+    pieces = 2 * -(-total // rows)
+    for _ in range(4):
+        ranged = busy.repartitionByRange(pieces, *keys, *order).withColumn("__chunk", F.spark_partition_id())
+        ranged = materialize(ranged)
+        largest = ranged.groupBy(*keys, "__chunk").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if largest <= rows:
+            break
+        pieces *= 4
+    return rest.unionByName(ranged)
 
 
 def _join_summary(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,13 +89,10 @@ def with_range_rank(df: DataFrame, keys: list[str], order: list[Column], name: s
     return with_rank(materialize(ranged), keys, F.col("__range"), order, name).drop("__range")
 
 
-def with_neighbours(
-    df: DataFrame, keys: list[str], time: str, row_id: str, days: int, before: str | None, after: str | None
-) -> DataFrame:
-    """Add the ``struct<time, id>`` of the previous and/or next row of the key."""
+def with_neighbours(df: DataFrame, keys: list[str], time: str, row_id: str, before: str | None, after: str | None) -> DataFrame:
+    """Add the ``struct<time, id>`` of the previous and/or next row of the key. ``df`` has ``__chunk``, which stays."""
     item = F.struct(F.col(time).alias("time"), F.col(row_id).alias("id"))
-    base = df.withColumn("__chunk", time_chunk(F.col(time), days))
-    edges = base.groupBy(*keys, "__chunk").agg(F.min(item).alias("__first"), F.max(item).alias("__last"))
+    edges = df.groupBy(*keys, "__chunk").agg(F.min(item).alias("__first"), F.max(item).alias("__last"))
     across = W.partitionBy(*keys).orderBy("__chunk")
     edges = edges.select(
         *keys,
@@ -71,21 +101,18 @@ def with_neighbours(
         F.lead("__first").over(across).alias("__after"),
     )
     inside = W.partitionBy(*keys, "__chunk").orderBy(time, row_id)
-    out = _join_summary(base, edges, keys)
+    out = _join_summary(df, edges, keys)
     if before:
         out = out.withColumn(before, F.coalesce(F.lag(item).over(inside), F.col("__before")))
     if after:
         out = out.withColumn(after, F.coalesce(F.lead(item).over(inside), F.col("__after")))
-    return out.drop("__chunk", "__before", "__after")
+    return out.drop("__before", "__after")
 
 
-def with_last_known(
-    df: DataFrame, keys: list[str], time: str, row_id: str, days: int, columns: dict[str, str]
-) -> DataFrame:
-    """For each ``source -> target`` add the last non-null ``source`` of the key's earlier rows."""
-    base = df.withColumn("__chunk", time_chunk(F.col(time), days))
+def with_last_known(df: DataFrame, keys: list[str], time: str, row_id: str, columns: dict[str, str]) -> DataFrame:
+    """For each ``source -> target`` add the last non-null ``source`` of the key's earlier rows. ``df`` has ``__chunk``, which stays."""
     order = F.struct(F.col(time), F.col(row_id))
-    latest = base.groupBy(*keys, "__chunk").agg(
+    latest = df.groupBy(*keys, "__chunk").agg(
         *[F.max_by(F.col(s), F.when(F.col(s).isNotNull(), order)).alias(f"__l_{s}") for s in columns]
     )
     earlier = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -93,10 +120,10 @@ def with_last_known(
         *keys, "__chunk", *[F.last(f"__l_{s}", ignorenulls=True).over(earlier).alias(f"__c_{s}") for s in columns]
     )
     inside = W.partitionBy(*keys, "__chunk").orderBy(time, row_id).rowsBetween(W.unboundedPreceding, -1)
-    out = _join_summary(base, carried, keys)
+    out = _join_summary(df, carried, keys)
     return out.withColumns(
         {t: F.coalesce(F.last(s, ignorenulls=True).over(inside), F.col(f"__c_{s}")) for s, t in columns.items()}
-    ).drop("__chunk", *[f"__c_{s}" for s in columns])
+    ).drop(*[f"__c_{s}" for s in columns])
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
@@ -106,68 +133,6 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str =
     return ranked.filter(F.col(name) <= n)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Exact linearly interpolated percentiles, one row per (key, prob): ``keys, prob, n, percentile``.
-
-    ``percentile()`` builds one value map per group. Here a mergeable sketch
-    brackets each wanted rank first; only the distinct values inside the
-    bracket (a fixed small share of the group) are then ranked.
-    """
-    accuracy, margin = 10000, 5.0 / 10000
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    v = F.col(value).cast("double")
-    rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", F.array(*[F.lit(p) for p in lows]), F.lit(accuracy)).alias("__lows"),
-        F.percentile_approx("__v", F.array(*[F.lit(p) for p in highs]), F.lit(accuracy)).alias("__highs"),
-    )
-    brackets = sketch.select(*keys, "n", "__min", "__max", F.posexplode(wanted).alias("__i", "prob"), "__lows", "__highs")
-    small = F.col("n") <= accuracy  # so few values need no bracket
-    brackets = brackets.select(
-        *keys,
-        "n",
-        "prob",
-        F.when(small | (F.col("prob") - margin <= 0), F.col("__min"))
-        .otherwise(F.get("__lows", F.col("__i")))
-        .alias("__low"),
-        F.when(small | (F.col("prob") + margin >= 1), F.col("__max"))
-        .otherwise(F.get("__highs", F.col("__i")))
-        .alias("__high"),
-    )
-    # values below a bracket only count; values inside it are collapsed to (value, count)
-    if keys:
-        joined = _match_keys(rows, brackets, keys)
-    else:
-        one = F.lit(1).alias("__k")
-        # no keys: exactly len(probs) bracket rows, so the broadcast is bounded
-        joined = rows.select("*", one).join(F.broadcast(brackets.select("*", one)), "__k").drop("__k")
-    held = joined.filter(F.col("__v") <= F.col("__high")).withColumn(
-        "__inside", F.when(F.col("__v") >= F.col("__low"), F.col("__v"))
-    )
-    counted = held.groupBy(*keys, "prob", "n", "__inside").agg(F.count("*").alias("__c"))
-    by_value = W.partitionBy(*keys, "prob").orderBy(F.col("__inside").asc_nulls_first())
-    upto = F.sum("__c").over(by_value.rowsBetween(W.unboundedPreceding, 0))
-    ranked = counted.withColumn("__upto", upto)
-    position = F.col("prob") * (F.col("n") - 1)
-    low_at, high_at = F.floor(position), F.ceil(position)
-
-    def at(rank):
-        covers = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-        return F.max(F.when(covers, F.col("__inside")))
-
-    picked = ranked.groupBy(*keys, "prob", "n").agg(at(low_at).alias("__lo"), at(high_at).alias("__hi"))
-    share = position - F.floor(position)
-    span = F.col("__hi") - F.col("__lo")
-    # from the nearer end, so that a share of almost 1 gives the upper value itself
-    between = F.when(share < 0.5, F.col("__lo") + span * share).otherwise(F.col("__hi") - span * (1 - share))
-    return picked.select(*keys, "prob", "n", between.alias("percentile"))
-
-
 def _match_keys(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Many-to-one join on non-null keys."""
     return rows.join(other, keys)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import fixed_values as fv
 from ..functions import bands
 from ..functions.scores import change_description
-from .ordered import _match_keys, exact_percentiles, with_group_stats
+from .ordered import _match_keys, with_group_stats
+from .selection import exact_percentiles
 
 SHAPE_ERROR = "shape mismatch: pixels of t1 and t2 do not align"
 MISSING_BANDS = "missing required bands"

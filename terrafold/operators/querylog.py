@@ -6,13 +6,13 @@ projection without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions import geo, text as tx
 from ..functions.geo import Box
 from .joins import geocode_join
-from .ordered import first_rows, time_chunk, with_last_known, with_neighbours, with_running_sum
+from .ordered import ROWS_PER_CHUNK, balanced_chunks, first_rows, with_last_known, with_neighbours, with_running_sum
 
 
 # ---- labels ----------------------------------------------------------------
@@ -196,7 +196,7 @@ def session_carry_forward(
     time: str = "ts",
     row_id: str = "query_id",
     followup: str = "is_followup",
-    chunk_days: int = 7,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """A follow-up row whose reuse flag is set takes the field from the session's last row that set it.
 
@@ -204,9 +204,8 @@ def session_carry_forward(
     follow-ups set the context.
     """
     sources = log.withColumns({f"__src_{f}": F.when(~F.col(followup), F.col(f)) for f in fields})
-    known = with_last_known(
-        sources, [session], time, row_id, chunk_days, {f"__src_{f}": f"__ctx_{f}" for f in fields}
-    )
+    chunked = balanced_chunks(sources, [session], [time, row_id], rows_per_chunk)
+    known = with_last_known(chunked, [session], time, row_id, {f"__src_{f}": f"__ctx_{f}" for f in fields}).drop("__chunk")
     resolved = {
         f: F.when(F.col(followup) & F.coalesce(F.col(reuse), F.lit(False)), F.coalesce(f"__ctx_{f}", f)).otherwise(F.col(f))
         for f, reuse in fields.items()
@@ -231,14 +230,34 @@ def session_ttl(
     time: str = "ts",
     row_id: str = "query_id",
     hours: int = fv.SESSION_IDLE_HOURS,
-    chunk_days: int = 7,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Number the sessions of a key: a gap of more than ``hours`` starts a new one."""
-    linked = with_neighbours(log, [session], time, row_id, chunk_days, "__prev", None)
+    chunked = balanced_chunks(log, [session], [time, row_id], rows_per_chunk)
+    linked = with_neighbours(chunked, [session], time, row_id, "__prev", None)
     idle = F.unix_micros(time) - F.unix_micros("__prev.time")
     fresh = F.when(F.col("__prev").isNull() | (idle > hours * 3_600_000_000), 1).otherwise(0)
     flagged = linked.withColumn("__new", fresh).drop("__prev")
-    numbered = with_running_sum(
-        flagged, [session], time_chunk(F.col(time), chunk_days), [time, row_id], F.col("__new"), "session_no"
-    )
-    return numbered.drop("__new")
+    return with_running_sum(flagged, [session], F.col("__chunk"), [time, row_id], F.col("__new"), "session_no").drop("__new")
+
+
+def session_spans(
+    log: DataFrame, session: str = "session_id", time: str = "ts", hours: int = fv.SESSION_IDLE_HOURS, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """``session, n, first_ts, last_ts`` of every session: rows without a gap of more than ``hours``. Null times are in none.
+
+    Each chunk of a key makes its own partial sessions; only these, a few per chunk, meet by key, where those that
+    are not far enough apart become one. A key with a third of all rows is as many tasks as it has chunks.
+    """
+    idle = hours * 3_600_000_000
+    chunked = balanced_chunks(log.filter(F.col(time).isNotNull()).select(session, time), [session], [time], rows_per_chunk)
+
+    def runs(rows: DataFrame, keys: list[str], first: str, last: str, n: Column) -> DataFrame:
+        order = W.partitionBy(*keys).orderBy(first, last)
+        reached = F.max(last).over(order.rowsBetween(W.unboundedPreceding, -1))
+        far = F.unix_micros(F.col(first).cast("timestamp")) - F.unix_micros(reached.cast("timestamp")) > idle
+        no = F.sum(F.when(far, 1).otherwise(0)).over(order)
+        return rows.withColumn("__no", no).groupBy(*keys, "__no").agg(n.alias("n"), F.min(first).alias("first_ts"), F.max(last).alias("last_ts"))
+
+    partial = runs(chunked, [session, "__chunk"], time, time, F.count("*"))
+    return runs(partial.drop("__no"), [session], "first_ts", "last_ts", F.sum("n")).drop("__no")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from terrafold.functions.geo import Box, boxes_touch
 from terrafold.operators import catalog, joins, querylog as ql, retrieval as rt, textsim as ts
-from terrafold.operators.ordered import exact_percentiles, with_hash_rank, with_running_sum
+from terrafold.operators.ordered import with_hash_rank, with_running_sum
+from terrafold.operators.selection import exact_percentiles
 from terrafold.plans.bindings import Data
 
 FOLDER = "/root/testdata/sf0.001"
@@ -74,10 +75,10 @@ def test_edges_and_nulls_of_the_grid(spark):
 
 def test_chunked_windows_equal_plain_windows(spark, data):
     log = data.view("log")
-    base = sorted((r.query_id, r.session_no) for r in ql.session_ttl(log, chunk_days=1000).collect())
-    for days in (1, 3):
+    base = sorted((r.query_id, r.session_no) for r in ql.session_ttl(log).collect())
+    for rows in (2, 7):
         hot = log.repartition(5)
-        assert sorted((r.query_id, r.session_no) for r in ql.session_ttl(hot, chunk_days=days).collect()) == base
+        assert sorted((r.query_id, r.session_no) for r in ql.session_ttl(hot, rows_per_chunk=rows).collect()) == base
 
 
 def test_hash_rank_is_dense(spark):

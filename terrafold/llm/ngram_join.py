@@ -43,6 +43,9 @@ PERCENT = 90
 PAIR_COST = 20.0
 #: Bound of the rows that a broadcast of id buckets can have.
 ID_BUCKETS = 1 << 20
+#: Sets looked at for elements of very many sets, and how many of them must hold one.
+SAMPLE_SETS = 1 << 14
+SAMPLE_HITS = 16
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -276,22 +279,92 @@ def segment_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int
     return flat.select("doc", F.shiftrightunsigned("k", 1).alias("key"), (F.col("k") % 2 == 0).alias("whole"))
 
 
+def texts_of(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``__doc, __text`` of the rows ``doc, tag``, each once.
+
+    Most texts are not wanted and need not be shuffled: at most ``ID_BUCKETS`` numbers are broadcast.
+    """
+    texts = df.select(any_id(row_id).alias("__doc"), F.xxhash64(text).alias("__tag"), F.col(text).alias("__text"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
+    texts = texts.withColumn("bucket", bucket("__doc")).join(F.broadcast(wanted.select(bucket("doc")).distinct()), "bucket", "left_semi")
+    same = (F.col("__doc") == F.col("doc")) & (F.col("__tag") == F.col("tag"))
+    return texts.drop("bucket").join(wanted, same, "left_semi").dropDuplicates(["__doc", "__tag"])
+
+
+def common_elements(df: DataFrame, row_id: str, text: str, ngram: int, classes: DataFrame) -> np.ndarray:
+    """Elements of very many sets, the rarer first: those of ``SAMPLE_HITS`` or more sets of a sample of about ``SAMPLE_SETS``.
+
+    At most the elements of the sample divided by ``SAMPLE_HITS`` come to the driver.
+    """
+    total = max(classes.count(), 1)
+    limit = int(min(1.0, SAMPLE_SETS / total) * 2**32)
+    some = classes.filter(F.pmod(F.xxhash64("d1", "d2"), F.lit(2**32)) < limit)
+    texts = texts_of(df, row_id, text, some.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag")))
+    held = set_arrays(texts, "__doc", "__text", lambda s: s, "s", ngram).select(F.explode("s").alias("key"))
+    held = held.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= SAMPLE_HITS).toPandas()
+    key = held["key"].to_numpy(dtype=np.int64)
+    return key[np.lexsort((key, held["c"].to_numpy()))]
+
+
 def rare_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int, classes: DataFrame) -> DataFrame:
     """``doc, key, whole`` of the representatives by the rarest elements of their sets.
 
-    Every element is shuffled once, with its class. Those of one class come first in the
-    order and are only counted.
+    In one order of all elements, sets of the wanted similarity share one of their first
+    ``n - ceil(n percent / 100) + 1``. The order: elements of one class; others by the number of rows that hold them; last the
+    elements that a sample finds in very many sets. Those of one class are only counted, those of very many are not
+    shuffled: they are keys of their own where a set has hardly anything else. The rest is shuffled once, with its class, so no
+    element that a fixed share of all sets holds is dealt to one task.
+
+    Classes travel as 64 bits of their digest. Where two classes have these in common, all their elements are keys.
     """
-    flat = set_arrays(df, row_id, text, lambda s: s, "s", ngram).select("d1", F.explode("s").alias("key")).repartition("key")
-    held = Window.partitionBy("key")
-    flat = flat.groupBy("key", "d1").agg(F.count("*").alias("c"))
-    flat = flat.select("key", "d1", F.sum("c").over(held).alias("c"), F.count("*").over(held).alias("k")).filter("k > 1")
-    known = flat.groupBy("d1").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("known"))
-    known = known.join(classes.select("d1", "n", F.col("rep").alias("doc")), "d1")
-    # n - ceil(n p / 100) + 1 elements, of which those of one class are n - size(known)
-    length = F.size("known") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
-    first = F.slice("known", 1, F.greatest(length, F.lit(0)))
-    return cut(known.select("doc", F.explode(first["key"]).alias("key"))).withColumn("whole", F.lit(True))
+    common = common_elements(df, row_id, text, ngram, classes)
+    by_value = np.argsort(common)
+    sorted_common = common[by_value].view(np.uint64)
+    order = np.argsort(sorted_common)
+    sorted_common, place = sorted_common[order], by_value[order]
+
+    def split(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements of a set that are not common, and the places of the others in their order."""
+        at = np.searchsorted(sorted_common, s)
+        hit = np.zeros(len(s), dtype=bool)
+        inside = at < len(sorted_common)
+        hit[inside] = sorted_common[at[inside]] == s[inside]
+        return s[~hit], np.sort(place[at[hit]])
+
+    def first_common(s: np.ndarray) -> np.ndarray:
+        """The common elements among the first of the order."""
+        rest, held = split(s)
+        length = len(s) + (-len(s) * percent) // 100 + 1
+        return common[held[: max(0, length - len(rest))]]
+
+    def counted(s: np.ndarray) -> np.ndarray:
+        """The elements that are not common, and how many are."""
+        rest, held = split(s)
+        return np.append(rest, np.uint64(len(held)))
+
+    shared = cut(classes.groupBy("d1").agg(F.count("*").alias("k")).filter("k > 1").select("d1"))
+    flat = set_arrays(df, row_id, text, counted, "s", ngram).select("d1", F.size("s").alias("size"), F.posexplode("s").alias("at", "v"))
+    last = F.col("at") == F.col("size") - 1
+    flat = flat.filter(~last | (F.col("v") > 0))
+    flat = flat.select("d1", F.when(last, F.xxhash64("d1")).otherwise(F.col("v")).alias("key"), F.when(last, F.col("v").cast("int")).otherwise(0).alias("held"))
+    flat = flat.repartition("key").groupBy("key", "d1", "held").agg(F.count("*").alias("c"))
+    of_key = Window.partitionBy("key")
+    flat = flat.withColumns({"c": F.sum("c").over(of_key), "k": F.count("*").over(of_key)}).filter("k > 1 OR held > 0")
+    element = F.when(F.col("held") == 0, F.struct("c", "key"))
+    known = flat.groupBy("d1").agg(F.array_sort(F.collect_list(element)).alias("known"), F.max("held").alias("held"))
+    known = cut(known.join(classes.select("d1", "n", F.col("rep").alias("doc"), "rep_tag"), "d1").join(shared, "d1", "left_anti"))
+    # of n - held elements that are not common, those of one class are n - held - size(known)
+    reach = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
+    length = F.size("known") + F.col("held") + reach - F.col("n")
+    first = F.slice("known", 1, F.greatest(length.cast("int"), F.lit(0)))
+    out = known.select("doc", F.explode(first["key"]).alias("key"))
+    # sets of hardly anything but common elements, and classes that share half of their digest
+    crowded = known.filter((F.col("held") > 0) & (reach > F.col("n") - F.col("held"))).select("doc", F.col("rep_tag").alias("tag"))
+    alike = classes.join(shared, "d1", "left_semi").select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag"))
+    for some, make in ((crowded, first_common), (alike, lambda s: s)):
+        more = set_arrays(texts_of(df, row_id, text, some), "__doc", "__text", make, "s", ngram)
+        out = out.unionByName(more.select("doc", F.explode("s").alias("key")))
+    return cut(out.distinct()).withColumn("whole", F.lit(True))
 
 
 def jaccard_classes(
@@ -317,12 +390,7 @@ def jaccard_classes(
     pairs = cut(flat.join(shared, "key").filter("doc <> pivot").select("doc", "pivot").distinct())
     involved = pairs.select("doc").union(pairs.select("pivot")).distinct()
     involved = involved.join(classes.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag")), "doc")
-    texts = df.select(any_id(row_id).alias("__doc"), F.xxhash64(text).alias("__tag"), F.col(text).alias("__text"))
-    # most texts are not involved and need not be shuffled: at most ID_BUCKETS numbers are broadcast
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
-    texts = texts.withColumn("bucket", bucket("__doc")).join(F.broadcast(involved.select(bucket("doc")).distinct()), "bucket", "left_semi")
-    same = (F.col("__doc") == F.col("doc")) & (F.col("__tag") == F.col("tag"))
-    texts = texts.drop("bucket").join(involved, same, "left_semi").dropDuplicates(["__doc", "__tag"])
+    texts = texts_of(df, row_id, text, involved)
     sets = cut(set_arrays(texts, "__doc", "__text", lambda s: s, "s", n).select("doc", "s"))
     near = cut(differences(pairs, sets, percent))
 

@@ -12,7 +12,11 @@ of units after it and the shortest run before it that together have ``min_words`
 are units as well. So a repeated run of whole units of that many words goes entirely,
 whatever surrounds it.
 
-Only digests are shuffled. Groups are counted on the map side first; the side of
+With ``run_words``, units that repeat one by one in otherwise different texts stay: what goes, joined over units
+that overlap or follow one another, must have that many words.
+
+A document is an id with a text: texts that share an id (null ids too) are different documents, and
+repeats of a row are the same one. Only digests are shuffled. Groups are counted on the map side first; the side of
 a hot digest in the join back can be split.
 """
 
@@ -25,11 +29,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import any_id, cut, short_batches
 
 MIN_WORDS = 8
+#: Least words of what goes in one piece, in the registered query.
+RUN_WORDS = 40
+WORD = re.compile(r"\S+")
 LINE = re.compile(r"[^\n]+")
 SENTENCE_END = re.compile(r"[.!?]+\s+")
 
@@ -68,61 +75,79 @@ def short_runs(text: str, min_words: int) -> set[tuple[int, int]]:
 
 
 def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int, runs: bool = False) -> DataFrame:
-    """``doc, start, end, h1, h2`` (code points of the original text) of every unit long enough."""
+    """``doc, tag, start, end, w0, w1, h1, h2`` of every unit long enough.
+
+    ``tag`` is the hash of the text, ``start`` and ``end`` are code points of it, ``w0`` and ``w1`` the places of the unit's
+    first word and of the one after its last among all words of the text.
+    """
     short_batches(df.sparkSession)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, spans, keys = [], [], []
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            docs, tags, spans, keys = [], [], [], []
+            for doc, body, tag in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 body = body or ""
+                at = np.array([m.start() for m in WORD.finditer(body)], dtype=np.int64)
                 units = list(unit_spans(body))
                 if runs:
                     units += sorted(short_runs(body, min_words) - set(units))
                 for start, end in units:
                     words = body[start:end].split()
                     if len(words) >= min_words:
+                        w0 = int(at.searchsorted(start))
                         docs.append(doc)
-                        spans.append((start, end))
+                        tags.append(tag)
+                        spans.append((start, end, w0, w0 + len(words)))
                         keys.append(xxhash.xxh3_128_digest(" ".join(words).lower().encode()))
-            place = np.array(spans, dtype=np.int64).reshape(-1, 2)
+            place = np.array(spans, dtype=np.int64).reshape(-1, 4)
             key = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-            columns = [pa.array(docs, pa.int64()), *(pa.array(c) for c in (*place.T, *key.T))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "start", "end", "h1", "h2"])
+            columns = [pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), *(pa.array(c) for c in (*place.T, *key.T))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "start", "end", "w0", "w1", "h1", "h2"])
 
-    read = df.select(any_id(row_id).alias("doc"), F.col(text).alias("body"))
-    return read.mapInArrow(digests, "doc long, start long, end long, h1 long, h2 long")
+    read = df.select(any_id(row_id).alias("doc"), F.col(text).alias("body"), F.xxhash64(text).alias("tag"))
+    return read.mapInArrow(digests, "doc long, tag long, start long, end long, w0 long, w1 long, h1 long, h2 long")
 
 
 def repeated_units(
-    df: DataFrame, row_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False, run_words: int = 0
 ) -> DataFrame:
-    """One row per unit to remove: ``doc, start, end, first_doc, first_start``.
+    """One row per unit to remove: ``doc, tag, start, end, first_doc, first_start, run_start, run_words``.
 
     ``first_doc`` and ``first_start`` are the occurrence that stays, the least by
-    (document, start); null ids come first, as one document. Texts that share an id
-    are one document, so exact repeats of a row do not count against each other.
-    Null and empty texts have no units. Other columns are not read. With ``runs``, runs of
-    shorter units are units; one that overlaps its first occurrence stays.
+    (document, text hash, start); null ids come first. Texts that share an id are different documents; exact
+    repeats of a row do not count against each other. Null and empty texts have no units. Other columns are not
+    read. With ``runs``, runs of shorter units are units; one that overlaps its first occurrence stays.
+    ``run_start`` and ``run_words`` tell the run of units without a word between them that the unit is part of; units of
+    runs of fewer than ``run_words`` words are not returned.
     """
     units = cut(unit_digests(df, row_id, text, min_words, runs))
     groups = units.groupBy("h1", "h2").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), F.col("end").alias("first_end"))).alias("f")
+        F.count("*").alias("n"),
+        F.min(F.struct(*[F.col(c).alias(f"first_{c}") for c in ("doc", "tag", "start", "end")])).alias("f"),
     )
     groups = cut(groups.filter(F.col("n") > 1).select("h1", "h2", "f.*"))
-    later = (F.col("doc") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
-    if runs:
-        later = (F.col("doc") != F.col("first_doc")) | (F.col("start") >= F.col("first_end"))
-    return units.join(groups, ["h1", "h2"]).filter(later).select("doc", "start", "end", "first_doc", "first_start")
+    elsewhere = (F.col("doc") != F.col("first_doc")) | (F.col("tag") != F.col("first_tag"))
+    later = elsewhere | (F.col("start") >= F.col("first_end") if runs else F.col("start") != F.col("first_start"))
+    gone = units.join(groups, ["h1", "h2"]).filter(later)
+    gone = gone.select("doc", "tag", "start", "end", "w0", "w1", "first_doc", "first_start")
+    gone = gone.repartition("doc", "tag").distinct()  # repeats of a row; the windows keep this dealing
+    # units in order of their words: a run ends where the next unit starts after all words so far
+    order = W.partitionBy("doc", "tag").orderBy("w0", "w1", "start", "end")
+    reached = F.max("w1").over(order.rowsBetween(W.unboundedPreceding, -1))
+    gone = gone.withColumn("__run", F.sum(F.when(F.col("w0") <= reached, 0).otherwise(1)).over(order))
+    run = W.partitionBy("doc", "tag", "__run")
+    gone = gone.withColumns({"run_start": F.min("start").over(run), "run_words": F.max("w1").over(run) - F.min("w0").over(run)})
+    return gone.filter(F.col("run_words") >= run_words).drop("__run", "w0", "w1")
 
 
 def remove_units(df: DataFrame, gone: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with the units of ``repeated_units`` cut out of ``text``; all other columns and rows stay.
 
-    Adds ``removed``, the removed spans of the original text, merged and in order (null: none).
+    A row loses the units of its own id and text. Adds ``removed``, the removed spans of the original text, merged
+    and in order (null: none), in place of a column of that name.
     """
     short_batches(df.sparkSession)
-    spans = gone.groupBy(F.col("doc").alias("__doc")).agg(
+    spans = gone.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")
     )
 
@@ -146,8 +171,10 @@ def remove_units(df: DataFrame, gone: DataFrame, row_id: str = "doc_id", text: s
             removed.append([{"start": a, "end": b} for a, b in merged])
         return pd.DataFrame({"text": texts, "removed": removed})
 
-    joined = df.withColumn("__id", any_id(row_id)).join(spans, F.col("__id") == F.col("__doc"), "left")
+    keyed = df.withColumns({"__id": any_id(row_id), "__text": F.xxhash64(text)})
+    joined = keyed.join(spans, (F.col("__id") == F.col("__doc")) & (F.col("__text") == F.col("__tag")), "left")
     joined = joined.withColumn("__out", without(F.col(text), F.col("__spans")))
     return joined.select(
-        *[F.col("__out.text").alias(c) if c == text else F.col(c) for c in df.columns], F.col("__out.removed").alias("removed")
+        *[F.col("__out.text").alias(c) if c == text else F.col(c) for c in df.columns if c != "removed"],
+        F.col("__out.removed").alias("removed"),
     )

@@ -80,3 +80,18 @@ def test_stage_drops_edited_copies(spark):
     rows.append((9, " ".join(f"e{i}" if i in (10, 40, 70) else w for i, w in enumerate(base))))
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({c for _, _, c in brute_least(rows, 5, 80)}) == [1, 9]
+
+
+@pytest.mark.parametrize("hits, bits", [(2, 64), (3, 2), (10**9, 1)])
+def test_common_elements_and_shared_digest_halves(spark, monkeypatch, hits, bits):
+    """Elements of very many sets as keys of their own, and classes that agree in 64 bits of their digest."""
+    whole = ngram_join.digest
+    monkeypatch.setattr(ngram_join, "SAMPLE_HITS", hits)
+    monkeypatch.setattr(ngram_join, "digest", lambda s: (whole(s)[0] >> (64 - bits), whole(s)[1]))
+    rows = edited_rows()
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(30)]
+    rows += [(2000 + k, " ".join(shared[rng.randrange(3) :] + [f"z{k}"] * rng.randint(0, 1))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_classes(df, n=5, percent=80, rare=True).select("doc", "n", "component").collect()
+    assert Counter(map(tuple, got)) == brute_least(rows, 5, 80)

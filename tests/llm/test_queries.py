@@ -7,7 +7,7 @@ import pytest
 from edge import SCHEMA, edge_rows
 from oracle_check import compare, duck
 from pyspark.sql import functions as F
-from test_text_operators import brute_components
+from test_near_copies import brute_least
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -41,7 +41,7 @@ def test_pipeline_stages(spark, tmp_path):
         seen.append(docs.toPandas())
     scored, lines, single, mixed, coded = seen
     assert 120 < len(scored) < 200 and set(lines["doc_id"]) == set(scored["doc_id"])
-    want = {c for _, _, c in brute_components([(r.doc_id, r.text) for r in lines.itertuples()])}
+    want = {c for _, _, c in brute_least([(r.doc_id, r.text) for r in lines.itertuples()], 5, 80)}
     assert sorted(single["doc_id"]) == sorted(want)
     assert (lines["n_chars"] == lines["text"].str.len()).all()
     texts = dict(zip(single["doc_id"], single["text"]))

@@ -114,21 +114,72 @@ def test_repeated_units(spark, edge, empty):
     assert out.count() == len(edge_rows())
 
 
-def brute_units(rows, min_words):
-    units = [(i, a, b, " ".join(t[a:b].split()).lower()) for i, t in rows for a, b in substring_dedup.unit_spans(t)]
-    units = [u for u in units if len(u[3].split()) >= min_words]
+def brute_units(rows, min_words, runs=False, run_words=0):
+    """Units of every (id, text), their first holder, and the merged runs, by plain loops."""
+    texts = sorted({(i, tag, t) for i, tag, t in rows})
+    units = []
+    for i, tag, t in texts:
+        spans = set(substring_dedup.unit_spans(t))
+        if runs:
+            lowest = [(a, b) for a, b in sorted(spans) if not any((c, d) != (a, b) and a <= c and d <= b for c, d in spans)]
+            lowest = [(a, b) for a, b in lowest if t[a:b].split()]
+            for k, (a, b) in enumerate(lowest):
+                if len(t[a:b].split()) >= min_words:
+                    continue
+                for step in (1, -1):
+                    j = k
+                    while 0 <= j < len(lowest) and sum(len(t[c:d].split()) for c, d in lowest[min(j, k) : max(j, k) + 1]) < min_words:
+                        j += step
+                    if 0 <= j < len(lowest):
+                        spans.add((lowest[min(j, k)][0], lowest[max(j, k)][1]))
+        for a, b in spans:
+            if len(t[a:b].split()) >= min_words:
+                before = len(re.findall(r"\S+", t[:a]))
+                units.append((i, tag, a, b, before, before + len(t[a:b].split()), " ".join(t[a:b].split()).lower()))
     first = {}
-    for i, a, _, key in sorted(units):
-        first.setdefault(key, (i, a))
-    return {(i, a, b, *first[key]) for i, a, b, key in units if first[key] != (i, a)}
-
-
-def test_repeated_units_brute_force(spark):
+    for i, tag, a, b, _, _, key in sorted(units):
+        first.setdefault(key, (i, tag, a, b))
+    gone = []
+    for i, tag, a, b, w0, w1, key in units:
+        f = first[key]
+        if f[:2] != (i, tag) or (a >= f[3] if runs else a != f[2]):
+            gone.append((i, tag, w0, w1, a, b, f[0], f[2]))
+    out, held = set(), defaultdict(list)
+    for u in sorted(gone):
+        mine = held[u[:2]]
+        if mine and u[2] <= max(x[3] for x in mine[-1]):
+            mine[-1].append(u)
+        else:
+            mine.append([u])
+    for joined in (x for mine in held.values() for x in mine):
+        words = max(u[3] for u in joined) - min(u[2] for u in joined)
+        out |= {(i, a, b, d, s, min(u[4] for u in joined), words) for i, _, _, _, a, b, d, s in joined if words >= run_words}
+    return out
+
+
+@pytest.mark.parametrize("runs, run_words", [(False, 0), (True, 0), (True, 12), (False, 20)])
+def test_repeated_units_brute_force(spark, runs, run_words):
     rng = random.Random(4)
-    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 12))) + rng.choice(".!?,") for _ in range(25)]
-    rows = [(i, "".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", "\n\n"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
-    got = substring_dedup.repeated_units(spark.createDataFrame(rows, "doc_id long, text string"), min_words=6).collect()
-    assert {tuple(r) for r in got} == brute_units(rows, 6)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1 if runs else 5, 12))) + rng.choice(".!?,") for _ in range(25)]
+    rows = [(i // 2 if i < 20 else i, "".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", "\n\n"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    rows += rows[:5] + [(None, r[1]) for r in rows[30:36]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tags = {r["text"]: r["tag"] for r in df.select("text", F.xxhash64("text").alias("tag")).collect()}
+    tagged = [(-(2**63) if i is None else i, tags[t], t) for i, t in rows]
+    got = substring_dedup.repeated_units(df, min_words=6, runs=runs, run_words=run_words).drop("tag").collect()
+    want = brute_units(tagged, 6, runs, run_words)
+    assert {tuple(r) for r in got} == want and len(want) > 20
+
+
+def test_texts_that_share_an_id_keep_what_is_theirs(spark):
+    passage = "this passage of more than eight words stands in several documents of the table."
+    own = "these words stand in no other document and no part of them may ever be removed."
+    rows = [(1, passage), (6, passage), (6, own), (None, passage + "\n" + own[:20]), (None, own[20:]), (6, own), (None, None), (6, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, removed int")
+    out = substring_dedup.remove_units(df, substring_dedup.repeated_units(df))
+    assert out.columns == ["doc_id", "text", "removed"]
+    kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert kept == Counter([(1, ""), (6, ""), (6, own), (6, own), rows[3], rows[4], (None, None), (6, "")])
 
 
 def shingles(text):

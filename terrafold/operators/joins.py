@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import geo
 from ..functions.geo import Box
+from ..session import materialize
 from .catalog import matches_box, matches_dates, matches_sensor
+from .space import Cells, sample_boxes
 
 QUERY_BOX = "q_"
 
@@ -27,136 +29,134 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], row_id: str
     return left.drop("__salts").join(right.drop("__salts"), [*keys, "__salt"]).drop("__salt")
 
 
-def _cells(box: Box, size: float) -> tuple[Column, Column, Column, Column]:
-    def cell(v):
-        return F.floor(v / size)
-
-    return cell(box.min_lon), cell(box.min_lat), cell(box.max_lon), cell(box.max_lat)
+def gridded_join(left: DataFrame, right: DataFrame, keys: list[str], ids: tuple[str, str], rows_per_task: int) -> DataFrame:
+    """Inner equi-join whose hot keys are cut on both sides.
 
+    Keys are counted on both sides first (combined on the map side). A key with more than ``rows_per_task`` rows on
+    a side, and any on the other, becomes a grid: each side is cut by a hash of its id and repeated for the
+    pieces of the other, so a task meets at most about ``rows_per_task`` rows of either side.
+    """
+    counts = [x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((left, "__a"), (right, "__b"))]
+    pieces = lambda n: F.ceil(F.col(n) / rows_per_task).cast("int")
+    hot = counts[0].join(counts[1], keys).select(*keys, pieces("__a").alias("__a"), pieces("__b").alias("__b"))
+    hot = materialize(hot.filter("__a > 1 OR __b > 1"))
+    if not hot.head(1):
+        return left.join(right, keys)
 
-def _grid_rows(df: DataFrame, box: Box, size: float) -> DataFrame:
-    """One row per grid cell the box covers; a one-cell box (the usual scene) stays one row."""
-    x0, y0, x1, y1 = _cells(box, size)
-    return df.withColumn("__x", F.explode(F.sequence(x0, x1))).withColumn("__y", F.explode(F.sequence(y0, y1)))
+    def cut(side: DataFrame, row_id: str, mine: str, other: str) -> DataFrame:
+        side = side.join(hot, keys, "left").fillna(1, ["__a", "__b"])
+        own = F.pmod(F.xxhash64(row_id), F.col(mine)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return side.withColumn(f"__i{mine}", own).withColumn(f"__i{other}", every).drop("__a", "__b")
 
+    grid = [*keys, "__i__a", "__i__b"]
+    return cut(left, ids[0], "__a", "__b").join(cut(right, ids[1], "__b", "__a"), grid).drop("__i__a", "__i__b")
 
-def _box_pairs(scenes: DataFrame, queries: DataFrame, size: float, period_days: int, rows_per_task: int) -> DataFrame:
-    """Scenes × queries that have a box, joined on (cell, period).
-
-    A pair is kept only in the cell of the lower left corner of the shared
-    area and in the scene's own period, so no pair is produced twice and no
-    ``dropDuplicates`` is needed.
-    """
-    sb, qb = Box.named(), Box.named(QUERY_BOX)
-    left = _grid_rows(scenes.filter(sb.known()), sb, size).withColumn("__p", _period(period_days))
-    right = _grid_rows(queries, qb, size)
-    right = _query_periods(right, scenes, period_days)
-    joined = salted_join(left, right, ["__x", "__y", "__p"], "scene_id", rows_per_task)
-    shared = geo.intersection(sb, qb)
-    own_cell = (F.floor(shared.min_lon / size) == F.col("__x")) & (F.floor(shared.min_lat / size) == F.col("__y"))
-    return joined.filter(geo.boxes_touch(sb, qb) & own_cell).drop("__x", "__y", "__p")
 
+NO_DATE = -(2**31)
+#: Places beside the cells: scenes with a box of few cells, as queries without such a box look for them, and all other scenes.
+ANYWHERE, WIDE = -1, -2
 
-def _wide(box: Box, size: float, max_cells: int) -> Column:
-    """Boxes of more than ``max_cells`` cells, and broken ones, whose cells cannot be listed."""
-    spans = [(high - low).cast("double") / size + 2 for low, high in ((box.min_lon, box.max_lon), (box.min_lat, box.max_lat))]
-    far_out = F.greatest(*[F.abs(c.cast("double")) for c in (box.min_lon, box.min_lat, box.max_lon, box.max_lat)]) > 1e9
-    odd = far_out | (spans[0] < 0) | (spans[1] < 0)
-    return F.coalesce(odd | (F.greatest(spans[0], F.lit(1.0)) * F.greatest(spans[1], F.lit(1.0)) > max_cells), F.lit(False))
 
+def _period(days: int) -> Column:
+    number = F.floor(F.unix_timestamp("acquisition_time") / (86400 * days))
+    return F.coalesce(number, F.lit(NO_DATE)).cast("int")
 
-def _offered(scenes: DataFrame, period_days: int) -> DataFrame:
-    """A scene under its period with its own and with any sensor, and with its own and with any object."""
-    sensor = F.when(F.col("sensor").isNull(), "none").otherwise(F.concat(F.lit("is "), F.col("sensor")))
-    named = F.when(F.col("__object").isNotNull(), F.concat(F.lit("is "), F.col("__object")))
-    out = scenes.withColumn("__p", _period(period_days)).withColumn("__s", F.explode(F.array(F.lit("any"), sensor)))
-    return out.withColumn("__o", F.explode(F.array_compact(F.array(F.lit("any"), named))))
 
+def _query_periods(first: int | None, last: int | None, days: int) -> Column:
+    """The periods a query may match. Open ends stop at the catalog's own range; undated scenes
+    have a period of their own that every query visits."""
+    none = F.array().cast("array<int>")
+    bound = 86400 * days
+    lo = F.greatest(F.floor(F.unix_timestamp("start_date") / bound).cast("int"), F.lit(first).cast("int"))
+    # one day more, because the end may be widened to the whole last day
+    hi = F.least(F.floor((F.unix_timestamp("end_date") + 86400) / bound).cast("int"), F.lit(last).cast("int"))
+    dated = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(none)
+    return F.concat(F.array(F.lit(NO_DATE)), F.coalesce(dated, none))
 
-def _sought(queries: DataFrame, scenes: DataFrame, period_days: int) -> DataFrame:
-    """A query under the periods, sensors and scene objects that it may match.
 
-    Which scene objects contain or are contained in the wanted ones is settled once per
-    distinct pair of texts.
-    """
+def _matching_objects(scenes: DataFrame, queries: DataFrame) -> DataFrame:
+    """``__wanted, __o``: for every wanted text the scene objects that contain it or are contained in it, once per distinct pair of texts."""
     objects = scenes.select("__object").filter(F.col("__object").isNotNull()).distinct()
     wanted = queries.select("__wanted").filter(F.length("__wanted") > 0).distinct()
     inside = substring_pairs(objects, "__object", wanted, "__wanted").select(F.col("needle").alias("w"), F.col("hay").alias("o"))
     around = substring_pairs(wanted, "__wanted", objects, "__object").select(F.col("hay").alias("w"), F.col("needle").alias("o"))
-    matched = inside.union(around).distinct().groupBy("w").agg(F.collect_list(F.concat(F.lit("is "), F.col("o"))).alias("__names"))
-    rows = _query_periods(queries, scenes, period_days)
-    sensors = F.transform(F.array_distinct("sensors"), lambda s: F.concat(F.lit("is "), s))
-    sensors = F.when(F.col("sensors").isNull(), F.array(F.lit("any"))).otherwise(F.array_append(F.array_compact(sensors), F.lit("none")))
-    rows = rows.withColumn("__s", F.explode(sensors)).join(matched, F.col("__wanted") == F.col("w"), "left")
-    nothing = F.array().cast("array<string>")
-    names = F.when(F.length("__wanted") > 0, F.array_append(F.coalesce("__names", nothing), F.lit("is "))).otherwise(F.array(F.lit("any")))
-    return rows.withColumn("__o", F.explode(names)).drop("w", "__names")
+    empty = wanted.select(F.col("__wanted").alias("w"), F.lit("").alias("o"))  # an empty object is in every text
+    pairs = inside.union(around).union(empty).distinct()
+    return pairs.select(F.col("w").alias("__wanted"), F.concat(F.lit("is "), F.col("o")).alias("__o"))
 
 
-NO_DATE = -(2**31)
-
+def scene_candidates(
+    scenes: DataFrame, queries: DataFrame, period_days: int = 365, max_cells: int = 64, rows_per_task: int = 2_000_000, cells: Cells | None = None
+) -> DataFrame:
+    """Scenes × queries that share a place, a period and an object, each pair once; the filters are not applied yet.
 
-def _period(days: int) -> Column:
-    number = F.floor(F.unix_timestamp("acquisition_time") / (86400 * days))
-    return F.coalesce(number, F.lit(NO_DATE)).cast("int")
+    Both sides carry the same kind of key, so that one equi-join finds all pairs:
 
+    - place: the cells that a box touches (``space.Cells``, adapted to both sides). A pair of
+      boxes counts in the cell of the lower left corner of what they share. Boxes in more than ``max_cells`` cells, broken and
+      absent ones have no cell; scenes with such boxes are in the place ``WIDE``, which all queries visit, and queries with
+      such boxes visit all other scenes in ``ANYWHERE``.
+    - period: that of the scene's date, or none.
+    - object: a scene is under its own and under any; a query is under those that match its wanted text, or any.
+    """
+    sb, qb = Box.named(), Box.named(QUERY_BOX)
+    day = F.floor(F.unix_timestamp("acquisition_time") / (86400 * period_days)).cast("int")
+    total = scenes.agg(F.count_if(sb.known()), F.min(day), F.max(day)).first()
+    asked = queries.agg(F.count_if(qb.known())).first()[0]
+    if cells is None:
+        parts = [sample_boxes(df, box, key, n) for df, box, key, n in ((scenes, sb, "scene_id", total[0]), (queries, qb, "query_id", asked))]
+        cells = Cells(*parts, (total[0] / max(len(parts[0]), 1), asked / max(len(parts[1]), 1)))
+    # lower-cased once per row, not once per candidate pair
+    scenes = scenes.withColumn("__object", F.lower("object"))
+    queries = queries.withColumn("__wanted", F.lower("query_object"))
+    numbers = lambda c: F.transform(c["cells"], lambda x: x["cell"])
+    at = lambda *names: F.array(*[F.lit(n) for n in names])
 
-def _query_periods(queries: DataFrame, scenes: DataFrame, days: int) -> DataFrame:
-    """One row per period a query may match. Open ends stop at the catalog's own range; undated scenes
-    have a period of their own that every query visits."""
-    span = scenes.agg(
-        F.min("acquisition_time").alias("lo"), F.max("acquisition_time").alias("hi")
-    ).select(F.struct(*[F.floor(F.unix_timestamp(c) / (86400 * days)).cast("int").alias(c) for c in ("lo", "hi")]))
-    out = queries.withColumn("__span", span.scalar())
-    bound = 86400 * days
-    lo = F.greatest(F.floor(F.unix_timestamp("start_date") / bound).cast("int"), F.col("__span.lo"))
-    # one day more, because the end may be widened to the whole last day
-    hi = F.least(F.floor((F.unix_timestamp("end_date") + 86400) / bound).cast("int"), F.col("__span.hi"))
-    dated = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-    periods = F.concat(F.array(F.lit(NO_DATE)), F.coalesce(dated, F.array().cast("array<int>")))
-    return out.withColumn("__p", F.explode(periods)).drop("__span")
+    left = scenes.withColumns({"__c": cells.column(sb, max_cells), "__p": _period(period_days)})
+    places = F.when(F.col("__c.wide"), at(WIDE)).otherwise(F.concat(numbers(F.col("__c")), at(ANYWHERE)))
+    named = F.when(F.col("__object").isNotNull(), F.concat(F.lit("is "), F.col("__object")))
+    left = left.withColumn("__place", F.explode(places)).drop("__c")
+    left = left.withColumn("__o", F.explode(F.array_compact(F.array(F.lit("any"), named))))
+
+    bound = "struct<cell:int,x0:double,y0:double,x1:double,y1:double>"
+    nowhere = lambda n: F.from_json(F.lit(f'{{"cell": {n}}}'), bound)
+    right = queries.withColumn("__c", cells.column(qb, max_cells))
+    local = qb.known() & ~F.col("__c.wide")
+    spots = F.when(local, F.concat(F.col("__c.cells"), F.array(nowhere(WIDE)))).otherwise(F.array(nowhere(ANYWHERE), nowhere(WIDE)))
+    right = right.withColumn("__spot", F.explode(spots)).withColumn("__p", F.explode(_query_periods(total[1], total[2], period_days)))
+    right = right.withColumn("__place", F.col("__spot.cell")).drop("__c")
+    right = right.join(_matching_objects(scenes, queries), "__wanted", "left").withColumn("__o", F.coalesce("__o", F.lit("any")))
+
+    met = gridded_join(left, right, ["__place", "__p", "__o"], ("scene_id", "query_id"), rows_per_task)
+    shared = geo.intersection(sb, qb)
+    x, y, spot = shared.min_lon, shared.min_lat, F.col("__spot")
+    own = (x >= spot["x0"]) & (x < spot["x1"]) & (y >= spot["y0"]) & (y < spot["y1"])
+    return met.filter((F.col("__place") < 0) | own).drop("__place", "__p", "__o", "__spot")
 
 
 def query_scene_join(
     scenes: DataFrame,
     queries: DataFrame,
-    cell_degrees: float = 1.0,
     period_days: int = 365,
-    max_cells: int = 256,
-    rows_per_task: int = 5_000_000,
+    max_cells: int = 64,
+    rows_per_task: int = 2_000_000,
     end_inclusive_day: bool = False,
 ) -> DataFrame:
     """All (query, scene) pairs that pass the box, date, sensor and object filters.
 
     ``queries``: ``query_id, q_min_lon … q_max_lat, start_date, end_date,
     sensors array<string>, query_object`` (all but the id may be null).
-    Queries with a box meet scenes on (grid cell, period). Queries without a box, and
-    boxes of either side that are broken or wider than ``max_cells`` cells, meet on
-    (period, sensor, object), where only texts that contain one another meet. Both are
-    equi-joins: Spark broadcasts the query side when its measured size allows and
-    shuffles otherwise; hot keys of the scenes are spread.
+    Candidates meet in one equi-join (``scene_candidates``) and are then checked on all four filters. Spark broadcasts
+    a side when its measured size allows and shuffles otherwise; keys that are hot on either side are spread.
     """
     columns = [*queries.columns, *scenes.columns]
-    # lower-cased once per row, not once per candidate pair
-    scenes = scenes.withColumn("__object", F.lower("object"))
-    queries = queries.withColumn("__wanted", F.lower("query_object"))
-    qb = Box.named(QUERY_BOX)
-    local = qb.known() & ~_wide(qb, cell_degrees, max_cells)
-    wide = _wide(Box.named(), cell_degrees, max_cells)
-    near = _box_pairs(scenes.filter(~wide), queries.filter(local), cell_degrees, period_days, rows_per_task)
-    keys = ["__p", "__s", "__o"]
-
-    def on_filters(some: DataFrame, asked: DataFrame) -> DataFrame:
-        met = salted_join(_offered(some, period_days), _sought(asked, scenes, period_days), keys, "scene_id", rows_per_task)
-        return met.drop(*keys)
-
-    far = on_filters(scenes, queries.filter(~local)).unionByName(on_filters(scenes.filter(wide), queries.filter(local)))
-    far = far.filter(matches_box(Box.named(), qb))
     has, wanted = F.col("__object"), F.col("__wanted")
     fuzzy = wanted.isNull() | (has.isNotNull() & (F.contains(has, wanted) | F.contains(wanted, has)))
-    both = near.unionByName(far)
-    return both.filter(
-        matches_dates(F.col("acquisition_time"), F.col("start_date"), F.col("end_date"), end_inclusive_day)
+    met = scene_candidates(scenes, queries, period_days, max_cells, rows_per_task)
+    return met.filter(
+        matches_box(Box.named(), Box.named(QUERY_BOX))
+        & matches_dates(F.col("acquisition_time"), F.col("start_date"), F.col("end_date"), end_inclusive_day)
         & matches_sensor(F.col("sensor"), F.col("sensors"))
         & fuzzy
     ).select(*columns)

@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,52 @@ def test_benchmark_overlap_short_and_long_items(spark):
     assert marked == {1: "contains", 2: "contains", 3: None, 4: "jaccard", 5: None}
 
 
+def test_containment_paths_agree(spark, monkeypatch):
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["alpha", "beta", "gamma", "al", "a", "ta", "é"])
+    docs = [(i, " ".join(word() for _ in range(rnd.randint(0, 12)))) for i in range(120)] + [(500, None), (501, "")]
+    items = [(i, " ".join(word() for _ in range(rnd.randint(1, 4)))) for i in range(25)] + [(90, ""), (91, None), (92, "Alpha!")]
+    d, b = spark.createDataFrame(docs, "id int, t string"), spark.createDataFrame(items, "item int, b string")
+    norm = lambda t: " ".join("".join(c for c in (t or "").lower() if c.isalnum() or c == " ").split())
+    want = {(i, k) for i, t in docs for k, x in items if norm(x) and norm(x) in norm(t)}
+    for limit, passes in ((4_000_000, 4), (100, 100), (100, 1)):
+        monkeypatch.setattr(ts, "AUTOMATON", limit)
+        monkeypatch.setattr(ts, "PASSES", passes)
+        got = [tuple(r) for r in ts.containing_benchmark(d, "id", "t", b, "item", "b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert ts.containing_benchmark(d, "id", "t", b.filter("b = ''"), "item", "b").count() == 0
+    monkeypatch.undo()
+    plan = ts.containing_benchmark(d, "id", "t", b, "item", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(xxhash" not in plan and plan.count("Generate") == 1
+
+
+def test_only_key_words_are_shuffled(spark):
+    """Rows of the key join at two sizes: a tenth of the words, and none of words that no other set has."""
+    shares = []
+    for n in (60, 240):
+        rnd = random.Random(n)
+        sets = [(i, [f"w{rnd.randrange(40)}" for _ in range(3)] + [f"u{i}x{k}" for k in range(47)]) for i in range(n)]
+        df = spark.createDataFrame(sets, "id int, toks array<string>").selectExpr("id", "array_distinct(toks) AS toks")
+        own = df.selectExpr("explode(toks) AS w").filter("w LIKE 'u%'").select(F.xxhash64("w").alias("__w"))
+        tiers = ts.word_tiers(df, 2)
+        assert ts._key_words(df, ["id"], tiers, 0.9).join(own, "__w").count() <= n // 20  # words that share a slot
+        shares.append(ts._key_words(df, ["id"], tiers, 0.9).count() / df.selectExpr("explode(toks)").count())
+        other = ts.word_tiers(df.filter("id < 3"))
+        assert ts._key_words(df, ["id"], other, 0.05).join(own, "__w").select("id").distinct().count() <= 3 + n // 20
+    assert max(shares) < 0.1
+
+
+def test_first_words_by_tier(spark):
+    sets = [(i, ["all"] + (["half"] if i % 2 else []) + [f"one{i}"]) for i in range(64)]
+    df = spark.createDataFrame(sets, "id int, toks array<string>")
+    table = ts.word_tiers(df, 2).value
+    h = {r.w: r.h for r in spark.createDataFrame([("all",), ("half",), ("one3",), ("one5",)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    lists = pa.array([[h["all"], h["one3"], h["half"]], [], [h["all"], h["half"]], [h["one5"]]], pa.list_(pa.int64()))
+    got = ts.first_words(lists.slice(0), np.array([2, 3, 1, 1]), table).to_pylist()
+    assert got == [[h["half"]], [], [h["half"]], []]
+    assert ts.first_words(lists.slice(2), np.array([2, 1]), table).to_pylist() == [[h["half"], h["all"]], []]
+
+
 def test_knn_paths_agree_and_ties_go_by_id(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(60, 8)).tolist()

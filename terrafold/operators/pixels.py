@@ -7,7 +7,10 @@ combines them on the map side and one giant scene is not one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import fixed_values as fv
 from ..functions import bands
@@ -272,24 +275,56 @@ def band_order(long: DataFrame, key: str = "scene_id") -> DataFrame:
 # ---- stencils --------------------------------------------------------------
 
 
-def _reflect(df: DataFrame, axis: str, half: int) -> DataFrame:
-    """Add the mirrored edge pixels of every scene along an axis of extent ``__a_axis .. __b_axis``.
+#: Side of a tile in pixels.
+TILE = 128
 
-    Pixel ``i`` of a scene of ``n`` also stands at ``2nk + i`` and ``2nk - 1 - i``
-    for whole ``k``; only places within ``half`` of the scene are added. Pixels that
-    are missing stay missing, and so do their mirrors.
+
+def _box_sums(a: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Sums over ``size`` neighbours along an axis. Added one by one, so that a value that is no number stays where it is."""
+    n = a.shape[axis] - size + 1
+    take = lambda k: a[:, k : k + n] if axis else a[k : k + n]
+    total = take(0).copy()
+    for k in range(1, size):
+        total += take(k)
+    return total
+
+
+def tile_means(
+    row: np.ndarray, col: np.ndarray, values: np.ma.MaskedArray, extent: tuple[int, ...], corner: tuple[int, int], half: int, side: int = TILE
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Local means of a value and of its square for the pixels of one tile, from the pixels in and around it.
+
+    The tile begins at ``corner`` and the scene reaches from ``extent[0], extent[1]`` to ``extent[2], extent[3]``.
+    Gives both means for every place of the tile, and where there is one.
     """
-    extent = df.withColumns({"__a": F.col(f"__a_{axis}"), "__b": F.col(f"__b_{axis}")})
-    i, n = F.col(axis) - F.col("__a"), F.col("__b") - F.col("__a") + 1
-    reach = F.ceil(F.lit(half) / (2 * n)).cast("int") + 1
-    copies = F.flatten(
-        F.transform(F.sequence(-reach, reach), lambda k: F.array(2 * n * k + i, 2 * n * k - 1 - i))
-    )
-    near = F.filter(copies, lambda p: (p >= -half) & (p <= n - 1 + half))
-    # only pixels close to an edge have copies in reach
-    inner = (i >= half) & (i < n - half)
-    places = F.when(inner, F.array(i)).otherwise(near)
-    return extent.withColumn("__pos", F.explode(places)).withColumn("__real", F.col("__pos") == i).drop("__a", "__b")
+    size = 2 * half + 1
+    low = [max(c - half, e) for c, e in zip(corner, extent[:2])]
+    high = [min(c + side - 1 + half, e) for c, e in zip(corner, extent[2:])]
+    shape = tuple(h - l + 1 for l, h in zip(low, high))
+    at = (row - low[0], col - low[1])
+    known = ~np.ma.getmaskarray(values)
+    dense = np.zeros((4, *shape))  # pixels, known ones, their sum and the sum of squares
+    plain = np.ma.getdata(values)
+    np.add.at(dense[0], at, 1)
+    for k, part in enumerate((np.ones(known.sum()), plain[known], plain[known] ** 2), 1):
+        np.add.at(dense[k], (at[0][known], at[1][known]), part)
+    # places beyond the scene are mirrored; places beyond the halo of the tile are not looked at
+    picks = []
+    for axis in (0, 1):
+        first, last = corner[axis] - half, min(corner[axis] + side - 1, extent[axis + 2]) + half
+        n = extent[axis + 2] - extent[axis] + 1
+        whole = np.arange(first, last + 1) - extent[axis]
+        whole = np.where((whole < 0) | (whole >= n), whole % (2 * n), whole)
+        picks.append(np.where(whole < n, whole, 2 * n - 1 - whole) + extent[axis] - low[axis])
+    inside = [(p >= 0) & (p < shape[k]) for k, p in enumerate(picks)]
+    safe = [np.clip(p, 0, shape[k] - 1) for k, p in enumerate(picks)]
+    dense = dense[:, safe[0]][:, :, safe[1]] * (inside[0][:, None] & inside[1][None, :])
+    pixels, count, total, squares = (dense[0][:, half : dense.shape[2] - half], *(_box_sums(d, size, 1) for d in dense[1:]))
+    weight = np.where(count > 0, pixels, 0.0)
+    share = np.maximum(count, 1)
+    means = [np.where(weight > 0, weight * (x / share), 0.0) for x in (total, squares)]
+    held = _box_sums(weight, size, 0)
+    return [np.where(held > 0, _box_sums(m, size, 0) / np.maximum(held, 1), np.nan) for m in means], held > 0
 
 
 def box_filter_mean_var(pixels: DataFrame, keys: list[str], value: str = "value", window: int = 5) -> DataFrame:
@@ -297,23 +332,42 @@ def box_filter_mean_var(pixels: DataFrame, keys: list[str], value: str = "value"
 
     The box is separable: means along each image row, then along each image
     column, of the pixels that are there; the box is set by positions, and edges are
-    the scene's. A task sees one line of one scene, never the whole scene.
+    the scene's. Scenes are cut into square tiles. A pixel goes to its tile and, near its border, to the neighbours whose
+    margin it is in, so both axes are done in one task and pixels are shuffled once, however large the scene.
     """
-    size = window + 1 if window % 2 == 0 else window
-    half = size // 2
-    sides = {f"__{side}_{axis}": of(axis) for axis in ("row", "col") for side, of in (("a", F.min), ("b", F.max))}
-    extents = pixels.groupBy(*keys).agg(*[c.alias(n) for n, c in sides.items()])
-    base = _match_keys(pixels, extents, keys).withColumns({"__m": F.col(value).cast("double"), "__q": F.col(value).cast("double") ** 2})
-    for line, axis in ((["row"], "col"), (["col"], "row")):
-        wide = _reflect(base, axis, half)
-        frame = W.partitionBy(*keys, *line).orderBy("__pos").rangeBetween(-half, half)
-        means = wide.withColumns({"__m2": F.avg("__m").over(frame), "__q2": F.avg("__q").over(frame)})
-        base = means.filter("__real").drop("__pos", "__real", "__m", "__q").withColumnsRenamed(
-            {"__m2": "__m", "__q2": "__q"}
-        )
-    return base.withColumns({"local_mean": F.col("__m"), "local_var": F.col("__q") - F.col("__m") ** 2}).drop(
-        "__m", "__q", *sides
-    )
+    half = (window + 1 if window % 2 == 0 else window) // 2
+    r, c = F.col("row").cast("long"), F.col("col").cast("long")
+    ends = {"__r0": F.min(r), "__c0": F.min(c), "__r1": F.max(r), "__c1": F.max(c)}
+    extents = pixels.groupBy(*keys).agg(*[x.alias(n) for n, x in ends.items()])
+    tile = lambda x: F.floor(x / TILE)
+    span = lambda a, b: F.explode(F.sequence(tile(a), tile(b)))
+    tiles = extents.withColumn("__tr", span(F.col("__r0"), F.col("__r1"))).withColumn("__tc", span(F.col("__c0"), F.col("__c1")))
+    offered = pixels.withColumn("__v", F.col(value).cast("double"))
+    offered = offered.withColumn("__tr", span(r - half, r + half)).withColumn("__tc", span(c - half, c + half))
+    group = [*keys, "__tr", "__tc"]
+    schema = StructType([*pixels.schema.fields, StructField("local_mean", DoubleType()), StructField("local_var", DoubleType())])
+
+    names, side = list(pixels.columns), TILE
+
+    def filtered(rows: pa.Table, scene: pa.Table) -> pa.Table:
+        if not rows.num_rows or not scene.num_rows:  # a margin without pixels of its own
+            none = pa.array([], pa.float64())
+            return rows.select(names).slice(0, 0).append_column("local_mean", none).append_column("local_var", none)
+        at = [rows[n].cast(pa.int64()).to_numpy() for n in ("row", "col")]
+        corner = tuple(int(scene[n][0].as_py()) * side for n in ("__tr", "__tc"))
+        extent = tuple(int(scene[n][0].as_py()) for n in ("__r0", "__c0", "__r1", "__c1"))
+        mask = rows["__v"].is_null().to_numpy()
+        values = np.ma.masked_array(rows["__v"].fill_null(0.0).to_numpy(), mask)
+        (mean, square), known = tile_means(*at, values, extent, corner, half, side)
+        own = np.flatnonzero((at[0] >= corner[0]) & (at[0] < corner[0] + side) & (at[1] >= corner[1]) & (at[1] < corner[1] + side))
+        place = at[0][own] - corner[0], at[1][own] - corner[1]
+        out = rows.select(names).take(pa.array(own))
+        missing = ~known[place]
+        m, v = mean[place], square[place] - mean[place] ** 2
+        return out.append_column("local_mean", pa.array(m, mask=missing)).append_column("local_var", pa.array(v, mask=missing))
+
+    met = offered.groupBy(*group).cogroup(tiles.groupBy(*group))
+    return met.applyInArrow(filtered, schema)
 
 
 def lee_filter(pixels: DataFrame, keys: list[str], value: str = "value", window: int = 5) -> DataFrame:

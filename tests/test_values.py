@@ -1,6 +1,7 @@
 """Known values on tiny tables."""
 
 import math
+import random
 from datetime import date, datetime
 
 import pytest
@@ -353,6 +354,49 @@ def test_stencil_goes_by_position(spark):
     assert abs(means[1, 3] - 2.5) < 1e-9 and abs(means[1, 5] - 5.5) < 1e-9 and abs(means[1, 7] - 7) < 1e-9
 
 
+@pytest.mark.parametrize("window, tile", [(5, 128), (3, 4), (7, 5), (9, 2)])
+def test_tiled_stencil_is_the_plain_one(spark, monkeypatch, window, tile):
+    """Holes, nulls, repeated pixels, scenes that begin anywhere and scenes smaller than the window, over many tiles."""
+    monkeypatch.setattr(px, "TILE", tile)
+    rng = random.Random(window)
+    rows = []
+    for scene, (r0, c0, nr, nc) in enumerate([(0, 0, 13, 11), (-7, 100, 9, 20), (3, 3, 1, 6), (50, -2, 2, 2)]):
+        for r in range(r0, r0 + nr):
+            rows += [(scene, r, c, None if rng.random() < 0.1 else rng.random()) for c in range(c0, c0 + nc) if rng.random() > 0.15]
+    rows += rows[:3]
+    half = window // 2
+    want = {}
+    for scene in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == scene]
+        ends = [(min(x), max(x)) for x in zip(*[(r[1], r[2]) for r in mine])]
+
+        def around(at, axis):
+            lo, hi = ends[axis]
+            n = hi - lo + 1
+            for p in range(at - lo - half, at - lo + half + 1):
+                p %= 2 * n
+                yield lo + (p if p < n else 2 * n - 1 - p)
+
+        def mean(xs):
+            xs = [x for x in xs if x is not None]
+            return sum(xs) / len(xs) if xs else None
+
+        level = [(r, c, v, None if v is None else v * v) for _, r, c, v in mine]
+        for axis in (1, 0):
+            line, at = (0, 1) if axis else (1, 0)
+            level = [
+                (p[0], p[1], *(mean([q[k] for place in around(p[at], axis) for q in level if q[line] == p[line] and q[at] == place]) for k in (2, 3)))
+                for p in level
+            ]
+        want |= {(scene, r, c): (m, None if m is None else q - m * m) for r, c, m, q in level}
+    df = spark.createDataFrame(rows, "scene_id int, row int, col int, value double")
+    got = px.box_filter_mean_var(df, ["scene_id"], window=window).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        m, v = want[x.scene_id, x.row, x.col]
+        assert (x.local_mean, x.local_var) == (None, None) if m is None else (x.local_mean, x.local_var) == pytest.approx((m, v), abs=1e-12)
+
+
 def test_upsert_ties_go_by_content(spark):
     old = spark.createDataFrame([("a", "z")], "scene_id string, object string")
     rows = [("a", "x", 1), ("a", "y", 1), ("a", None, 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Callable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scores, text as tx, vectors
 from ..functions.geo import Box
+from ..session import materialize
 from .catalog import newest_first
 from .joins import QUERY_BOX, query_scene_join
 from .ordered import first_rows, with_range_rank
@@ -57,24 +58,23 @@ def _keep_best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
     return scores_[chosen].reshape(shape), names[chosen].reshape(shape)
 
 
-def _search_task(batches: Iterator[pd.DataFrame], qid: np.ndarray, qvec: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """Best ``k`` per query over the corpus batches of one task; the state is queries × k."""
+def _search_block(items: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Best ``k`` items of a group for every query of a block; the state is queries × k."""
+    if not len(items) or not len(block):
+        return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+    qid, qvec = block["query_id"].to_numpy(), np.stack(block["v"].to_numpy())
     best = None
-    for batch in batches:
-        for at in range(0, len(batch), CHUNK_ROWS):
-            part = batch.iloc[at : at + CHUNK_ROWS]
-            # rounded so that equal vectors tie whatever their place in the product
-            sims = np.round(qvec @ np.stack(part["v"].to_numpy()).T, 12)
-            ids = np.broadcast_to(part["item_id"].to_numpy(), sims.shape)
-            found = _keep_best(sims, ids, k)
-            if best is not None:
-                found = _keep_best(np.hstack([best[0], found[0]]), np.hstack([best[1], found[1]]), k)
-            best = found
-    if best is not None:
-        width = best[0].shape[1]
-        yield pd.DataFrame(
-            {"query_id": np.repeat(qid, width), "item_id": best[1].ravel(), "score": best[0].ravel()}
-        )
+    for at in range(0, len(items), CHUNK_ROWS):
+        part = items.iloc[at : at + CHUNK_ROWS]
+        # rounded so that equal vectors tie whatever their place in the product
+        sims = np.round(qvec @ np.stack(part["v"].to_numpy()).T, 12)
+        ids = np.broadcast_to(part["item_id"].to_numpy(), sims.shape)
+        found = _keep_best(sims, ids, k)
+        if best is not None:
+            found = _keep_best(np.hstack([best[0], found[0]]), np.hstack([best[1], found[1]]), k)
+        best = found
+    width = best[0].shape[1]
+    return pd.DataFrame({"query_id": np.repeat(qid, width), "item_id": best[1].ravel(), "score": best[0].ravel()})
 
 
 def usable_vector(vector: Column) -> Column:
@@ -88,6 +88,115 @@ def unusable_vectors(rows: DataFrame, vector: str = "vector") -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(~usable_vector(F.col(vector))).alias("unusable"))
 
 
+#: Corpus vectors that serve as pivots, about; what rounding may add to an angle.
+PIVOTS, SLACK = 64, 1e-6
+
+
+def _unit_vectors(rows: DataFrame, key: str, name: str, vector: str) -> DataFrame:
+    values = rows.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    values = values.filter(usable_vector(F.col("v")))
+    return values.select(name, F.size("v").alias("dim"), vectors.l2_normalize(F.col("v")).alias("v"))
+
+
+class Pivots:
+    """Unit vectors of one dimension each, which corpus vectors are grouped around."""
+
+    def __init__(self, sample: list[np.ndarray]):
+        self.of = {d: np.unique(np.stack([v for v in sample if len(v) == d]), axis=0) for d in {len(v) for v in sample}}
+
+    def angles(self, batch: pd.Series) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Per dimension the places of its vectors in a batch, the dimension, and their angles to all its pivots (none: one pivot at no angle)."""
+        sizes = np.array([len(x) for x in batch], dtype=np.int64)
+        for dim in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == dim)
+            if dim in self.of:
+                yield at, dim, np.arccos(np.clip(np.stack(batch.to_numpy()[at]) @ self.of[dim].T, -1.0, 1.0))
+            else:
+                yield at, dim, np.zeros((len(at), 1))
+
+    def nearest(self, v: Column) -> Column:
+        """``struct<pivot, angle>``."""
+        angles = self.angles
+
+        @F.pandas_udf("struct<pivot:int,angle:double>")
+        def near(batch: pd.Series) -> pd.DataFrame:
+            out = pd.DataFrame({"pivot": np.zeros(len(batch), dtype=np.int32), "angle": np.zeros(len(batch))})
+            for at, _, found in angles(batch):
+                out.loc[at, "pivot"], out.loc[at, "angle"] = found.argmin(axis=1).astype(np.int32), found.min(axis=1)
+            return out
+
+        return near(v)
+
+    def reachable(self, v: Column, bound: Column, radii: dict[tuple[int, int], float]) -> Column:
+        """The pivots whose groups may hold a vector of cosine ``bound`` or more.
+
+        A vector of a group is within its radius of the pivot, so its angle to the query is at least the query's to the pivot less the
+        radius (triangle inequality of angles).
+        """
+        angles = self.angles
+
+        @F.pandas_udf("array<int>")
+        def reach(batch: pd.Series, bounds: pd.Series) -> pd.Series:
+            out: list[np.ndarray] = [np.empty(0, np.int32)] * len(batch)
+            apart = np.arccos(np.clip(bounds.to_numpy() - 1e-9, -1.0, 1.0)) + SLACK
+            for at, dim, found in angles(batch):
+                reach_of = np.array([radii.get((dim, p), -10.0) for p in range(found.shape[1])])
+                for i, near in zip(at, found - reach_of <= apart[at][:, None]):
+                    out[i] = np.flatnonzero(near).astype(np.int32)
+            return pd.Series(out)
+
+        return reach(v, bound)
+
+
+def knn_plan(
+    queries: DataFrame, corpus: DataFrame, k: int, max_block: int = 4096, rows_per_group: int = 100_000,
+    query_key: str = "query_id", item_key: str = "item_id", vector: str = "vector",
+) -> tuple[DataFrame, DataFrame]:
+    """The corpus as ``item_id, v, dim, pivot, part`` and the visits ``query_id, v, dim, pivot, part`` that an exact search needs."""
+    unit_q, unit_c = _unit_vectors(queries, query_key, "query_id", vector), _unit_vectors(corpus, item_key, "item_id", vector)
+    place = F.pmod(F.xxhash64("item_id"), F.lit(2**32))
+    total = unit_c.count()
+    limit = int(min(1.0, PIVOTS / max(total, 1)) * 2**32)
+    pivots = Pivots([np.asarray(r["v"]) for r in unit_c.filter(place < limit).select("v").collect()])
+    near = unit_c.withColumn("__p", pivots.nearest(F.col("v"))).select("item_id", "v", "dim", "__p.pivot", "__p.angle")
+    near = materialize(near)
+    # one row per pivot, and one per dimension without pivots
+    groups = near.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+    groups = groups.withColumn("parts", F.ceil(F.col("n") / rows_per_group).cast("int"))
+    groups = materialize(groups)
+    radii = {(r["dim"], r["pivot"]): r["radius"] for r in groups.collect()}
+    parts = groups.select("dim", "pivot", "parts")
+    items = near.drop("angle").join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")).drop("parts")
+    # a first bound of the k-th score from one part of the nearest group
+    unit_q = materialize(unit_q.withColumn("__p", pivots.nearest(F.col("v"))).select("query_id", "v", "dim", "__p.pivot"))
+    first = unit_q.withColumn("part", F.lit(0))
+    seen = _met(items, first, k, max_block, corpus.schema[item_key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString())
+    bound = topk_per_query(seen, k, item="item_id").filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    asked = unit_q.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
+    visits = asked.select("query_id", "v", "dim", F.explode(pivots.reachable(F.col("v"), F.col("bound"), radii)).alias("pivot"))
+    visits = visits.join(parts, ["dim", "pivot"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return items, visits
+
+
+def _met(items: DataFrame, visits: DataFrame, k: int, max_block: int, item_type: str, query_type: str) -> DataFrame:
+    """Best ``k`` of every visited group: ``query_id, item_id, score``. The visits of a group are cut into blocks of about ``max_block``."""
+    place = ["dim", "pivot", "part"]
+    blocks = visits.groupBy(*place).agg(F.ceil(F.count("*") / max_block).cast("int").alias("blocks"))
+    asked = visits.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    offered = items.join(blocks, place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    keys = [*place, "block"]
+    schema = f"query_id {query_type}, item_id {item_type}, score double"
+    return offered.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(lambda a, b: _search_block(a, b, k), schema)
+
+
+def visited_share(items: DataFrame, visits: DataFrame) -> float:
+    """Of all pairs of a query and a corpus vector of its dimension, the share that the visits meet."""
+    sizes = items.groupBy("dim", "pivot", "part").agg(F.count("*").alias("n"))
+    met = visits.join(sizes, ["dim", "pivot", "part"]).agg(F.sum("n")).first()[0] or 0
+    every = visits.select("query_id", "dim").distinct().join(items.groupBy("dim").agg(F.count("*").alias("n")), "dim").agg(F.sum("n")).first()[0]
+    return met / every if every else 0.0
+
+
 def knn_cosine(
     queries: DataFrame,
     corpus: DataFrame,
@@ -100,39 +209,15 @@ def knn_cosine(
 ) -> DataFrame:
     """Exact top ``k`` corpus items per query by cosine: ``query_id, item_id, score, rank``.
 
-    Queries are cut into blocks of about ``max_block`` that meet groups of about
-    ``rows_per_group`` corpus rows of the same dimension, whatever the sizes. A task
-    passes on only its best ``k`` per query; no full pair list is written and nothing
+    Corpus vectors gather around about ``PIVOTS`` of their own, large groups in parts of about ``rows_per_group``. A
+    query first searches a part of the nearest group for a bound of its k-th score, and then only the groups that
+    the angles allow to reach it. Blocks of about ``max_block`` queries meet a part in one task, which
+    passes on only its best ``k`` per query; no full pair list is written and nothing but pivots, group radii and counts
     comes to the driver. Vectors without a direction are left out (``usable_vector``).
     """
-
-    def unit(rows, key, name):
-        values = rows.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-        values = values.filter(usable_vector(F.col("v")))
-        return values.select(name, F.size("v").alias("dim"), vectors.l2_normalize(F.col("v")).alias("v"))
-
-    def count_groups(rows, size):
-        return rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size).cast("int"))).scalar()
-
-    unit_q, unit_c = unit(queries, query_key, "query_id"), unit(corpus, item_key, "item_id")
-    q_type = queries.schema[query_key].dataType.simpleString()
-    c_type = corpus.schema[item_key].dataType.simpleString()
-    out_schema = f"query_id {q_type}, item_id {c_type}, score double"
-    n_blocks, n_groups = count_groups(queries, max_block), count_groups(corpus, rows_per_group)
-    right = unit_q.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), n_groups - 1)))
-    left = unit_c.withColumn("part", F.pmod(F.xxhash64("item_id"), n_groups).cast("int"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-
-    def search(items: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(items) and len(block):
-            found = list(_search_task(iter([items]), block["query_id"].to_numpy(), np.stack(block["v"].to_numpy()), k))
-        return found[0] if found else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-
-    keys = ["dim", "block", "part"]
-    partial = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, out_schema)
-    return topk_per_query(partial, k, item="item_id")
+    items, visits = knn_plan(queries, corpus, k, max_block, rows_per_group, query_key, item_key, vector)
+    types = [df.schema[key].dataType.simpleString() for df, key in ((corpus, item_key), (queries, query_key))]
+    return topk_per_query(_met(items, materialize(visits), k, max_block, *types), k, item="item_id")
 
 
 # ---- semantic ranking ------------------------------------------------------

@@ -238,6 +238,32 @@ def test_knn_paths_agree_and_ties_go_by_id(spark):
     assert [i for q, _, i in rows[0] if q == 0] == [0, 30, 31, 32, 33]
 
 
+@pytest.mark.parametrize("spread", [0.02, 5.0])
+def test_knn_by_pivots_is_exact(spark, spread):
+    """Clustered vectors of two dimensions, a third of them equal; groups far from a query are not visited."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    corpus = [(i, (centres[i % 12] + spread * rng.normal(size=16)).tolist()) for i in range(400)]
+    corpus += [(1000 + i, corpus[5][1]) for i in range(200)] + [(2000 + i, rng.normal(size=3).tolist()) for i in range(20)]
+    corpus += [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16)]
+    queries = [(i, (centres[i % 12] + spread * rng.normal(size=16)).tolist()) for i in range(40)] + [(50, [1.0, 0.0, 0.0]), (51, [1.0] * 5), (52, None)]
+    q = spark.createDataFrame(queries, "query_id int, vector array<double>")
+    c = spark.createDataFrame(corpus, "item_id int, vector array<double>").repartition(5)
+    want = set()
+    for i, v in queries:
+        if v is None:
+            continue
+        scored = []
+        for j, x in corpus:
+            if x is not None and len(x) == len(v) and np.isfinite(x).all() and np.any(x):
+                scored.append((-round(float(np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x)), 9), j))
+        want |= {(i, j, r) for r, (_, j) in enumerate(sorted(scored)[:7], 1)}
+    got = rt.knn_cosine(q, c, 7, max_block=8, rows_per_group=50).collect()
+    assert {(r.query_id, r.item_id, r["rank"]) for r in got} == want and len(got) == len(want)
+    share = rt.visited_share(*rt.knn_plan(q, c, 7, rows_per_group=50))
+    assert share < 0.5 if spread < 1 else share <= 1
+
+
 def test_hot_day_in_interval_join(spark):
     from datetime import datetime
 

@@ -360,3 +360,16 @@ CONFIDENCE_TEXTS = {
     "major": "Low — SAR model/deterministic disagreement (major)",
     "high": "High — primary models, clear observation, good registration",
 }
+
+# Changed shares of an area above which a change is called so, the largest first.
+FRACTION_BANDS = [(0.3, "Significant"), (0.1, "Moderate"), (0.01, "Minor")]
+
+# Words in the name of a training file and the task they mean, the first one that is there.
+TASK_FILE_WORDS = [
+    ("caption", "caption"),
+    ("vqa", "vqa"),
+    ("referring", "grounding"),
+    ("grounding", "grounding"),
+    ("fusion", "fusion"),
+    ("change", "change"),
+]

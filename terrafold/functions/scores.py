@@ -166,6 +166,16 @@ def change_magnitude(score: Column) -> Column:
     )
 
 
+def change_from_fraction(fraction: Column, threshold: float) -> Column:
+    """Sentence from the changed share of the area, in the bands of ``fv.FRACTION_BANDS``."""
+    share = fixed(fraction.cast("double") * 100.0, 1, "%.1f%%")
+    out = F.when(fraction.isNull(), F.lit(None).cast("string"))
+    for least, word in fv.FRACTION_BANDS:
+        text = F.concat(F.lit(f"{word} change detected: "), share, F.lit(f" of area shows NDVI shift > {threshold}"))
+        out = out.when(fraction > least, text)
+    return out.otherwise(F.lit("Negligible change detected"))
+
+
 def _trend(mean: Column, what: str, unit: str) -> Column:
     mean = F.round(mean, 9)  # a mean that is zero up to rounding has no sign
     signed = F.concat(F.when(mean < 0, "-").otherwise("+"), fixed(F.abs(mean), 2))

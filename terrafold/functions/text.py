@@ -59,6 +59,25 @@ def scene_text(sensor: Column, modality: Column, obj: Column) -> Column:
     return F.concat_ws(" ", F.nullif(sensor, blank), F.nullif(modality, blank), F.nullif(obj, blank))
 
 
+def scene_text_placed(obj: Column, sensor: Column, modality: Column, wkt: Column) -> Column:
+    """Search text with the place: object, sensor, modality and the first point of the outline to one digit."""
+    blank = F.lit("")
+    point = F.split(F.trim(F.regexp_extract(wkt, r"^POLYGON\(\(([^,)]*)", 1)), r"\s+")
+    lon, lat = F.get(point, 0).try_cast("double"), F.get(point, 1).try_cast("double")
+    digit = lambda x: F.format_string("%.1f", F.bround(x, 1))
+    near = F.when(lon.isNotNull() & lat.isNotNull(), F.concat(F.lit("near "), digit(lon), F.lit(","), digit(lat)))
+    return F.concat_ws(" ", F.nullif(obj, blank), F.nullif(sensor, blank), F.nullif(modality, blank), near)
+
+
+def task_of_file(name: Column) -> Column:
+    """Task of a training file by its name; the first word of ``fv.TASK_FILE_WORDS`` decides, ``vqa`` without any."""
+    lower = F.lower(F.element_at(F.split(name, "/"), -1))
+    out = F.when(name.isNull(), F.lit(None).cast("string"))
+    for word, task in fv.TASK_FILE_WORDS:
+        out = out.when(F.contains(lower, F.lit(word)), task)
+    return out.otherwise("vqa")
+
+
 def semantic_query_text(text: Column, obj: Column) -> Column:
     blank = F.lit("")
     joined = F.concat_ws(" ", F.nullif(F.trim(text), blank), F.nullif(F.trim(obj), blank))

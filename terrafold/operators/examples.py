@@ -234,6 +234,12 @@ def validate_pairs(
     return checked.withColumn("reject_reason", reason).drop("__schema")
 
 
+def merge_training_rows(rows: DataFrame, file: str) -> DataFrame:
+    """Rows of several training files, tagged with the task their file's name tells and the modality their image's name tells."""
+    known = F.col("modality") if "modality" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumns({"task_type": tx.task_of_file(F.col(file)), "modality": F.coalesce(known, tx.detect_modality(F.col("image_id")))})
+
+
 # ---- samples and splits ----------------------------------------------------
 
 
@@ -242,6 +248,11 @@ def sample_limit(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
+def first_per_task(df: DataFrame, task: str, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of every task; each input partition is cut to them before the shuffle."""
+    return first_rows(df, [task], order, n, "__r").drop("__r")
+
+
 def stratified_sample(
     df: DataFrame, stratum: str, key: str, rate: float = 0.1, whole: list[str] | None = None, seed: str = "0"
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
@@ -162,6 +164,36 @@ def query_scene_join(
     ).select(*columns)
 
 
+def within_km(
+    left: DataFrame, right: DataFrame, km: float, left_point: tuple[str, str], right_point: tuple[str, str], ids: tuple[str, str],
+    rows_per_task: int = 2_000_000,
+) -> DataFrame:
+    """All pairs of rows whose points (longitude, latitude) are at most ``km`` apart on the sphere, with ``km_apart``.
+
+    Points are put on the unit sphere, where ``km`` is a chord, and into cubes as wide as that chord. A point meets those
+    of its own cube and of the 26 around it. So poles and the 180th meridian are places like any other, and cells
+    do not narrow with the latitude. Rows without a point, or with one that is no number, meet nothing. Cubes that are
+    crowded are cut on both sides.
+    """
+    half = min(km / geo.EARTH_RADIUS_KM / 2, math.pi / 2)
+    chord = max(2 * math.sin(half), 1e-9) * (1 + 1e-9) + 1e-12
+
+    def cubes(df: DataFrame, point: tuple[str, str]) -> tuple[DataFrame, list[Column]]:
+        lon, lat = (F.radians(F.col(c).cast("double")) for c in point)
+        usable = F.coalesce(~F.isnan(lon) & ~F.isnan(lat) & (F.abs(lon) < 1e6) & (F.abs(lat) < 1e6), F.lit(False))
+        xyz = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+        return df.filter(usable), [F.floor(c / chord).cast("int") for c in xyz]
+
+    one, at = cubes(left, left_point)
+    other, place = cubes(right, right_point)
+    one = one.withColumns({f"__{n}": c for n, c in zip("xyz", at)})
+    for n, c in zip("xyz", place):
+        other = other.withColumn(f"__{n}", F.explode(F.array(*[c + d for d in (-1, 0, 1)])))
+    met = gridded_join(one, other, ["__x", "__y", "__z"], ids, rows_per_task).drop("__x", "__y", "__z")
+    met = met.withColumn("km_apart", geo.haversine_km(*[F.col(c) for c in (*left_point, *right_point)]))
+    return met.filter(F.col("km_apart") <= km)
+
+
 def optical_sar_interval_join(
     scenes: DataFrame, area: str, days: int = 3, prefer: str = "earliest"
 ) -> DataFrame:

@@ -237,6 +237,12 @@ def embed_column(text: Column, embed: Embed | None) -> Column:
     return pandas_udf(encode, "array<double>")(text)
 
 
+def text_vectors(rows: DataFrame, text: str, embed: Embed | None, name: str) -> DataFrame:
+    """``text, name``: the vector of every distinct text that is not blank."""
+    some = rows.select(F.col(text).alias("__t")).filter(F.trim("__t") != "").distinct()
+    return some.select(F.col("__t").alias(text), embed_column(F.col("__t"), embed).alias(name))
+
+
 def semantic_rank(
     candidates: DataFrame,
     k: int | None,
@@ -245,15 +251,16 @@ def semantic_rank(
     neutral: float = 0.5,
     embed: Embed | None = None,
 ) -> DataFrame:
-    """Score candidate pairs by cosine of query and scene text; an empty text scores ``neutral``."""
+    """Score candidate pairs by cosine of query and scene text; a blank text scores ``neutral``.
+
+    Each distinct text is embedded once, however many pairs it is in.
+    """
     dim = vectors.HASH_DIM if embed is None else None
-    with_vectors = candidates.withColumns(
-        {"__q": embed_column(F.col(query_text), embed), "__s": embed_column(F.col(scene_text), embed)}
-    )
-    blank = (F.coalesce(F.trim(query_text), F.lit("")) == "") | (F.coalesce(F.trim(scene_text), F.lit("")) == "")
-    scored = with_vectors.withColumn(
-        "score", F.when(blank, F.lit(float(neutral))).otherwise(vectors.dot(F.col("__q"), F.col("__s"), dim))
-    ).drop("__q", "__s")
+    sides = [text_vectors(candidates, t, embed, n) for t, n in ((query_text, "__q"), (scene_text, "__s"))]
+    with_vectors = candidates.join(sides[0], query_text, "left").join(sides[1], scene_text, "left")
+    known = F.col("__q").isNotNull() & F.col("__s").isNotNull()
+    score = F.when(known, vectors.dot(F.col("__q"), F.col("__s"), dim)).otherwise(F.lit(float(neutral)))
+    scored = with_vectors.withColumn("score", score).select(*candidates.columns, "score")
     return scored if k is None else topk_per_query(scored, k)
 
 
@@ -418,3 +425,20 @@ def attach_confidence(
         )
         .drop("__c")
     )
+
+
+def explained_results(results: DataFrame, scenes: DataFrame, summary: Column | None = None) -> DataFrame:
+    """Result rows (with ``confidence_reason``) and what a reader is told of each: ``explanation`` and ``note``.
+
+    ``results`` has ``query_id, rank, score, scene_id, sensor, acquisition_time``; the outline comes from ``scenes``. The note
+    joins the explanation and the confidence; ``summary`` may tell what a model found.
+    """
+    outlines = scenes.select("scene_id", "geometry_wkt")
+    joined = results.join(outlines, "scene_id", "left")
+    day = F.coalesce(F.date_format("acquisition_time", "yyyy-MM-dd"), F.lit("an unknown date"))
+    told = scores.result_explanation(
+        F.col("rank"), F.col("score"), F.coalesce("sensor", F.lit("an unknown sensor")), day,
+        F.coalesce("geometry_wkt", F.lit("an unknown place")), F.lit(None).cast("string") if summary is None else summary,
+    )
+    note = F.concat_ws(" ", told, F.concat(F.lit("Confidence: "), F.col("confidence_reason"), F.lit(".")))
+    return joined.withColumns({"explanation": told, "note": note}).drop("geometry_wkt")

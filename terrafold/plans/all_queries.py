@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalog_queries", "retrieval_queries", "pixel_queries", "text_queries", "scalar_queries"]
+MODULES = ["catalog_queries", "retrieval_queries", "pixel_queries", "text_queries", "scalar_queries", "variant_queries"]
 
 
 def load() -> None:

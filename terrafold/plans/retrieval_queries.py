@@ -275,7 +275,13 @@ HASH = """(SELECT list_transform(l, lambda x: x / sqrt(list_sum(list_transform(l
     ("scenes0", "search"),
 )
 def _(d):
-    out = rt.retrieve_batch(d.unpaired.withColumn("paired_scene_id", F.lit(None).cast("string")), d.queries, 5, fuse=False)
+    from ..functions.text import scene_text
+    from ..operators.joins import query_scene_join
+
+    pairs = query_scene_join(d.unpaired, d.queries).select(
+        "query_id", "scene_id", "text_query", scene_text(F.col("sensor"), F.col("modality"), F.col("object")).alias("scene_text")
+    )
+    out = rt.semantic_rank(pairs, 5, "text_query", "scene_text")
     return out.select("query_id", "scene_id", r6("score", "score"), "rank")
 
 

@@ -8,6 +8,7 @@ from .. import fixed_values as fv
 from ..functions import geo
 from ..functions.text import to_utc
 from ..operators.catalog import with_boxes
+from ..operators.examples import merge_training_rows
 from ..operators.joins import label_map_join
 from . import schemas
 
@@ -17,9 +18,12 @@ def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_scene_json(spark: SparkSession, path: str, schema: str = schemas.SCENES) -> DataFrame:
-    """JSON array of scenes, queries or results with a fixed schema; one bad value fails the load."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def scan_scene_json(spark: SparkSession, path: str, schema: str = schemas.SCENES, array: bool = True) -> DataFrame:
+    """Scenes, queries or results of a fixed schema from JSON; one bad value fails the load.
+
+    A file is a JSON array, which one task reads, or with ``array=False`` has an object a line and can be split.
+    """
+    return spark.read.schema(schema).option("multiLine", array).option("mode", "FAILFAST").json(path)
 
 
 def decode_wavelengths(scenes: DataFrame) -> DataFrame:
@@ -49,6 +53,12 @@ def scan_labels_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("image_filename string, label string").option("header", True).csv(path)
 
 
+def scan_training_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Training examples of all JSON-lines files of a folder, each with the task its file's name tells."""
+    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("__file"))
+    return merge_training_rows(rows, "__file").drop("__file")
+
+
 def scan_patch_metadata(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """Patch list from CSV or JSON; the key may have any of three names."""
     if fmt == "csv":

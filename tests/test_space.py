@@ -86,3 +86,21 @@ def test_gridded_join_cuts_both_sides(spark):
     right = spark.range(300).select(F.col("id").alias("b"), (F.col("id") % 3 > 0).cast("int").alias("k"))
     got = joins.gridded_join(left, right, ["k"], ("a", "b"), 50)
     assert got.count() == 400 * 200 + 200 * 100 == got.select("a", "b").distinct().count()
+
+
+def test_within_km_over_poles_and_the_180th_meridian(spark):
+    rng = np.random.default_rng(4)
+    points = [(float(a), float(b)) for a, b in zip(rng.uniform(-180, 180, 150), np.degrees(np.arcsin(rng.uniform(-1, 1, 150))))]
+    points += [(179.99, 10.0), (-179.99, 10.0), (0.0, 90.0), (120.0, 89.9), (-60.0, 89.9), (10.0, -90.0), (190.0, 10.0), (5.0, 5.0), (5.0, 5.0), (-175.0, -5.0)]
+    rows = [(i, *p) for i, p in enumerate(points)] + [(900, None, 1.0), (901, float("nan"), 1.0)]
+    a = spark.createDataFrame(rows, "a int, alon double, alat double")
+    b = spark.createDataFrame(rows, "b int, blon double, blat double")
+
+    def apart(p, q):
+        x, y = (np.array([np.cos(np.radians(t[1])) * np.cos(np.radians(t[0])), np.cos(np.radians(t[1])) * np.sin(np.radians(t[0])), np.sin(np.radians(t[1]))]) for t in (p, q))
+        return 6371.0 * np.arctan2(np.linalg.norm(np.cross(x, y)), x @ y)
+
+    for km, bound in ((30.0, 2_000_000), (2000.0, 40), (25_000.0, 2_000_000)):
+        want = {(i, j) for i, p in enumerate(points) for j, q in enumerate(points) if apart(p, q) <= km}
+        got = joins.within_km(a, b, km, ("alon", "alat"), ("blon", "blat"), ("a", "b"), bound).select("a", "b").collect()
+        assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want

@@ -162,22 +162,74 @@ def test_classifier_edges(spark, edge, empty):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b"ca"]
-    packed = np.array([int.from_bytes(p, "big") for p in pieces], dtype=np.uint64)
-    order = np.argsort(packed)
+    pieces = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b"ca", b"abcabcabcabc"]
+    held = language_id.Pieces(set(pieces))
+    place = {p: int(np.searchsorted(held.hashes, np.uint64(language_id.piece_hash(p)))) for p in pieces}
     chances = np.random.default_rng(0).uniform(0.01, 0.3, (len(pieces), 2))
-    words = [b"abcab", b"a", b"ccab", b"abcabcabc"]
+    words = [b"abcab", b"a", b"ccab", b"abcabcabc", b"abcabcabcabcab"]
     data = np.frombuffer(b"".join(words), dtype=np.uint8)
     ends = np.cumsum([len(w) for w in words])
-    lattice = language_id.Lattice(packed[order], data, ends - [len(w) for w in words], ends)
-    forward, backward = lattice.forward(chances[order]), lattice.backward(chances[order])
+    lattice = language_id.Lattice(held, data, ends - [len(w) for w in words], ends)
+    forward, backward = lattice.forward(chances), lattice.backward(chances)
 
     def total(word, k):
-        return 1.0 if not word else sum(chances[i, k] * total(word[len(p) :], k) for i, p in enumerate(pieces) if word.startswith(p))
+        sums = [1.0]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(chances[place[p], k] * sums[end - len(p)] for p in pieces if word[:end].endswith(p)))
+        return sums[-1]
 
     want = np.array([[total(words[i], k) for k in range(2)] for i in lattice.order])
     assert np.allclose(lattice.totals(forward), want)
     assert np.allclose(backward[:, 0], want)
+    for word in (b"abcabcabcabc" * 5, b"cab" * 20, b"abc" * 400):
+        logs = language_id.long_logs(held, chances, np.frombuffer(word, dtype=np.uint8))
+        exact = []
+        for k in range(2):
+            sums, shift = [1.0], 0.0
+            for end in range(1, len(word) + 1):
+                sums.append(sum(chances[place[p], k] * sums[end - len(p)] for p in pieces if end >= len(p) and word[:end].endswith(p)))
+                if end % 50 == 0:
+                    top = max(sums[-13:])
+                    sums, shift = [x / top for x in sums], shift + np.log(top)
+            exact.append(np.log(sums[-1]) + shift)
+        assert np.allclose(logs, exact)
+
+
+def test_all_pieces_and_whole_runs():
+    pieces = language_id.vocabulary(queries.RANKS)
+    assert len(pieces) > 35_000 and pieces.lengths[-1] > 12
+    chances = np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2).T
+    model = language_id.Model(["x", "y"], pieces, chances)
+    for text in ("donaudampfschifffahrtsgesellschaftskapitänswitwenversicherung", "汉字没有空格的文字也要整段计算" * 60):
+        raw = text.encode()
+        data = np.frombuffer(raw, dtype=np.uint8)
+        known = {int(h): i for i, h in enumerate(pieces.hashes)}
+        exact = []
+        for k in range(2):
+            sums, shift = [1.0], 0.0
+            for end in range(1, len(raw) + 1):
+                now = 0.0
+                for n in pieces.lengths:
+                    if n <= end and (i := known.get(language_id.piece_hash(raw[end - n : end]))) is not None:
+                        now += chances[i, k] * sums[end - n]
+                sums.append(now)
+                if end % 40 == 0:
+                    top = max(sums[-130:])
+                    sums, shift = [x / top for x in sums], shift + np.log(top)
+            exact.append(np.log(sums[-1]) + shift)
+        assert np.allclose(model.word_logs(data, np.array([0]), np.array([len(raw)]))[0], exact)
+
+
+def test_rare_language_is_learned(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "mat", "house"], 6)), "en") for i in range(20_000)]
+    rows += [(50_000 + i, " ".join(rng.choice(["kissa", "istuu", "matolla", "talo", "on"], 6)), "fi") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True), queries.RANKS)
+    assert model.languages == ["en", "fi"]
+    asked = spark.createDataFrame([("talo on matolla", 1, "a"), ("the house", 2, "b")], "text string, score int, lang_pred string")
+    got = language_id.with_language(asked, model)
+    assert got.columns == ["text", "lang_pred", "score"] and sorted(r["lang_pred"] for r in got.collect()) == ["en", "fi"]
 
 
 def test_language_memo(monkeypatch):

@@ -163,7 +163,7 @@ def _(d):
 @query(
     "explained_results",
     RETRIEVE.replace("JOIN scenes0 s", "JOIN scenes s")
-    + """SELECT query_id, rank, scene_id, 'This result is ranked #' || rank || ' with a composite score of ' || printf('%.2f', round_even(round(score, 6), 2)) || '. The image was acquired by ' || sensor
+    + """SELECT query_id, rank, scene_id, 'This result is ranked #' || rank || ' with a composite score of ' || printf('%.2f', CAST(round_even(CAST(round(score, 6) AS DECIMAL(18, 6)), 2) AS DOUBLE)) || '. The image was acquired by ' || sensor
       || ' on ' || coalesce(strftime(acquisition_time, '%Y-%m-%d'), 'an unknown date') || ' over ' || substr(geometry_wkt, 1, 30)
       || '... No additional model outputs available. These findings are consistent with the query criteria. Confidence: '
       || CASE WHEN m <> '' THEN 'Medium — ' || m ELSE 'High — primary models, clear observation, good registration' END || '.' AS note

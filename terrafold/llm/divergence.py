@@ -26,67 +26,85 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut, short_batches
-from .terms import LETTERS, TermTable, term_slices
+from .terms import LETTERS, numbered, term_slices
 
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
-#: Most counts, and terms, of a block on average; sources of a slice; distinct counts a task holds before it hands them on.
+#: Most counts, and terms, of a block on average; sources of a slice; occurrences that a task holds before it adds them up.
 CELLS = 50_000
 TERMS = 15_000
 SLICE = 64
-HELD = 400_000
+#: Copies of a language's few rows where its many rows meet them.
+SALTS = 64
+HELD = 4_000_000
 
 
 # ---- counts -----------------------------------------------------------------
 
 
+def run_lengths(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each occurs."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.diff(np.append(starts, len(keys)))
+
+
+def added_up(langs: list[str], sources: list[str], lang: np.ndarray, source: np.ndarray, text_of: np.ndarray, term: np.ndarray, terms: pa.Array) -> pa.RecordBatch:
+    """One row per language and term with its sources, and each one's occurrences and documents, from one entry per occurrence."""
+    width = max(len(terms), 1)
+    lang_of_text, source_of_text = (np.zeros(int(text_of.max(initial=0)) + 1, dtype=np.int64) for _ in range(2))
+    lang_of_text[text_of], source_of_text[text_of] = lang, source
+    key = lambda text, t: (lang_of_text[text] * width + t) * len(sources) + source_of_text[text]
+    cells, c = run_lengths(key(text_of, term))
+    held, _ = run_lengths(text_of * width + term)
+    _, d = run_lengths(key(held // width, held % width))
+    owner = cells // max(len(sources), 1)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    edges = pa.array(np.append(first, len(owner)).astype(np.int32))
+    lists = [pa.array(sources, pa.string()).take(pa.array(cells % max(len(sources), 1))), pa.array(c.astype(np.int64)), pa.array(d.astype(np.int64))]
+    rows = owner[first]
+    columns = [pa.array(langs, pa.string()).take(pa.array(rows // width)), terms.take(pa.array(rows % width)).cast(pa.large_string()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(edges, x) for x in lists)], names=["lang", "term", "source", "c", "d"])
+
+
 def term_counts(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """``lang, source, term, c, d``: occurrences and documents, added up within batches. Nulls read as ''."""
-    short_batches(df.sparkSession)
+    """``lang, term, source, c, d``: occurrences and documents. Nulls read as ''.
 
-    def batch_counts(table: TermTable, group: np.ndarray, term: np.ndarray, groups: list[tuple], text_of: np.ndarray):
-        width = len(table.terms)
-        pairs, back, c = np.unique(group * width + term, return_inverse=True, return_counts=True)
-        owner = np.unique(text_of * width + term) if len(term) else term
-        # each distinct (text, term) is one document of the text's group
-        group_of_text = np.zeros(int(text_of.max(initial=0)) + 1, dtype=np.int64)
-        group_of_text[text_of] = group
-        held = group_of_text[owner // max(width, 1)] * width + owner % max(width, 1)
-        d = np.bincount(np.searchsorted(pairs, held), minlength=len(pairs))
-        g = pairs // max(width, 1)
-        names = [pa.array([x[i] for x in groups], pa.string()).take(pa.array(g)) for i in (0, 1)]
-        told = table.terms.take(pa.array(pairs % max(width, 1))).cast(pa.string())
-        return pa.RecordBatch.from_arrays([*names, told, pa.array(c.astype(np.int64)), pa.array(d.astype(np.int64))], names=["lang", "source", "term", "c", "d"])
+    Tasks add up what they read, a bounded number of occurrences at a time, so that a term of a language is one row of a task, with a
+    list of its sources; these rows are dealt by language and term and added up again.
+    """
+    short_batches(df.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, groups = TermTable(), {}
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        texts_before = held = 0
+        langs: dict[str, int] = {}
+        sources: dict[str, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
+        texts = held = 0
 
-        def told():
-            joined = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64)] * 3
-            return batch_counts(table, joined[0], joined[1], list(groups), joined[2])
+        def told() -> pa.RecordBatch:
+            lang_no, source_no, text_of, lengths, data = (np.concatenate(x) for x in zip(*parts))
+            term, terms = numbered(lengths, data)
+            return added_up(list(langs), list(sources), lang_no, source_no, text_of, term, terms)
 
         for batch in batches:
             bodies = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            group = np.array([groups.setdefault(k, len(groups)) for k in keys], dtype=np.int64)
+            lang_no = np.array([langs.setdefault(x, len(langs)) for x in batch.column(0).to_pylist()], dtype=np.int64)
+            source_no = np.array([sources.setdefault(x, len(sources)) for x in batch.column(1).to_pylist()], dtype=np.int64)
             for owner, lengths, data in term_slices(bodies, LETTERS):
-                term = table.numbers(lengths, data)
-                # within a slice, a text's repeats of a term stay, as they are counted
-                parts.append((group[owner], term, owner + texts_before))
-                held += len(term)
-            texts_before += len(bodies)
-            if held >= 8 * HELD:
+                parts.append((lang_no[owner], source_no[owner], owner + texts, lengths, data))
+                held += len(lengths)
+            texts += len(bodies)
+            if held >= HELD:
                 yield told()
-                table, groups, parts, texts_before, held = TermTable(), {}, [], 0, 0
+                langs, sources, parts, texts, held = {}, {}, [], 0, 0
         if parts:
             yield told()
 
     read = df.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("body"))
-    found = read.mapInArrow(count, "lang string, source string, term string, c long, d long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    found = read.mapInArrow(count, "lang string, term string, source array<string>, c array<long>, d array<long>")
+    found = found.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("source", "c", "d")).alias("x"))
+    return found.groupBy("lang", "term", F.col("x.source").alias("source")).agg(F.sum("x.c").alias("c"), F.sum("x.d").alias("d"))
 
 
 # ---- trees ------------------------------------------------------------------
@@ -221,6 +239,13 @@ def compare_block(table: pa.Table, top: int) -> tuple[list, list]:
 # ---- the audit --------------------------------------------------------------
 
 
+def salted(rows: DataFrame, few: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` with the rows of ``few`` for their keys. A key of very many rows is ``SALTS`` keys, dealt by the columns ``spread``."""
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return rows.join(few, [*keys, "__salt"]).drop("__salt")
+
+
 def audit(
     df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
     least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, cells_of_block: int = CELLS, slice_size: int = SLICE,
@@ -233,20 +258,22 @@ def audit(
     not read. Ties go by the UTF-8 order of the item. An empty table gives no rows.
     """
     rows = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))])
-    counts = cut(term_counts(df, text, lang, source))
-    kept = counts.groupBy("lang", "term").agg(F.sum("c").alias("all"), F.sum("d").alias("df"), F.count("*").alias("held")).filter(F.col("df") >= least)
-    # terms of similar frequency, dealt by hash into blocks of about so many counts
-    kept = kept.withColumn("class", F.floor(F.log2("df")).cast("int"))
-    classes = kept.groupBy("lang", "class").agg(F.count("*").alias("n"), F.sum("held").alias("cells"))
+    of_term = W.partitionBy("lang", "term")
+    cells = term_counts(df, text, lang, source).withColumns({
+        "all": F.sum("c").over(of_term), "df": F.sum("d").over(of_term), "is_first": (F.min("source").over(of_term) == F.col("source")).cast("int"),
+    })
+    # terms of similar frequency are dealt by hash into blocks of about so many counts
+    cells = cells.filter(F.col("df") >= least).withColumn("class", F.floor(F.log2("df")).cast("int"))
+    cells = cut(cells.select("lang", "term", "source", "c", "all", "class", "is_first"))
+    classes = cells.groupBy("lang", "class").agg(F.sum("is_first").alias("n"), F.count("*").alias("cells"))
     blocks = F.greatest(F.ceil(F.col("cells") / cells_of_block), F.ceil(F.col("n") / TERMS), F.lit(1)).cast("int")
-    classes = classes.select("lang", "class", blocks.alias("blocks"))
-    kept = kept.join(classes, ["lang", "class"]).withColumn("part", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
-    kept = cut(kept.select("lang", "term", "all", "class", "part"))
-    cells = counts.drop("d").join(kept, ["lang", "term"])
+    classes = cut(classes.select("lang", F.col("class"), "n", blocks.alias("blocks")))
+    cells = salted(cells, classes.drop("n"), ["lang", "class"], ["term"])
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).drop("blocks")
 
     sums = cells.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     groups = rows.distinct().join(sums, ["lang", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_n"))
+    sizes = classes.groupBy("lang").agg(F.sum("n").alias("v")).join(sums.groupBy("lang").agg(F.sum("n").alias("lang_n")), "lang")
     slices = groups.groupBy("lang").agg(F.ceil(F.count("*") / slice_size).cast("int").alias("slices"))
     groups = groups.join(sizes, "lang", "left").join(slices, "lang")
     v = F.coalesce("v", F.lit(0))
@@ -255,9 +282,10 @@ def audit(
         (F.col("n") + v).alias("total"), (F.coalesce("lang_n", F.lit(0)) + v).alias("lang_total"),
     )
     groups = cut(groups)
-    made = kept.groupBy("lang", "class", "part").agg(F.count("*").cast("int").alias("terms"))
+    made = cells.groupBy("lang", "class", "part").agg(F.sum("is_first").cast("int").alias("terms"))
     # every source of a language takes part in each of its blocks, in one empty block where there is no term
-    heads = groups.join(made, "lang", "left").fillna({"class": -1, "part": 0, "terms": 0})
+    silent = groups.join(made.select("lang").distinct(), "lang", "left_anti").withColumns({"class": F.lit(-1), "part": F.lit(0), "terms": F.lit(0)})
+    heads = salted(made, groups, ["lang"], ["class", "part"]).select(silent.columns).unionByName(silent)
 
     def dealt(some: DataFrame) -> DataFrame:
         """A row under every pair of slices that its source is in."""
@@ -270,7 +298,7 @@ def audit(
     none = lambda kind: F.lit(None).cast(kind)
     heads = dealt(heads).withColumns({"term": none("string"), "c": none("long"), "all": none("long")})
     mine = groups.select("lang", "source", "slices", "slice")
-    cells = dealt(cells.join(mine, ["lang", "source"])).withColumns({n: none(t) for n, t in (("total", "long"), ("terms", "int"), ("lang_total", "long"))})
+    cells = dealt(salted(cells, mine, ["lang", "source"], ["term"])).withColumns({n: none(t) for n, t in (("total", "long"), ("terms", "int"), ("lang_total", "long"))})
     met = heads.select(columns).unionByName(cells.select(columns))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -281,10 +309,9 @@ def audit(
         told = list(zip(*out)) or [()] * 5
         return pa.table([pa.array(list(x), k) for x, k in zip(told, kinds)], names=["lang", "source", "part", "item", "value"])
 
-    found = met.groupBy(*key).applyInArrow(compare, "lang string, source string, part string, item string, value long")
-    # a term is in one block; the prices of a pair are added up over blocks
-    added = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = added.withColumn("rank", F.row_number().over(order).cast("int"))
-    return ranked.filter((F.col("part") == "pair") | (F.col("rank") <= top))
-
+    found = cut(met.groupBy(*key).applyInArrow(compare, "lang string, source string, part string, item string, value long"))
+    # the prices of a pair are added up over blocks; a term is in one block
+    pairs = found.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    pairs, terms = (x.withColumn("rank", F.row_number().over(order).cast("int")) for x in (pairs, found.filter("part = 'term'")))
+    return pairs.unionByName(terms.filter(F.col("rank") <= top))

@@ -29,17 +29,9 @@ def term_slices(texts: list[bytes], inside: np.ndarray) -> Iterator[tuple[np.nda
         yield numbers[np.searchsorted(ends, first)], last - first, _LOWER[data[kept]]
 
 
-class TermTable:
-    """Distinct terms in order of appearance; the number of a term is its place."""
-
-    def __init__(self):
-        self.terms = pa.array([], pa.binary())
-
-    def numbers(self, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """The numbers of terms; new ones are added."""
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        told = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        both = pa.chunked_array([self.terms, told]).combine_chunks().dictionary_encode()
-        at = both.indices.to_numpy()[len(self.terms) :]
-        self.terms = both.dictionary
-        return at.astype(np.int64)
+def numbered(lengths: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for every term, and the distinct terms that the numbers stand for."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    told = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    encoded = told.dictionary_encode()
+    return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary

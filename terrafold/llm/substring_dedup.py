@@ -23,6 +23,7 @@ a hot digest in the join back can be split.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,6 @@ from .common import any_id, cut, short_batches
 MIN_WORDS = 8
 #: Least words of what goes in one piece, in the registered query.
 RUN_WORDS = 40
-WORD = re.compile(r"\S+")
 LINE = re.compile(r"[^\n]+")
 SENTENCE_END = re.compile(r"[.!?]+\s+")
 
@@ -56,22 +56,41 @@ def unit_spans(text: str) -> Iterator[tuple[int, int]]:
             yield at, end
 
 
-def short_runs(text: str, min_words: int) -> set[tuple[int, int]]:
-    """Spans of the shortest runs of ``min_words`` words that begin or end with a shorter unit."""
+def text_units(text: str, min_words: int, runs: bool) -> list[tuple[int, int, int, int, str]]:
+    """Start, end, place of the first word and of the one after the last, and normalised words of every unit long enough.
+
+    With ``runs`` also those of the shortest runs of ``min_words`` words that begin or end with a shorter unit. Words are cut and
+    normalised once, in the lowest units (a line of several sentences is followed by the first of them); others join theirs.
+    """
     spans = list(unit_spans(text))
-    # a line of several sentences is followed by the first of them
-    lowest = [a for a, b in zip(spans, [*spans[1:], (len(text) + 1,) * 2]) if a[1] <= b[0]]
-    counted = [(a, b, n) for a, b in lowest if (n := len(text[a:b].split()))]
-    total = np.concatenate([[0], np.cumsum([n for _, _, n in counted], dtype=np.int64)])
-    after = np.searchsorted(total, total[:-1] + min_words)
-    before = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    out = set()
-    for k, (a, b, n) in enumerate(counted):
-        if n < min_words and after[k] < len(total):
-            out.add((a, counted[after[k] - 1][1]))
-        if n < min_words and before[k] >= 0:
-            out.add((counted[before[k]][0], b))
-    return out
+    lowest, norms, counts, lines = [], [], [], []
+    for (a, b), (c, _) in zip(spans, [*spans[1:], (len(text) + 1, 0)]):
+        if b <= c:
+            words = text[a:b].split()
+            lowest.append((a, b))
+            counts.append(len(words))
+            norms.append(" ".join(words).lower())
+        else:
+            lines.append((a, b, len(lowest)))
+    total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    starts = [a for a, _ in lowest]
+    ranges = {(a, b): (i, bisect_left(starts, b)) for a, b, i in lines}
+    ranges |= {span: (k, k + 1) for k, span in enumerate(lowest)}
+    if runs:
+        held = np.flatnonzero(counts)
+        after = np.searchsorted(total, total[:-1] + min_words)
+        before = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+        for k in held[np.array(counts, dtype=np.int64)[held] < min_words].tolist():
+            if after[k] < len(total):
+                ranges.setdefault((lowest[k][0], lowest[after[k] - 1][1]), (k, int(after[k])))
+            if before[k] >= 0:
+                ranges.setdefault((lowest[before[k]][0], lowest[k][1]), (int(before[k]), k + 1))
+    places = total.tolist()
+    return [
+        (a, b, places[i], places[j], norms[i] if j == i + 1 else " ".join(x for x in norms[i:j] if x))
+        for (a, b), (i, j) in ranges.items()
+        if places[j] - places[i] >= min_words
+    ]
 
 
 def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int, runs: bool = False) -> DataFrame:
@@ -86,26 +105,18 @@ def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int, runs: bo
         for batch in batches:
             docs, tags, spans, keys = [], [], [], []
             for doc, body, tag in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                body = body or ""
-                at = np.array([m.start() for m in WORD.finditer(body)], dtype=np.int64)
-                units = list(unit_spans(body))
-                if runs:
-                    units += sorted(short_runs(body, min_words) - set(units))
-                for start, end in units:
-                    words = body[start:end].split()
-                    if len(words) >= min_words:
-                        w0 = int(at.searchsorted(start))
-                        docs.append(doc)
-                        tags.append(tag)
-                        spans.append((start, end, w0, w0 + len(words)))
-                        keys.append(xxhash.xxh3_128_digest(" ".join(words).lower().encode()))
-            place = np.array(spans, dtype=np.int64).reshape(-1, 4)
+                for start, end, w0, w1, norm in text_units(body or "", min_words, runs):
+                    docs.append(doc)
+                    tags.append(tag)
+                    spans.append((start, end, w0, w1))
+                    keys.append(xxhash.xxh3_128_digest(norm.encode()))
+            place = np.array(spans, dtype=np.int32).reshape(-1, 4)
             key = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
             columns = [pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), *(pa.array(c) for c in (*place.T, *key.T))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "start", "end", "w0", "w1", "h1", "h2"])
 
     read = df.select(any_id(row_id).alias("doc"), F.col(text).alias("body"), F.xxhash64(text).alias("tag"))
-    return read.mapInArrow(digests, "doc long, tag long, start long, end long, w0 long, w1 long, h1 long, h2 long")
+    return read.mapInArrow(digests, "doc long, tag long, start int, end int, w0 int, w1 int, h1 long, h2 long")
 
 
 def repeated_units(
@@ -120,7 +131,8 @@ def repeated_units(
     ``run_start`` and ``run_words`` tell the run of units without a word between them that the unit is part of; units of
     runs of fewer than ``run_words`` words are not returned.
     """
-    units = cut(unit_digests(df, row_id, text, min_words, runs))
+    # digests are made twice: that costs less than to write them
+    units = unit_digests(df, row_id, text, min_words, runs)
     groups = units.groupBy("h1", "h2").agg(
         F.count("*").alias("n"),
         F.min(F.struct(*[F.col(c).alias(f"first_{c}") for c in ("doc", "tag", "start", "end")])).alias("f"),

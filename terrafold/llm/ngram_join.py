@@ -44,8 +44,10 @@ PAIR_COST = 20.0
 #: Bound of the rows that a broadcast of id buckets can have.
 ID_BUCKETS = 1 << 20
 #: Sets looked at for elements of very many sets, and how many of them must hold one.
-SAMPLE_SETS = 1 << 14
-SAMPLE_HITS = 16
+SAMPLE_SETS = 1 << 12
+SAMPLE_HITS = 8
+#: More common elements than a set can have.
+_MOST = 1 << 24
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -335,36 +337,41 @@ def rare_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int, c
         """The common elements among the first of the order."""
         rest, held = split(s)
         length = len(s) + (-len(s) * percent) // 100 + 1
-        return common[held[: max(0, length - len(rest))]]
+        return common[held[: max(0, length - len(rest))]].view(np.uint64)
 
     def counted(s: np.ndarray) -> np.ndarray:
-        """The elements that are not common, and how many are."""
+        """The elements that are not common, as numbers from 0 on, and a negative number that tells how many are common."""
         rest, held = split(s)
-        return np.append(rest, np.uint64(len(held)))
+        rest = np.unique(rest >> np.uint64(1)).view(np.int64)
+        if not len(held):
+            return rest
+        own = int(np.sum(kernels.mix(s), dtype=np.uint64) >> np.uint64(25))  # spreads these numbers over all tasks
+        return np.append(rest, np.int64(-(own * _MOST + len(held))))
 
     shared = cut(classes.groupBy("d1").agg(F.count("*").alias("k")).filter("k > 1").select("d1"))
-    flat = set_arrays(df, row_id, text, counted, "s", ngram).select("d1", F.size("s").alias("size"), F.posexplode("s").alias("at", "v"))
-    last = F.col("at") == F.col("size") - 1
-    flat = flat.filter(~last | (F.col("v") > 0))
-    flat = flat.select("d1", F.when(last, F.xxhash64("d1")).otherwise(F.col("v")).alias("key"), F.when(last, F.col("v").cast("int")).otherwise(0).alias("held"))
-    flat = flat.repartition("key").groupBy("key", "d1", "held").agg(F.count("*").alias("c"))
+    flat = set_arrays(df, row_id, text, counted, "s", ngram).select("d1", F.explode("s").alias("key"))
+    flat = flat.repartition("key").groupBy("key", "d1").agg(F.count("*").alias("c"))
     of_key = Window.partitionBy("key")
-    flat = flat.withColumns({"c": F.sum("c").over(of_key), "k": F.count("*").over(of_key)}).filter("k > 1 OR held > 0")
+    flat = flat.withColumns({"c": F.sum("c").over(of_key), "k": F.count("*").over(of_key)}).filter("k > 1 OR key < 0")
+    flat = flat.withColumn("held", F.when(F.col("key") < 0, (-F.col("key") % _MOST).cast("int")).otherwise(0))
     element = F.when(F.col("held") == 0, F.struct("c", "key"))
     known = flat.groupBy("d1").agg(F.array_sort(F.collect_list(element)).alias("known"), F.max("held").alias("held"))
-    known = cut(known.join(classes.select("d1", "n", F.col("rep").alias("doc"), "rep_tag"), "d1").join(shared, "d1", "left_anti"))
+    known = known.join(classes.select("d1", "n", F.col("rep").alias("doc"), "rep_tag"), "d1").join(shared, "d1", "left_anti")
     # of n - held elements that are not common, those of one class are n - held - size(known)
     reach = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
     length = F.size("known") + F.col("held") + reach - F.col("n")
     first = F.slice("known", 1, F.greatest(length.cast("int"), F.lit(0)))
-    out = known.select("doc", F.explode(first["key"]).alias("key"))
+    crowded = (F.col("held") > 0) & (reach > F.col("n") - F.col("held"))
+    known = known.select("doc", F.col("rep_tag").alias("tag"), first["key"].alias("keys"), crowded.alias("crowded"))
+    known = cut(known.filter("crowded OR size(keys) > 0"))
+    out = known.select("doc", F.explode("keys").alias("key"))
     # sets of hardly anything but common elements, and classes that share half of their digest
-    crowded = known.filter((F.col("held") > 0) & (reach > F.col("n") - F.col("held"))).select("doc", F.col("rep_tag").alias("tag"))
+    crowded = known.filter("crowded").select("doc", "tag")
     alike = classes.join(shared, "d1", "left_semi").select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag"))
-    for some, make in ((crowded, first_common), (alike, lambda s: s)):
+    for some, make in ((crowded, lambda s: first_common(s) >> np.uint64(1)), (alike, lambda s: s >> np.uint64(1))):
         more = set_arrays(texts_of(df, row_id, text, some), "__doc", "__text", make, "s", ngram)
         out = out.unionByName(more.select("doc", F.explode("s").alias("key")))
-    return cut(out.distinct()).withColumn("whole", F.lit(True))
+    return cut(out).withColumn("whole", F.lit(True))
 
 
 def jaccard_classes(

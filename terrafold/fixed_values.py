@@ -364,6 +364,10 @@ CONFIDENCE_TEXTS = {
 # Changed shares of an area above which a change is called so, the largest first.
 FRACTION_BANDS = [(0.3, "Significant"), (0.1, "Moderate"), (0.01, "Minor")]
 
+# The sentences told of them, with the word, the share and the threshold; and that of smaller shares.
+FRACTION_TEXT = "{word} change detected: {share} of area shows NDVI shift > {threshold}"
+FRACTION_NONE = "Negligible change detected"
+
 # Words in the name of a training file and the task they mean, the first one that is there.
 TASK_FILE_WORDS = [
     ("caption", "caption"),

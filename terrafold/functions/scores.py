@@ -171,9 +171,9 @@ def change_from_fraction(fraction: Column, threshold: float) -> Column:
     share = fixed(fraction.cast("double") * 100.0, 1, "%.1f%%")
     out = F.when(fraction.isNull(), F.lit(None).cast("string"))
     for least, word in fv.FRACTION_BANDS:
-        text = F.concat(F.lit(f"{word} change detected: "), share, F.lit(f" of area shows NDVI shift > {threshold}"))
-        out = out.when(fraction > least, text)
-    return out.otherwise(F.lit("Negligible change detected"))
+        before, after = fv.FRACTION_TEXT.format(word=word, share="\n", threshold=threshold).split("\n")
+        out = out.when(fraction > least, F.concat(F.lit(before), share, F.lit(after)))
+    return out.otherwise(F.lit(fv.FRACTION_NONE))
 
 
 def _trend(mean: Column, what: str, unit: str) -> Column:

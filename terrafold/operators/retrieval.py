@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scores, text as tx, vectors
@@ -37,44 +40,77 @@ def two_stage_topk(
 
 # ---- vector search ---------------------------------------------------------
 
-CHUNK_ROWS = 2048  # corpus rows multiplied at a time inside a task
+#: Rows multiplied at a time inside a task, and queries.
+CHUNK_ROWS, CHUNK_QUERIES = 2048, 1024
+#: Bytes of the vectors that one task holds of either side, and tiles that a smaller corpus is cut into.
+TILE_BYTES, TILES = 1 << 24, 16
 
 
-def _keep_best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise best ``k`` (score descending, id ascending) of a score matrix and its id matrix."""
-    width = sims.shape[1]
-    if width > k:
-        # everything at or above the k-th largest score, so ties at the edge are settled by id
-        edge = np.partition(sims, width - k, axis=1)[:, width - k]
-        rows, cols = np.nonzero(sims >= edge[:, None])
-    else:
-        rows, cols = np.indices(sims.shape).reshape(2, -1)
-    scores_, names = sims[rows, cols], ids[rows, cols]
-    order = np.lexsort((names, -scores_, rows))
-    rows, scores_, names = rows[order], scores_[order], names[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    chosen = place < k
-    shape = (sims.shape[0], min(k, width))
-    return scores_[chosen].reshape(shape), names[chosen].reshape(shape)
-
-
-def _search_block(items: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best ``k`` items of a group for every query of a block; the state is queries × k."""
-    if not len(items) or not len(block):
-        return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-    qid, qvec = block["query_id"].to_numpy(), np.stack(block["v"].to_numpy())
-    best = None
-    for at in range(0, len(items), CHUNK_ROWS):
-        part = items.iloc[at : at + CHUNK_ROWS]
-        # rounded so that equal vectors tie whatever their place in the product
-        sims = np.round(qvec @ np.stack(part["v"].to_numpy()).T, 12)
-        ids = np.broadcast_to(part["item_id"].to_numpy(), sims.shape)
-        found = _keep_best(sims, ids, k)
-        if best is not None:
-            found = _keep_best(np.hstack([best[0], found[0]]), np.hstack([best[1], found[1]]), k)
-        best = found
-    width = best[0].shape[1]
-    return pd.DataFrame({"query_id": np.repeat(qid, width), "item_id": best[1].ravel(), "score": best[0].ravel()})
+def _keep_best(rows: np.ndarray, places: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of every row (score descending, place ascending), in order of the rows."""
+    order = np.lexsort((places, -found, rows))
+    rows, places, found = rows[order], places[order], found[order]
+    chosen = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[chosen], places[chosen], found[chosen]
+
+
+def _matrix(lists: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return pa.concat_arrays([c.flatten() for c in lists.chunks]).to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _products(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of unit vectors, rounded so that equal vectors tie."""
+    parts = [np.einsum("ij,ij->i", left[i[at : at + 65536]], right[j[at : at + 65536]]) for at in range(0, len(i), 65536)]
+    return np.round(np.concatenate([np.empty(0), *parts]), 12)
+
+
+def _search_tile(items: pa.Table, block: pa.Table, k: int, max_queries: int, max_rows: int) -> pa.Table:
+    """Best ``k`` items of a tile for every query of a block, of those in the groups it visits and not below its bound.
+
+    Products in single precision leave out what is below the bound by more than they can be wrong; the rest is multiplied exactly.
+    """
+    names = ["query_id", "item_id", "score"]
+    if not items.num_rows or not block.num_rows:
+        return pa.table([block["query_id"].slice(0, 0), items["item_id"].slice(0, 0), pa.array([], pa.float64())], names=names)
+    dim = items["dim"][0].as_py()
+    slack = (dim + 8) * 1.2e-7 + 1e-6
+    by_id = pc.sort_indices(items["item_id"], null_placement="at_start").to_numpy()
+    place = np.empty(len(by_id), dtype=np.int64)
+    place[by_id] = np.arange(len(by_id))
+    vectors_, asked = _matrix(items["v"], dim), _matrix(block["v"], dim)
+    pivot = items["pivot"].to_numpy()
+    by_pivot = np.argsort(pivot, kind="stable")
+    groups, edges = np.unique(pivot[by_pivot], return_index=True)
+    segments = np.split(by_pivot, edges[1:])
+    lists = block["pivots"].combine_chunks()
+    owner, wanted = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    visitors = [owner[wanted == g] for g in groups]
+    bound = block["bound"].to_numpy().copy()
+    short, short_asked = vectors_.astype(np.float32), asked.astype(np.float32)
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for at in range(0, len(asked), max_queries):
+        best = out[0]
+        for segment, all_visitors in zip(segments, visitors):
+            q = all_visitors[slice(*np.searchsorted(all_visitors, [at, at + max_queries]))]
+            for start in range(0, len(segment) if len(q) else 0, max_rows):
+                part = segment[start : start + max_rows]
+                near = short_asked[q] @ short[part].T
+                if len(part) >= k and bound[q].min() <= -1.0:
+                    # k rows are at least as near as the k-th of these, less what a product is wrong by
+                    bound[q] = np.maximum(bound[q], np.partition(near, len(part) - k, axis=1)[:, len(part) - k] - slack)
+                i, j = np.nonzero(near >= (bound[q] - slack).astype(np.float32)[:, None])
+                score = _products(asked, vectors_, q[i], part[j])
+                kept = score >= bound[q[i]]
+                best = tuple(np.concatenate(x) for x in zip(best, (q[i][kept], place[part[j][kept]], score[kept])))
+                if len(best[0]) > 2 * k * max_queries:
+                    best = _keep_best(*best, k)
+                    row, first = np.unique(best[0], return_index=True)
+                    full = np.diff(np.append(first, len(best[0]))) == k
+                    last = first[full] + k - 1
+                    bound[row[full]] = np.maximum(bound[row[full]], best[2][last])
+        out.append(_keep_best(*best, k))
+    rows, places, found = (np.concatenate(x) for x in zip(*out))
+    return pa.table([block["query_id"].take(pa.array(rows)), items["item_id"].take(pa.array(by_id[places])), pa.array(found)], names=names)
 
 
 def usable_vector(vector: Column) -> Column:
@@ -148,11 +184,34 @@ class Pivots:
         return reach(v, bound)
 
 
+def _tiles(sizes: dict[tuple[int, int], int]) -> dict[tuple[int, int], tuple[int, int]]:
+    """First tile of every group, and how many it is cut into. Small groups of one dimension share a tile of about the rows one task takes."""
+    out, tile, held, last = {}, -1, 0, None
+    for (dim, pivot), n in sorted(sizes.items()):
+        total = sum(m for (d, _), m in sizes.items() if d == dim)
+        most = max(1, min(TILE_BYTES // (8 * max(dim, 1)), max(1024, -(-total // TILES))))
+        parts = -(-n // most)
+        if parts > 1 or dim != last or held + n > most:
+            tile, held = tile + 1, 0
+        out[dim, pivot] = (tile, parts)
+        tile += parts - 1
+        held, last = held + n if parts == 1 else most, dim
+    return out
+
+
+class Plan(NamedTuple):
+    """What an exact search needs: the corpus as ``item_id, v, dim, pivot, tile`` and the queries as ``query_id, v, dim, bound, pivots``, the groups they visit."""
+
+    items: DataFrame
+    visits: DataFrame
+    tiles: dict[tuple[int, int], tuple[int, int]]
+
+
 def knn_plan(
     queries: DataFrame, corpus: DataFrame, k: int, max_block: int = 4096, rows_per_group: int = 100_000,
     query_key: str = "query_id", item_key: str = "item_id", vector: str = "vector",
-) -> tuple[DataFrame, DataFrame]:
-    """The corpus as ``item_id, v, dim, pivot, part`` and the visits ``query_id, v, dim, pivot, part`` that an exact search needs."""
+) -> Plan:
+    """Groups of the corpus, their tiles, and the groups that every query visits."""
     unit_q, unit_c = _unit_vectors(queries, query_key, "query_id", vector), _unit_vectors(corpus, item_key, "item_id", vector)
     place = F.pmod(F.xxhash64("item_id"), F.lit(2**32))
     total = unit_c.count()
@@ -161,38 +220,55 @@ def knn_plan(
     near = unit_c.withColumn("__p", pivots.nearest(F.col("v"))).select("item_id", "v", "dim", "__p.pivot", "__p.angle")
     near = materialize(near)
     # one row per pivot, and one per dimension without pivots
-    groups = near.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-    groups = groups.withColumn("parts", F.ceil(F.col("n") / rows_per_group).cast("int"))
-    groups = materialize(groups)
-    radii = {(r["dim"], r["pivot"]): r["radius"] for r in groups.collect()}
-    parts = groups.select("dim", "pivot", "parts")
-    items = near.drop("angle").join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")).drop("parts")
-    # a first bound of the k-th score from one part of the nearest group
+    groups = near.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
+    radii = {(r["dim"], r["pivot"]): r["radius"] for r in groups}
+    tiles = _tiles({(r["dim"], r["pivot"]): r["n"] for r in groups})
+    part = F.pmod(F.xxhash64("item_id"), _of_group(tiles, 1))
+    items = near.drop("angle").withColumn("tile", (_of_group(tiles, 0) + part).cast("int"))
+    # a first bound of the k-th score from one tile of the nearest group
     unit_q = materialize(unit_q.withColumn("__p", pivots.nearest(F.col("v"))).select("query_id", "v", "dim", "__p.pivot"))
-    first = unit_q.withColumn("part", F.lit(0))
-    seen = _met(items, first, k, max_block, corpus.schema[item_key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString())
+    first = unit_q.withColumns({"bound": F.lit(-1.0), "pivots": F.array("pivot"), "tiles": F.array(_of_group(tiles, 0))})
+    types = [df.schema[key].dataType.simpleString() for df, key in ((corpus, item_key), (queries, query_key))]
+    seen = _met(items, first.filter(F.get("tiles", F.lit(0)).isNotNull()), k, max_block, rows_per_group, *types)
     bound = topk_per_query(seen, k, item="item_id").filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    asked = unit_q.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
-    visits = asked.select("query_id", "v", "dim", F.explode(pivots.reachable(F.col("v"), F.col("bound"), radii)).alias("pivot"))
-    visits = visits.join(parts, ["dim", "pivot"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return items, visits
-
-
-def _met(items: DataFrame, visits: DataFrame, k: int, max_block: int, item_type: str, query_type: str) -> DataFrame:
-    """Best ``k`` of every visited group: ``query_id, item_id, score``. The visits of a group are cut into blocks of about ``max_block``."""
-    place = ["dim", "pivot", "part"]
-    blocks = visits.groupBy(*place).agg(F.ceil(F.count("*") / max_block).cast("int").alias("blocks"))
-    asked = visits.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
-    offered = items.join(blocks, place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    keys = [*place, "block"]
+    asked = unit_q.drop("pivot").join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
+    return Plan(items, asked.withColumn("pivots", pivots.reachable(F.col("v"), F.col("bound"), radii)), tiles)
+
+
+def _of_group(tiles: dict[tuple[int, int], tuple[int, int]], at: int) -> Column:
+    """First tile (0) or number of tiles (1) of the group ``dim, pivot``; null for a group without rows."""
+    table = [F.lit(x) for (dim, pivot), found in tiles.items() for x in (f"{dim} {pivot}", found[at])]
+    return F.try_element_at(F.create_map(*table), F.concat_ws(" ", "dim", "pivot")) if table else F.lit(None).cast("int")
+
+
+def _visited_tiles(tiles: dict[tuple[int, int], tuple[int, int]]) -> Column:
+    """Every tile with rows of the groups ``pivots``, once."""
+
+    @F.pandas_udf("array<int>")
+    def visited(dims: pd.Series, lists: pd.Series) -> pd.Series:
+        spans = [[tiles[dim, p] for p in found if (dim, p) in tiles] for dim, found in zip(dims.tolist(), lists)]
+        return pd.Series([np.unique([t for first, n in some for t in range(first, first + n)]).astype(np.int32) for some in spans], dtype=object)
+
+    return visited(F.col("dim"), F.col("pivots"))
+
+
+def _met(items: DataFrame, asked: DataFrame, k: int, max_block: int, rows_per_group: int, item_type: str, query_type: str) -> DataFrame:
+    """Best ``k`` of every visited tile: ``query_id, item_id, score``. The queries of a tile are cut into blocks of bounded bytes."""
+    asked = asked.select("query_id", "v", "dim", "bound", "pivots", F.explode("tiles").alias("tile"))
+    most = F.greatest(F.lit(TILE_BYTES) / (8 * F.max("dim")), F.lit(1))
+    blocks = F.broadcast(materialize(asked.groupBy("tile").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))))
+    asked = asked.join(blocks, "tile").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    offered = items.join(blocks, "tile").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    keys = ["tile", "block"]
+    sizes = max(1, min(max_block, CHUNK_QUERIES)), max(1, min(rows_per_group, CHUNK_ROWS))
     schema = f"query_id {query_type}, item_id {item_type}, score double"
-    return offered.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(lambda a, b: _search_block(a, b, k), schema)
+    return offered.groupBy(keys).cogroup(asked.groupBy(keys)).applyInArrow(lambda a, b: _search_tile(a, b, k, *sizes), schema)
 
 
-def visited_share(items: DataFrame, visits: DataFrame) -> float:
+def visited_share(items: DataFrame, visits: DataFrame, tiles: dict | None = None) -> float:
     """Of all pairs of a query and a corpus vector of its dimension, the share that the visits meet."""
-    sizes = items.groupBy("dim", "pivot", "part").agg(F.count("*").alias("n"))
-    met = visits.join(sizes, ["dim", "pivot", "part"]).agg(F.sum("n")).first()[0] or 0
+    sizes = items.groupBy("dim", "pivot").agg(F.count("*").alias("n"))
+    met = visits.select("dim", F.explode("pivots").alias("pivot")).join(sizes, ["dim", "pivot"]).agg(F.sum("n")).first()[0] or 0
     every = visits.select("query_id", "dim").distinct().join(items.groupBy("dim").agg(F.count("*").alias("n")), "dim").agg(F.sum("n")).first()[0]
     return met / every if every else 0.0
 
@@ -209,15 +285,17 @@ def knn_cosine(
 ) -> DataFrame:
     """Exact top ``k`` corpus items per query by cosine: ``query_id, item_id, score, rank``.
 
-    Corpus vectors gather around about ``PIVOTS`` of their own, large groups in parts of about ``rows_per_group``. A
-    query first searches a part of the nearest group for a bound of its k-th score, and then only the groups that
-    the angles allow to reach it. Blocks of about ``max_block`` queries meet a part in one task, which
-    passes on only its best ``k`` per query; no full pair list is written and nothing but pivots, group radii and counts
+    Corpus vectors gather around about ``PIVOTS`` of their own. A query first searches the nearest group for a bound of its
+    k-th score, and then only the groups that the angles allow to reach it. Groups share tiles of bounded bytes, large ones are cut
+    into several, and a query travels once per tile, with its bound and the groups it visits. A task holds one tile and a block of
+    queries, multiplies at most ``max_block`` queries with ``rows_per_group`` rows at a time, and passes on only the best ``k``
+    per query; no full pair list is written and nothing but pivots, group radii and counts
     comes to the driver. Vectors without a direction are left out (``usable_vector``).
     """
-    items, visits = knn_plan(queries, corpus, k, max_block, rows_per_group, query_key, item_key, vector)
+    items, visits, tiles = knn_plan(queries, corpus, k, max_block, rows_per_group, query_key, item_key, vector)
     types = [df.schema[key].dataType.simpleString() for df, key in ((corpus, item_key), (queries, query_key))]
-    return topk_per_query(_met(items, materialize(visits), k, max_block, *types), k, item="item_id")
+    asked = materialize(visits.withColumn("tiles", _visited_tiles(tiles)))
+    return topk_per_query(_met(items, asked, k, max_block, rows_per_group, *types), k, item="item_id")
 
 
 # ---- semantic ranking ------------------------------------------------------

@@ -264,6 +264,25 @@ def test_knn_by_pivots_is_exact(spark, spread):
     assert share < 0.5 if spread < 1 else share <= 1
 
 
+def test_knn_queries_travel_once_per_tile(spark, monkeypatch):
+    """Small groups share tiles, large ones are cut, and neither parameter multiplies what is shuffled."""
+    assert rt._tiles({(4, 0): 300, (4, 1): 300, (4, 2): 900, (5, 0): 10}) == {(4, 0): (0, 1), (4, 1): (0, 1), (4, 2): (1, 1), (5, 0): (2, 1)}
+    monkeypatch.setattr(rt, "TILE_BYTES", 3200)
+    assert rt._tiles({(4, 0): 250, (4, 1): 60, (4, 2): 60}) == {(4, 0): (0, 3), (4, 1): (3, 1), (4, 2): (4, 1)}
+    rng = np.random.default_rng(9)
+    vectors = np.round(rng.normal(size=(300, 4)), 1)
+    vectors[:130] = vectors[0]  # a group of more than a tile
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_id int, vector array<double>")
+    queries = items.withColumnRenamed("item_id", "query_id")
+    items_, visits, tiles = rt.knn_plan(queries, items, 3, max_block=4, rows_per_group=9)
+    assert visits.count() == 300 and items_.select("tile").distinct().count() <= 20
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, 9)
+    want = {(q, i, r) for q in range(300) for r, i in enumerate(np.lexsort((np.arange(300), -scores[q]))[:3].tolist(), 1)}
+    got = rt.knn_cosine(queries, items, 3, max_block=4, rows_per_group=9).collect()
+    assert {(r.query_id, r.item_id, r["rank"]) for r in got} == want
+
+
 def test_hot_day_in_interval_join(spark):
     from datetime import datetime
 

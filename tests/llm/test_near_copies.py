@@ -95,3 +95,13 @@ def test_common_elements_and_shared_digest_halves(spark, monkeypatch, hits, bits
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = ngram_join.jaccard_classes(df, n=5, percent=80, rare=True).select("doc", "n", "component").collect()
     assert Counter(map(tuple, got)) == brute_least(rows, 5, 80)
+
+
+def test_stage_runs_the_method_of_op6(spark, monkeypatch):
+    """Near copies of the pipeline meet by segments of their sets, not by rare elements."""
+    ran, segments = [], ngram_join.segment_keys
+    monkeypatch.setattr(ngram_join, "rare_keys", None)
+    monkeypatch.setattr(ngram_join, "segment_keys", lambda *a: ran.append(a[3:5]) or segments(*a))
+    rows = edited_rows()[:60]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert ran == [(5, 80)] and {r["doc_id"] for r in got} == {c for _, _, c in brute_least(rows, 5, 80)}

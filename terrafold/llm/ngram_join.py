@@ -10,7 +10,10 @@ where ``k0 + 2 k1 = H + 1``. By the pigeonhole principle, linked sets agree on a
 Fewer segments are larger and thus more selective, but deletions are more rows.
 ``allocate`` picks the cheapest ``k1`` of each band from the number of its classes.
 
-Lower thresholds leave many segments empty by chance, and those all meet. ``rare`` takes
+Lower thresholds leave many segments empty by chance, and those all meet, or take many
+deletions. With ``spare``, schemes may cut the universe into more than ``H + 1`` segments, all compared whole,
+and a set gives only its ``H + 1`` first in one order of all contents, the larger first: at most ``H`` segments of a
+set are not those of a linked one, so the first segment that both have is among these. ``rare`` takes
 other keys: in one order of all elements, rare ones first, linked sets share one of the
 first ``n - ceil(n percent / 100) + 1`` of both. An element of one class alone is no key.
 
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernels
 from .common import any_id, cut, short_batches
@@ -41,6 +44,8 @@ NGRAM = 3
 PERCENT = 90
 #: Cost of one candidate pair, in rows of keys.
 PAIR_COST = 20.0
+#: Segments of a scheme with spare ones, in what it needs.
+SPARE = (1.25, 1.4, 1.6)
 #: Bound of the rows that a broadcast of id buckets can have.
 ID_BUCKETS = 1 << 20
 #: Sets looked at for elements of very many sets, and how many of them must hold one.
@@ -97,11 +102,11 @@ class Bands:
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.low, size, side="right")) - 1
 
-    def allocate(self, classes: list[int]) -> list[tuple[int, int]]:
+    def allocate(self, classes: list[int], spare: bool = False) -> list[tuple[int, int]]:
         """``(k0, k1)`` of each band's scheme for so many classes in the band.
 
         Cost: rows of keys, and pairs of sets whose segment is empty by chance, which all meet.
-        A scheme that allows no difference needs no keys: its links are classes.
+        A scheme that allows no difference needs no keys: its links are classes. With ``spare``, ``k0`` may be over ``H + 1``.
         """
         out = []
         for low, h, n in zip(self.low, self.h, classes):
@@ -112,6 +117,13 @@ class Bands:
                 empty = math.exp(-size)
                 met = k0 * empty**2 + k1 * (empty * (1 + size)) ** 2
                 best = min(best, (n * (k0 + k1 * (1 + size)) + PAIR_COST * met * n * n / 2, k0, k1))
+            for share in SPARE if h and spare else ():
+                k0 = math.ceil((h + 1) * share)
+                empty = math.exp(-low / k0)
+                # a set gives an empty segment only where fewer than h + 1 are not empty
+                apart = (k0 * (1 - empty) - h - 0.5) / math.sqrt(k0 * empty * (1 - empty))
+                met = k0 * (empty * math.erfc(apart / math.sqrt(2)) / 2) ** 2
+                best = min(best, (n * (h + 1) + PAIR_COST * met * n * n / 2, k0, 0))
             out.append(best[1:])
         return out
 
@@ -136,7 +148,10 @@ def keys_of(s: np.ndarray, bands: Bands, plan: list[tuple[int, int]]) -> np.ndar
         edges = np.searchsorted(segment[order], np.arange(k0 + k1 + 1))
         whole = sums[edges[1:]] - sums[edges[:-1]]
         place = kernels.mix(np.arange(k0 + k1, dtype=np.uint64) + kernels.mix(np.array([tag], dtype=np.uint64)))
-        out.append(kernels.mix(whole + place) & ~np.uint64(1))
+        keys = kernels.mix(whole + place) & ~np.uint64(1)
+        if k0 > bands.h[scheme] + 1:  # spare segments: the first in one order of all contents, the larger first
+            keys = keys[np.lexsort((keys, np.diff(edges)))[-bands.h[scheme] - 1 :]]
+        out.append(keys)
         deleted = segment >= k0
         if deleted.any():
             out.append(kernels.mix(whole[segment[deleted]] - content[deleted] + place[segment[deleted]]) | np.uint64(1))
@@ -158,13 +173,21 @@ def set_digests(df: DataFrame, row_id: str, text: str, ngram: int = NGRAM) -> Da
     return rows.mapInArrow(read, "doc long, tag long, n long, d1 long, d2 long")
 
 
-def set_arrays(df: DataFrame, row_id: str, text: str, make, name: str, ngram: int = NGRAM) -> DataFrame:
-    """``doc, d1, d2`` and ``make(set)`` as an array of longs, of every row with a set."""
+def set_arrays(df: DataFrame, row_id: str, text: str, make, name: str, ngram: int = NGRAM, once: bool = False) -> DataFrame:
+    """``doc, d1, d2`` and ``make(set)`` as an array of longs, of every row with a set.
+
+    With ``once``, later rows of a partition with an equal set have an empty array.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], ngram)
             d = np.array([digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+            if once:
+                for i, key in enumerate(map(tuple, d.tolist())):
+                    sets[i] = sets[i][:0] if key in seen else sets[i]
+                    seen.add(key)
             made = [make(s).astype(np.int64) for s in sets]
             starts = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.empty(0, np.int64), *made])))
@@ -246,8 +269,8 @@ def links_across(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     their pivot meet the others of that pivot, in blocks.
     """
     lab = labels.select(F.col("node").alias("__n"), "component")
-    near = near.join(lab, F.col("doc") == F.col("__n"), "left").withColumn("component", F.coalesce("component", "doc")).drop("__n")
-    open_ = near.groupBy("pivot").agg(
+    labelled = near.join(lab, F.col("doc") == F.col("__n"), "left").withColumn("component", F.coalesce("component", "doc")).drop("__n")
+    open_ = labelled.groupBy("pivot").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"),
         F.count(F.when(~F.col("is_linked"), 1)).alias("loose"),
     ).filter("lo <> hi AND loose > 0")
@@ -264,21 +287,49 @@ def links_across(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.applyInArrow(lambda a, b: links_of_block(a, b, percent), "a long, b long").filter("a <> b")
 
 
-def segment_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int, classes: DataFrame) -> DataFrame:
-    """``doc, key, whole`` of the representatives by the segments of their sets."""
+def segment_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int, classes: DataFrame, spare: bool = False) -> DataFrame:
+    """``doc, key, whole`` of the representatives by the segments of their sets.
+
+    With ``spare`` no key is written here, keys have 48 bits, ``doc`` is 40 bits of the digest of the class, and rows may repeat.
+    """
     largest = classes.agg(F.max("n")).first()[0] or 1
     bands = Bands(int(largest), percent)
     # one row per band: sizes grow by a ninth from band to band
     edges = F.array(*[F.lit(x) for x in bands.low])
     band = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
     held = {r["band"]: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
-    plan = bands.allocate([held.get(i, 0) for i in range(len(bands.low))])
-
-    keyed = set_arrays(df, row_id, text, lambda s: keys_of(s, bands, plan), "keys", ngram).filter(F.size("keys") > 0)
-    reps = classes.select("d1", "d2", F.col("rep").alias("doc"))
-    keyed = cut(keyed.join(reps, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["doc", "d1", "d2"]).select("doc", "keys"))
+    plan = bands.allocate([held.get(i, 0) for i in range(len(bands.low))], spare)
+
+    keyed = set_arrays(df, row_id, text, lambda s: keys_of(s, bands, plan), "keys", ngram, spare).filter(F.size("keys") > 0)
+    if spare:
+        keyed = keyed.select(class_bits("d1").alias("doc"), "keys")
+    else:
+        reps = classes.select("d1", "d2", F.col("rep").alias("doc"))
+        keyed = cut(keyed.join(reps, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["doc", "d1", "d2"]).select("doc", "keys"))
     flat = keyed.select("doc", F.explode("keys").alias("k"))
-    return flat.select("doc", F.shiftrightunsigned("k", 1).alias("key"), (F.col("k") % 2 == 0).alias("whole"))
+    return flat.select("doc", F.shiftrightunsigned("k", 16 if spare else 1).alias("key"), (F.col("k") % 2 == 0).alias("whole"))
+
+
+def class_bits(d1: str) -> Column:
+    """40 bits of a digest."""
+    return F.shiftrightunsigned(d1, 24)
+
+
+def class_pairs(flat: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc, pivot`` of the representatives that share a key, from keys of classes (``segment_keys`` with ``spare``).
+
+    Keys travel once. A class gives a key once per partition, so a key has as many rows as classes that share it, which only
+    near copies do in great number, and at most one for each partition more. Keys and classes travel in few bits: those
+    that are equal by chance give more pairs, never fewer, as classes of equal bits meet whatever their keys are.
+    """
+    order = Window.partitionBy("key").orderBy(F.desc("whole"), "doc")
+    pivot = F.first(F.when(F.col("whole"), F.col("doc"))).over(order)
+    pairs = flat.withColumn("pivot", pivot).filter("doc <> pivot").select("doc", "pivot").distinct()
+    named = lambda c: classes.select(class_bits("d1").alias(c), F.col("rep").alias(f"{c}_rep"))
+    alike = named("doc").join(named("pivot"), F.col("doc") == F.col("pivot")).filter("doc_rep > pivot_rep")
+    pairs = pairs.join(named("doc"), "doc").join(named("pivot"), "pivot").filter("doc_rep <> pivot_rep")
+    reps = ("doc_rep", "pivot_rep")
+    return pairs.select(*reps).union(alike.select(*reps)).toDF("doc", "pivot").distinct()
 
 
 def texts_of(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -375,15 +426,16 @@ def rare_keys(df: DataFrame, row_id: str, text: str, ngram: int, percent: int, c
 
 
 def jaccard_classes(
-    df: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = NGRAM, rare: bool = False
-) -> DataFrame:
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = NGRAM, rare: bool = False,
+    spare: bool = False,
+) -> DataFrame:
     """One row per row of ``df``: ``doc, tag, n, component``; ``tag`` is the hash of the text.
 
     ``n`` is the number of distinct shingles of ``n`` words, ``component`` the least document that
     links reach. Null, empty and white texts have no set and reach nothing but themselves.
     Null ids are one document below all others. Rows that share an id but not a text are
-    linked as their texts are. Other columns are not read. ``rare`` only changes the cost: keys
-    are rare elements, for thresholds under about 90, and not segments.
+    linked as their texts are. Other columns are not read. ``rare`` and ``spare`` only change the cost, for thresholds
+    under about 90: keys are rare elements and not segments, or segments of schemes with spare ones.
     """
     short_batches(df.sparkSession)
     rows = cut(set_digests(df, row_id, text, n))
@@ -391,10 +443,13 @@ def jaccard_classes(
     classes = with_set.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag")).alias("r"), F.first("n").alias("n"))
     classes = classes.select("d1", "d2", "n", F.col("r.doc").alias("rep"), F.col("r.tag").alias("rep_tag"))
     classes = cut(classes)
-    flat = (rare_keys if rare else segment_keys)(df, row_id, text, n, percent, classes)
-    shared = flat.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("whole"), F.col("doc"))).alias("pivot"))
-    shared = cut(shared.filter("c > 1 AND pivot IS NOT NULL").select("key", "pivot"))
-    pairs = cut(flat.join(shared, "key").filter("doc <> pivot").select("doc", "pivot").distinct())
+    if spare and not rare:
+        pairs = cut(class_pairs(segment_keys(df, row_id, text, n, percent, classes, True), classes))
+    else:
+        flat = (rare_keys if rare else segment_keys)(df, row_id, text, n, percent, classes)
+        shared = flat.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("whole"), F.col("doc"))).alias("pivot"))
+        shared = cut(shared.filter("c > 1 AND pivot IS NOT NULL").select("key", "pivot"))
+        pairs = cut(flat.join(shared, "key").filter("doc <> pivot").select("doc", "pivot").distinct())
     involved = pairs.select("doc").union(pairs.select("pivot")).distinct()
     involved = involved.join(classes.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag")), "doc")
     texts = texts_of(df, row_id, text, involved)

@@ -67,7 +67,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    gone = substring_dedup.repeated_units(documents(spark, folder), runs=True, run_words=substring_dedup.RUN_WORDS)
+    gone = substring_dedup.repeated_units(documents(spark, folder), runs=True, run_words=substring_dedup.RUN_WORDS, ends=True)
     return gone.select(
         real_id("doc").alias("doc_id"), "start", "end", real_id("first_doc").alias("first_doc_id"), "first_start", "run_start", "run_words"
     )

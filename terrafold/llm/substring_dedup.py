@@ -13,7 +13,9 @@ are units as well. So a repeated run of whole units of that many words goes enti
 whatever surrounds it.
 
 With ``run_words``, units that repeat one by one in otherwise different texts stay: what goes, joined over units
-that overlap or follow one another, must have that many words.
+that overlap or follow one another, must have that many words. A repeated passage seldom begins and ends with units;
+with ``ends``, words that it may have in the units before and after are counted too, so whatever whole units lie in
+a repeated passage of ``run_words`` words go.
 
 A document is an id with a text: texts that share an id (null ids too) are different documents, and
 repeats of a row are the same one. Only digests are shuffled. Groups are counted on the map side first; the side of
@@ -56,8 +58,9 @@ def unit_spans(text: str) -> Iterator[tuple[int, int]]:
             yield at, end
 
 
-def text_units(text: str, min_words: int, runs: bool) -> list[tuple[int, int, int, int, str]]:
-    """Start, end, place of the first word and of the one after the last, and normalised words of every unit long enough.
+def text_units(text: str, min_words: int, runs: bool) -> list[tuple[int, int, int, int, int, int, str]]:
+    """Start, end, place of the first word and of the one after the last, words of the lowest units before and after, and
+    normalised words of every unit long enough.
 
     With ``runs`` also those of the shortest runs of ``min_words`` words that begin or end with a shorter unit. Words are cut and
     normalised once, in the lowest units (a line of several sentences is followed by the first of them); others join theirs.
@@ -86,18 +89,24 @@ def text_units(text: str, min_words: int, runs: bool) -> list[tuple[int, int, in
             if before[k] >= 0:
                 ranges.setdefault((lowest[before[k]][0], lowest[k][1]), (int(before[k]), k + 1))
     places = total.tolist()
+    before, after = [0], [0]  # words of the nearest unit that has any
+    for n in counts:
+        before.append(n or before[-1])
+    for n in reversed(counts):
+        after.append(n or after[-1])
+    after.reverse()
     return [
-        (a, b, places[i], places[j], norms[i] if j == i + 1 else " ".join(x for x in norms[i:j] if x))
+        (a, b, places[i], places[j], before[i], after[j], norms[i] if j == i + 1 else " ".join(x for x in norms[i:j] if x))
         for (a, b), (i, j) in ranges.items()
         if places[j] - places[i] >= min_words
     ]
 
 
 def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int, runs: bool = False) -> DataFrame:
-    """``doc, tag, start, end, w0, w1, h1, h2`` of every unit long enough.
+    """``doc, tag, start, end, w0, w1, before, after, h1, h2`` of every unit long enough.
 
     ``tag`` is the hash of the text, ``start`` and ``end`` are code points of it, ``w0`` and ``w1`` the places of the unit's
-    first word and of the one after its last among all words of the text.
+    first word and of the one after its last among all words of the text, ``before`` and ``after`` the words of the lowest units beside it.
     """
     short_batches(df.sparkSession)
 
@@ -105,23 +114,24 @@ def unit_digests(df: DataFrame, row_id: str, text: str, min_words: int, runs: bo
         for batch in batches:
             docs, tags, spans, keys = [], [], [], []
             for doc, body, tag in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for start, end, w0, w1, norm in text_units(body or "", min_words, runs):
+                for *span, norm in text_units(body or "", min_words, runs):
                     docs.append(doc)
                     tags.append(tag)
-                    spans.append((start, end, w0, w1))
+                    spans.append(span)
                     keys.append(xxhash.xxh3_128_digest(norm.encode()))
-            place = np.array(spans, dtype=np.int32).reshape(-1, 4)
+            place = np.array(spans, dtype=np.int32).reshape(-1, 6)
             key = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
             columns = [pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), *(pa.array(c) for c in (*place.T, *key.T))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "start", "end", "w0", "w1", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "start", "end", "w0", "w1", "before", "after", "h1", "h2"])
 
     read = df.select(any_id(row_id).alias("doc"), F.col(text).alias("body"), F.xxhash64(text).alias("tag"))
-    return read.mapInArrow(digests, "doc long, tag long, start int, end int, w0 int, w1 int, h1 long, h2 long")
+    return read.mapInArrow(digests, "doc long, tag long, start int, end int, w0 int, w1 int, before int, after int, h1 long, h2 long")
 
 
 def repeated_units(
-    df: DataFrame, row_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False, run_words: int = 0
-) -> DataFrame:
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False, run_words: int = 0,
+    ends: bool = False,
+) -> DataFrame:
     """One row per unit to remove: ``doc, tag, start, end, first_doc, first_start, run_start, run_words``.
 
     ``first_doc`` and ``first_start`` are the occurrence that stays, the least by
@@ -129,7 +139,8 @@ def repeated_units(
     repeats of a row do not count against each other. Null and empty texts have no units. Other columns are not
     read. With ``runs``, runs of shorter units are units; one that overlaps its first occurrence stays.
     ``run_start`` and ``run_words`` tell the run of units without a word between them that the unit is part of; units of
-    runs of fewer than ``run_words`` words are not returned.
+    runs of fewer than ``run_words`` words are not returned. With ``ends``, a run also counts (for this only) all words but one of the
+    units before and after it, which the passage may have in common with its first occurrence.
     """
     # digests are made twice: that costs less than to write them
     units = unit_digests(df, row_id, text, min_words, runs)
@@ -141,7 +152,7 @@ def repeated_units(
     elsewhere = (F.col("doc") != F.col("first_doc")) | (F.col("tag") != F.col("first_tag"))
     later = elsewhere | (F.col("start") >= F.col("first_end") if runs else F.col("start") != F.col("first_start"))
     gone = units.join(groups, ["h1", "h2"]).filter(later)
-    gone = gone.select("doc", "tag", "start", "end", "w0", "w1", "first_doc", "first_start")
+    gone = gone.select("doc", "tag", "start", "end", "w0", "w1", "before", "after", "first_doc", "first_start")
     gone = gone.repartition("doc", "tag").distinct()  # repeats of a row; the windows keep this dealing
     # units in order of their words: a run ends where the next unit starts after all words so far
     order = W.partitionBy("doc", "tag").orderBy("w0", "w1", "start", "end")
@@ -149,7 +160,12 @@ def repeated_units(
     gone = gone.withColumn("__run", F.sum(F.when(F.col("w0") <= reached, 0).otherwise(1)).over(order))
     run = W.partitionBy("doc", "tag", "__run")
     gone = gone.withColumns({"run_start": F.min("start").over(run), "run_words": F.max("w1").over(run) - F.min("w0").over(run)})
-    return gone.filter(F.col("run_words") >= run_words).drop("__run", "w0", "w1")
+    length = F.col("run_words")
+    if ends:
+        beside = (F.min_by("before", "w0").over(run), F.max_by("after", "w1").over(run))
+        gone = gone.withColumn("__ends", sum(F.greatest(n - 1, F.lit(0)) for n in beside))
+        length = length + F.col("__ends")
+    return gone.filter(length >= run_words).drop("__run", "__ends", "w0", "w1", "before", "after")
 
 
 def remove_units(df: DataFrame, gone: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -205,7 +205,7 @@ def _(d):
     ("scenes0",),
 )
 def _(d):
-    """Three files of a stream, one micro-batch each; what is read is the last snapshot."""
+    """Three sets of files of a stream, one micro-batch each; what is read is the last snapshot."""
     at = lambda df, n: df.withColumn("ingested_at", F.timestamp_seconds(F.lit(1_700_000_000 + n)))
     s, source, root = d.unpaired, folder(d, "feed"), folder(d, "catalog")
     added = s.filter("scene_no % 9 = 0").withColumns({"scene_id": F.concat(F.lit("n"), "scene_id"), "object": F.lit("added")})
@@ -214,7 +214,7 @@ def _(d):
         at(s.filter("scene_no % 6 = 0").withColumn("object", F.lit("third")), 20).unionByName(at(added, 20)),
     ]
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.write.mode("append").parquet(source)
         stream = d.spark.readStream.schema(part.schema).parquet(source)
         jobs.catalog_upsert_stream(stream, root, f"{root}-state", buckets=8).awaitTermination()
     return scene_rows(jobs.read_snapshot(d.spark, root))

@@ -170,3 +170,15 @@ def test_session_stream_equals_batch(spark, tmp_path):
     jobs.session_stream(spark.readStream.schema(events.schema).parquet(source), out, check).awaitTermination()
     got = {(r.session_id, r.n, r.first_ts) for r in spark.read.parquet(out).collect()}
     assert got == batch and len(batch) == 4
+
+
+def test_upsert_query_writes_its_feed_in_parallel(spark, tmp_path, monkeypatch):
+    """The feed of ``catalog_upsert_stream`` is not drawn into one task."""
+    from terrafold.plans.all_queries import load
+    from terrafold.plans.registry import QUERIES
+
+    load()
+    rows = "id AS o_orderkey, id % 300 AS o_custkey, date_add(date'1995-01-01', CAST(id % 900 AS INT)) AS o_orderdate, id * 1.5D AS o_totalprice, 'F' AS o_orderstatus"
+    spark.sql(f"SELECT {rows} FROM range(0, 2000, 1, 4)").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", None)
+    assert QUERIES["catalog_upsert_stream"](spark, str(tmp_path)).count() == 2000 + sum(i % 9 == 0 for i in range(2000))

@@ -21,6 +21,7 @@ are contracted one at a time.
 from __future__ import annotations
 
 import base64
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sized
 
 import duckdb
@@ -34,8 +35,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import BATCH_ROWS, short_batches
 
 SLICE_BYTES = 5_000_000
-MEMO = 1_200_000
-MEMO_BYTES = 60_000_000
+#: Most keys and bytes of a memo between two slices. A worker holds three, and each lookup makes a hash table of the keys beside them.
+MEMO = 300_000
+MEMO_BYTES = 15_000_000
 #: Words of one query.
 QUERY_WORDS = 40_000
 LONG_BYTES = 300
@@ -281,11 +283,21 @@ def slices(texts: Iterable[Sized], size: int) -> Iterator[list]:
         yield part
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Give the free pages of both allocators back. Without it every worker keeps the most that one slice took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def rest() -> None:
-    """Give back what an idle worker does not need: DuckDB's memory and the allocator's free pages."""
+    """Give back what an idle worker does not need: DuckDB's memory and the allocators' free pages."""
     for bpe in _CODERS.values():
         bpe.close()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def encode_decode(
@@ -307,6 +319,7 @@ def encode_decode(
                 new = bpe.encode(some)
                 coded += new
                 read += bpe.decode(new)
+                give_back()
             yield pd.DataFrame({"ids": pd.Series(coded, dtype=object), "bytes": pd.Series(read, dtype=object)})
         rest()
 

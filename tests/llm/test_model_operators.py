@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -54,6 +55,17 @@ def test_bpe_small_memo(reference, monkeypatch):
         assert bpe.decode(ids) == [text.encode(), b""]
 
 
+def test_memo_stays_small():
+    """A worker holds three memos and a hash table as large beside each; before, one took 60 MB and 1.2 million keys."""
+    memo, most = bpe_duckdb.Memo(), 0
+    for start in range(0, 1_500_000, 50_000):
+        keys = pa.array([b"%012d" % i for i in range(start, start + 50_000)], pa.binary())
+        assert memo.get(keys, lambda new: new).equals(keys)
+        most = max(most, memo.keys.nbytes + memo.values.nbytes)
+        assert len(memo.keys) <= 300_000
+    assert most <= 20_000_000
+
+
 def test_bpe_ties_and_any_ranks():
     """Random merges in which a longer token may come before a shorter one, against the plain algorithm."""
     rng = random.Random(8)

@@ -58,3 +58,17 @@ def test_no_query_keeps_more_pairs_than_it_needs(spark, monkeypatch):
     every = joins.query_scene_join(left, right).withColumn("score", product)
     rows = [sorted((r.query_id, r.scene_id, r.score) for r in x.select("query_id", "scene_id", "score").collect()) for x in (pairs, rt.topk_per_query(every, 5))]
     assert rows[0] == rows[1] and every.count() > 3 * len(rows[0])
+
+
+def test_semantic_rank_join_is_the_rank_of_all_pairs(spark, monkeypatch):
+    """Blank texts on either side, ties and null ids; before, every pair that passes the filters was a row."""
+    scenes, queries = tables(spark)
+    scenes = scenes.withColumn("st", F.when(F.col("sensor").isNotNull(), F.concat_ws(" ", "sensor", "object")))
+    queries = queries.withColumn("qt", F.when(F.col("query_id") % 7 == 3, " ").otherwise(F.col("text_query")))
+    pairs = joins.query_scene_join(scenes, queries)
+    want = sorted(map(str, rt.semantic_rank(pairs, 4, "qt", "st").select("query_id", "scene_id", "score", "rank").collect()))
+    taken, best = [], rt.query_scene_best
+    monkeypatch.setattr(rt, "query_scene_best", lambda *a, **b: taken.append(best(*a, **b)) or taken[0])
+    got = rt.semantic_rank_join(scenes, queries, 4, F.col("qt"), F.col("st")).collect()
+    assert sorted(map(str, got)) == want and len(want) > 100
+    assert any(r.score == 0.5 for r in got) and taken[0].count() == len(want) < pairs.count() / 3

@@ -104,3 +104,14 @@ def test_within_km_over_poles_and_the_180th_meridian(spark):
         want = {(i, j) for i, p in enumerate(points) for j, q in enumerate(points) if apart(p, q) <= km}
         got = joins.within_km(a, b, km, ("alon", "alat"), ("blon", "blat"), ("a", "b"), bound).select("a", "b").collect()
         assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
+
+
+def test_points_near_each_other_are_not_broadcast(spark):
+    """Spark takes the 27 rows of a point for one; before, small estimates sent all of them through the driver."""
+    one = spark.range(300).selectExpr("id AS a", "id % 20 / 10 AS lon", "id % 7 / 10 AS lat")
+    other = spark.range(200).selectExpr("id AS b", "id % 15 / 10 AS x", "id % 9 / 10 AS y")
+    near = joins.within_km(one, other, 30.0, ("lon", "lat"), ("x", "y"), ("a", "b"))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    km = joins.geo.haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
+    want = one.crossJoin(other).filter(km <= 30).select("a", "b").collect()
+    assert sorted(map(tuple, near.select("a", "b").collect())) == sorted(map(tuple, want)) and len(want) > 1000

@@ -139,6 +139,14 @@ def data_of(pieces: pa.BinaryArray) -> memoryview:
     return memoryview(pieces.buffers()[2] or b"")[starts[0] : starts[-1]]
 
 
+def edges(size: int, *places: np.ndarray) -> np.ndarray:
+    """The distinct places from 0 to ``size``, in order. They are marked, as hashing or sorting millions of them costs far more."""
+    marked = np.zeros(size + 1, dtype=bool)
+    for at in places:
+        marked[at] = True
+    return np.flatnonzero(marked)
+
+
 def regroup(pieces: pa.BinaryArray, counts: np.ndarray) -> pa.BinaryArray:
     """Join the first ``counts[0]`` pieces, the next ``counts[1]``, and so on."""
     starts = offsets_of(pieces)
@@ -237,7 +245,7 @@ class ByteBpe:
         before, after = b[at - 1], b[at + 1]
         plain_before = ((before > 32) & (before < 127)) | ((b[np.maximum(at - 2, 0)] >= 0xC3) & (b[np.maximum(at - 2, 0)] <= 0xDF))
         plain_after = ((after > 32) & (after < 127)) | ((after >= 0xC3) & (after <= 0xDF))
-        starts = np.unique(np.concatenate([ends, at[plain_before & plain_after]]))
+        starts = edges(len(data), ends, at[plain_before & plain_after])
         units = binary(starts, data).dictionary_encode()
         coded = self.units.get(units.dictionary, self._encode_units).take(units.indices)
         out = regroup(coded, np.diff(np.searchsorted(starts, ends)))
@@ -254,7 +262,7 @@ class ByteBpe:
         ends = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
         if not data:
             return [b""] * len(coded)
-        starts = np.unique(np.concatenate([ends, np.flatnonzero(self.opens[np.frombuffer(data, dtype="<u4")]) * 4]))
+        starts = edges(len(data), ends, np.flatnonzero(self.opens[np.frombuffer(data, dtype="<u4")]) * 4)
         pieces = binary(starts, data).dictionary_encode()
         texts = self.texts.get(pieces.dictionary, self._decode_pieces).take(pieces.indices)
         return regroup(texts, np.diff(np.searchsorted(starts, ends))).to_pylist()

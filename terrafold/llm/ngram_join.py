@@ -23,7 +23,7 @@ leaves its difference to the pivot. Where the documents of a pivot are then stil
 several components, those not linked to it meet the others in blocks and are compared
 by their differences, inside tasks; only links come out. No link is lost.
 
-Shuffled: keys with ids, and the sets of documents that share a key. Hot keys are
+Shuffled: keys with ids, and the texts of documents that share a key. Hot keys are
 summed on the map side, and their sides in joins can be split.
 """
 
@@ -68,7 +68,8 @@ def shingle_sets(texts: list[bytes], n: int = NGRAM) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            out.append(np.unique(rolled[a : b - n + 1]))
+            s = np.sort(rolled[a : b - n + 1])  # ``np.unique`` hashes first, which costs more
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
             h = _C
             for w in hashes[a:b]:
@@ -197,21 +198,33 @@ def set_arrays(df: DataFrame, row_id: str, text: str, make, name: str, ngram: in
     return rows.mapInArrow(read, f"doc long, d1 long, d2 long, {name} array<long>")
 
 
-def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def differences(pairs: DataFrame, df: DataFrame, row_id: str, text: str, classes: DataFrame, percent: int, ngram: int) -> DataFrame:
     """Pairs ``doc, pivot`` with ``n``, ``is_linked`` and what sets the document apart from the pivot:
-    ``removed`` (places in the pivot's sorted set) and ``added`` (elements)."""
-    theirs = sets.select(F.col("doc").alias("pivot"), F.col("s").alias("p"))
-    both = pairs.join(sets.select("doc", "s"), "doc").join(theirs, "pivot").select("doc", "pivot", "s", "p")
+    ``removed`` (places in the pivot's sorted set) and ``added`` (elements).
+
+    The texts of the representatives travel and their sets are made inside the task: a set has 8 bytes a shingle that do not compress.
+    Only texts of pivots travel to the side of the pivots.
+    """
+    tags = classes.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag"))
+
+    def side(name: str, body: str) -> DataFrame:
+        texts = texts_of(df, row_id, text, pairs.select(F.col(name).alias("doc")).distinct().join(tags, "doc"))
+        return texts.select(F.col("__doc").alias(name), F.col("__text").alias(body))
+
+    both = pairs.join(side("doc", "t"), "doc").join(side("pivot", "p"), "pivot").select("doc", "pivot", "t", "p")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, pivot, s, p in zip(*(batch.column(i) for i in range(4))):
-                s, p = s.values.to_numpy(), p.values.to_numpy()
+            texts = [batch.column(i).dictionary_encode() for i in (2, 3)]  # a text that recurs is read once
+            sets = [shingle_sets([x.encode() for x in t.dictionary.to_pylist()], ngram) for t in texts]
+            ids = (batch.column(i).to_pylist() for i in (0, 1))
+            for doc, pivot, i, j in zip(*ids, *(t.indices.to_pylist() for t in texts)):
+                s, p = sets[0][i], sets[1][j]
                 added = np.setdiff1d(s, p, assume_unique=True)
                 removed = np.flatnonzero(~np.isin(p, s, assume_unique=True))
                 near = (100 - percent) * (len(s) + len(p)) >= (100 + percent) * (len(added) + len(removed))
-                out.append((doc.as_py(), pivot.as_py(), len(s), bool(near), removed.astype(np.int32), added))
+                out.append((doc, pivot, len(s), bool(near), removed.astype(np.int32), added.view(np.int64)))
             columns = list(zip(*out)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
@@ -450,11 +463,7 @@ def jaccard_classes(
         shared = flat.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("whole"), F.col("doc"))).alias("pivot"))
         shared = cut(shared.filter("c > 1 AND pivot IS NOT NULL").select("key", "pivot"))
         pairs = cut(flat.join(shared, "key").filter("doc <> pivot").select("doc", "pivot").distinct())
-    involved = pairs.select("doc").union(pairs.select("pivot")).distinct()
-    involved = involved.join(classes.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag")), "doc")
-    texts = texts_of(df, row_id, text, involved)
-    sets = cut(set_arrays(texts, "__doc", "__text", lambda s: s, "s", n).select("doc", "s"))
-    near = cut(differences(pairs, sets, percent))
+    near = cut(differences(pairs, df, row_id, text, classes, percent, n))
 
     first = near.filter("is_linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     found = cut(components(first))

@@ -138,3 +138,15 @@ def test_spare_segments_are_few_keys():
         if len(np.setxor1d(s, t)):
             assert len(np.intersect1d(*(k >> np.uint64(1) for k in keys)))
         assert len(keys[0]) <= sum(bands.h[b] + 1 for b in (bands.of(n), max(bands.of(n) - 1, 0))) or n < 60
+
+
+def test_sets_do_not_travel(spark, monkeypatch):
+    """The sets of all near copies were written to disk and shuffled to both sides of a pair, 8 bytes a shingle; now texts are."""
+    made, plain = [], ngram_join.set_arrays
+    monkeypatch.setattr(ngram_join, "set_arrays", lambda df, row_id, text, make, name, *more: made.append(name) or plain(df, row_id, text, make, name, *more))
+    rows = edited_rows()[:150]
+    df = spark.createDataFrame(rows + [(None, rows[0][1] + " more"), (rows[3][0], rows[4][1]), (rows[5][0], rows[5][1])], "doc_id long, text string")
+    for spare in (True, False):
+        got = ngram_join.jaccard_classes(df, n=5, percent=80, spare=spare).filter("doc >= 0").select("doc", "tag").count()
+        assert got == len(rows) + 2
+    assert made == ["keys", "keys"]

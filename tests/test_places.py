@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import vectors
 from terrafold.functions.geo import Box
-from terrafold.operators import best_pairs, catalog, joins, retrieval as rt
+from terrafold.operators import best_pairs, catalog, evalkit as ev, joins, retrieval as rt
+from terrafold.operators.ranked_pairs import query_scene_ranks
 from terrafold.operators.space import Tiles
 
 SIDES = "min_lon double, min_lat double, max_lon double, max_lat double"
@@ -95,3 +96,45 @@ def test_one_pass_finds_the_pairs(spark):
     got = sorted((r.query_id or 0, r.t1, r.t2) for r in chosen.collect() if r.t2) + [r.t1 for r in chosen.collect() if r.error]
     assert got == [(1, "a", "c"), (1, "a", "c"), (2, "d", "e"), "f", "g"] or got == [(1, "a", "c"), (1, "a", "c"), (2, "d", "e"), "g", "f"]
     assert chosen._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # before, the results were made twice and joined
+
+
+def scored(spark, scenes):
+    """Scores with ties, nulls and NaN."""
+    n = F.pmod(F.xxhash64("scene_id", "min_lon"), F.lit(23))
+    return scenes.withColumn("value", F.when(n == 1, None).when(n == 2, float("nan")).otherwise(F.floor(n / 5).cast("double")))
+
+
+@pytest.mark.parametrize("rows", [60, 100_000])
+def test_ranks_of_all_pairs(spark, rows):
+    """Places in one piece, and cut along the order into many."""
+    scenes, queries = tables(spark)
+    scenes = scored(spark, scenes.filter(F.col("scene_id").isNotNull()).dropDuplicates(["scene_id"]))
+    got = query_scene_ranks(scenes, queries, "value", ["scene_id"], ["query_id"], rows_per_task=rows)
+    pairs = joins.query_scene_join(scenes, queries).select("query_id", "scene_id", F.col("value").alias("score"))
+    want = sorted((r.query_id, r["rank"], r.scene_id) for r in rt.result_rank(pairs).collect())
+    assert sorted((r.query_id, r["rank"], r.scene_id) for r in got.collect()) == want and len(want) > 2000
+
+
+def test_ranked_pairs_are_not_shuffled(spark):
+    """Odd ids on either side, hits of shared groups; before, all pairs were range-partitioned, kept, and joined with their groups."""
+    scenes, queries = tables(spark)
+    scenes = scored(spark, scenes)
+    own = queries.filter(F.col("query_id") != 3)
+    own = own.union(queries.filter(F.col("query_id").isin(5, 6))).withColumn("query_id", F.when(F.col("query_id") != 11, F.col("query_id")))
+    items = scenes.filter("min_lon < 9").select("scene_id", F.col("sensor").alias("group"))
+    groups = own.select("query_id", F.when(F.col("query_id") % 2 == 0, "A").otherwise("B").alias("group"))
+
+    def marked(asked):
+        left, right = ev.attach_groups(scenes, items, "scene_id", "item_groups"), ev.attach_groups(asked, groups, "query_id", "query_groups")
+        results = rt.result_rank_join(left, right, F.col("value"), ("query_groups",), ("item_groups",))
+        return ev.mark_group_hits(results, groups, items)
+
+    pairs = joins.query_scene_join(scenes, own).select("query_id", "scene_id", F.col("value").alias("score"))
+    want = ev.mark_group_hits(rt.result_rank(pairs), groups, items)
+    rows = [sorted(map(str, x.select("query_id", "scene_id", "score", "hit").collect())) for x in (marked(own), want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 2000
+    ranks = [sorted(map(str, x.select("query_id", "score", "rank").collect())) for x in (marked(own), want)]
+    assert ranks[0] == ranks[1]
+    plan = marked(queries)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in above and "Join" not in above and "Window" not in above
